@@ -67,17 +67,34 @@ def string_buffers(array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span of bytes, from prefix sums modulo 2**64."""
-    power = np.full(len(raw) + 1, _BASE, dtype=U64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    prefix = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * power[:-1], out=prefix[1:])
-    inverse = np.full(len(raw) + 1, _BASE_INV, dtype=U64)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+class Spans:
+    """64-bit polynomial hashes of any spans of a byte array, from prefix sums modulo 2**64."""
+
+    def __init__(self, raw: np.ndarray):
+        power = np.full(len(raw) + 1, _BASE, dtype=U64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.prefix = np.zeros(len(raw) + 1, dtype=U64)
+        np.cumsum((raw.astype(U64) + U64(1)) * power[:-1], out=self.prefix[1:])
+        self.inverse = np.full(len(raw) + 1, _BASE_INV, dtype=U64)
+        self.inverse[0] = 1
+        np.cumprod(self.inverse, out=self.inverse)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)
+        return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + size)
+
+
+def slices(values: list, size_of, most: int):
+    """Index ranges (from, to) over ``values`` whose sizes add up to about ``most``; one at least in each."""
+    begin, total = 0, 0
+    for i, v in enumerate(values):
+        total += size_of(v)
+        if total >= most:
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    if begin < len(values):
+        yield begin, len(values)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +111,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last = inside.copy()
     last[:-1] &= ~inside[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return np.searchsorted(offsets, starts, side="right") - 1, span_hashes(low, starts, ends)
+    return np.searchsorted(offsets, starts, side="right") - 1, Spans(low).of(starts, ends)
 
 
 def shingle_sets(array, width: int) -> tuple[np.ndarray, np.ndarray]:

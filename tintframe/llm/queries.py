@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .packing import op2_best_fit_packing
 from .sharding import op4_sharding
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_bpe_roundtrip": op9_bpe_roundtrip,
 }
 
 SQL = {"op7_exact_dedup": OP7_SQL}
