@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .jaccard import op10_jaccard_join
 from .packing import op2_best_fit_packing
 from .sharding import op4_sharding
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL = {"op7_exact_dedup": OP7_SQL}
