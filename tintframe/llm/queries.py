@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard import op10_jaccard_join
+from .langid import op8_language_id
 from .packing import op2_best_fit_packing
 from .sharding import op4_sharding
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_jaccard_join": op10_jaccard_join,
 }
