@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_roundtrip
+from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard import op10_jaccard_join
 from .langid import op8_language_id
@@ -12,6 +13,7 @@ from .sharding import op4_sharding
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sharding": op4_sharding,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
