@@ -8,10 +8,12 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard import op10_jaccard_join
 from .langid import op8_language_id
 from .packing import op2_best_fit_packing
+from .secrets import op3_secret_scan
 from .sharding import op4_sharding
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_exact_dedup": op7_exact_dedup,
