@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe_roundtrip
 from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_extract import op1_html_extract
 from .jaccard import op10_jaccard_join
 from .langid import op8_language_id
 from .packing import op2_best_fit_packing
@@ -12,6 +13,7 @@ from .secrets import op3_secret_scan
 from .sharding import op4_sharding
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
