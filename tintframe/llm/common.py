@@ -39,9 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(col):
-    """Lower-case A-Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Lists of ids up to this many rows are broadcast, longer ones are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``dropped`` (one column); rows with a null id stay."""
+    dropped = written(dropped.toDF(id_col).dropna().distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(*df.columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import without_ids, written
 
 COUNTERS = 8192
 
@@ -91,8 +91,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that exact_dedup keeps, with their columns. Ids must be unique for one row a group to stay."""
-    kept = exact_dedup(df, id_col, text_col, counters).filter("kept").select(F.col("doc_id").alias(id_col))
-    return df.join(kept.distinct(), id_col, "left_semi").select(*df.columns)
+    dropped = exact_dedup(df, id_col, text_col, counters).filter(~F.col("kept"))
+    return without_ids(df, dropped.select("doc_id"), id_col)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

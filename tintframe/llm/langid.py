@@ -126,43 +126,40 @@ def train_prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     return [r["lang"] for r in found], np.array([r["v"] for r in found], dtype=np.float64).reshape(len(found), dimensions)
 
 
-def predict_languages(
-    df: DataFrame, languages: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED
-) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (the cosine, from 0 to 1).
+def with_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """``df`` with lang_pred and score (the cosine, from 0 to 1); columns of these names are replaced.
 
     ``und`` with score 0 for a null text, one without letters, or where no language was learned; equal cosines go to the
-    language first in alphabetical order. Whole texts count; other columns are not looked at.
+    language first in alphabetical order. Whole texts count; other columns are not looked at, and rows are independent.
     """
     dimensions = prototypes.shape[1]
     length = np.linalg.norm(prototypes, axis=1, keepdims=True)
     unit = (prototypes / np.where(length > 0, length, 1)).astype(np.float32)
+    names = np.array([*languages, UNKNOWN], dtype=object)
 
-    def predict(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts):
         import pandas as pd
 
         letters = letter_vectors(dimensions, seed)
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"]]
-            pred, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for i, j in slices(texts, lambda t: len(t) + PER_TEXT, CHARS_AT_ONCE):
-                owner, gram = trigrams(texts[i:j])
-                if not len(gram) or not len(unit):
-                    continue
-                grams, place = numbered(gram)
-                n = np.bincount(owner * len(grams) + place, minlength=(j - i) * len(grams)).reshape(j - i, -1)
-                vectors = np.sqrt(n, dtype=np.float32) @ gram_vectors(grams, letters).astype(np.float32)
-                norm = np.linalg.norm(vectors, axis=1)
-                cos = vectors @ unit.T / np.maximum(norm, 1e-30)[:, None]
-                some = n.any(axis=1)
-                pred[i:j] = np.where(some, cos.argmax(axis=1), -1)
-                score[i:j] = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0)
-            names = np.array([*languages, UNKNOWN], dtype=object)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names[pred], "score": score})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double")
+        texts = ["" if t is None else t for t in texts]
+        pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+        for i, j in slices(texts, lambda t: len(t) + PER_TEXT, CHARS_AT_ONCE):
+            owner, gram = trigrams(texts[i:j])
+            if not len(gram) or not len(unit):
+                continue
+            grams, place = numbered(gram)
+            n = np.bincount(owner * len(grams) + place, minlength=(j - i) * len(grams)).reshape(j - i, -1)
+            vectors = np.sqrt(n, dtype=np.float32) @ gram_vectors(grams, letters).astype(np.float32)
+            norm = np.linalg.norm(vectors, axis=1)
+            cos = vectors @ unit.T / np.maximum(norm, 1e-30)[:, None]
+            some = n.any(axis=1)
+            pred[i:j] = np.where(some, cos.argmax(axis=1), -1)
+            score[i:j] = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0)
+        return pd.DataFrame({"lang_pred": names[pred], "score": score})
+
+    found = df.drop("lang_pred", "score").withColumn("__language", predict(F.col(text_col).cast("string")))
+    return found.withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -170,11 +167,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(df: DataFrame) -> DataFrame:
-    """doc_id, lang_pred, score for ``documents``, learned from its own rows that are not held out."""
+    """``documents`` with lang_pred and score, learned from its own rows that are not held out."""
     languages, prototypes = train_prototypes(df.filter(~held_out()))
-    return predict_languages(df, languages, prototypes)
+    return with_language(df, languages, prototypes)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
