@@ -11,12 +11,14 @@ from .langid import op8_language_id
 from .packing import op2_best_fit_packing
 from .secrets import op3_secret_scan
 from .sharding import op4_sharding
+from .training_order import op5_training_order
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
+    "op5_training_order": op5_training_order,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
