@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index of each node's component, for links (i, j) among n nodes."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        np.minimum.at(low, before, low)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _forest(batches):
+    """Stars that connect what a partition's edges connect: one row at most for each node it holds."""
+    import pandas as pd
+
+    u = v = None
+    for pdf in batches:
+        if u is not None:
+            pdf = pd.concat([pd.DataFrame({"u": u, "v": v}), pdf])
+        if not len(pdf):
+            continue
+        both = pd.concat([pdf["u"], pdf["v"]]).to_numpy()
+        nodes, at = np.unique(both, return_inverse=True)
+        low = roots(len(nodes), at[: len(pdf)], at[len(pdf) :])
+        leaf = np.flatnonzero(low != np.arange(len(nodes)))
+        u, v = nodes[leaf], nodes[low[leaf]]
+    if u is not None:
+        yield pd.DataFrame({"u": u, "v": v})
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on rows (u, v) with u > v; returns such rows, distinct."""
     if large:  # every neighbour larger than u goes to u's least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that both sides of the join are plain exchanges, whose hot keys adaptive execution can split
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         out = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # u and its smaller neighbours go to the least of them
@@ -25,12 +60,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of ``edges`` (columns u, v; any order, repeats and loops allowed).
 
-    component_id is the least node reachable. Each round is written to the shared folder. The star of a hub is
+    component_id is the least node reachable. Each partition first turns its edges into a forest of stars. Each round is written to the shared folder. The star of a hub is
     aggregated on the map side, and the joins on its key are left to adaptive skew splitting; no group is collected.
     """
-    now = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges"
-    )
+    ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
+    now = written(ordered.mapInPandas(_forest, schema).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, keyed_groups, mix, written
-from .components import connected_components
+from .components import connected_components, roots
 
 WIDTH = 2.0
 RECALL = 0.98
@@ -60,19 +60,6 @@ def _bucketed(classes: DataFrame, hashes: int, tables: int, seed: int) -> DataFr
     return classes.mapInPandas(bucket, schema + ", prints array<bigint>")
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index of each node's component, for links (i, j) among n nodes."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        least = np.minimum(low[i], low[j])
-        np.minimum.at(low, i, least)
-        np.minimum.at(low, j, least)
-        low = low[low]
-        if (low == before).all():
-            return low
-
-
 def near_vectors(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, seed: int = SEED
 ) -> DataFrame:
@@ -153,7 +140,7 @@ def near_vectors(
                     continue
                 size = n[p:q]
                 links = np.bincount(i, weights=size[j], minlength=q - p) + np.bincount(j, weights=size[i], minlength=q - p)
-                root, some = _roots(q - p, i, j), np.flatnonzero(links)
+                root, some = roots(q - p, i, j), np.flatnonzero(links)
                 out.append(pd.DataFrame({"u": reps[p:q][some], "v": reps[p:q][root[some]], "links": links[some].astype(np.int64)}))
             if out:
                 yield pd.concat(out)

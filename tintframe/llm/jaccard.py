@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, keyed_groups, mix, shingle_sets, slices, written
+from .common import U64, keyed_groups, mix, shingle_sets, slices, without_ids, written
 from .components import connected_components
 
 CHARS_AT_ONCE = 1 << 20
@@ -26,6 +26,12 @@ BLOCK_SETS = 512
 BLOCK_SHINGLES = 400_000
 #: Cluster tables up to this many rows (of at most 100 bytes) are broadcast, larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Sets that a task remembers to route copies once.
+REMEMBERED = 200_000
+#: Candidates of a search that are probed one by one.
+PROBED = 4
+#: Sets in one Spark task of the search, on average.
+TASK_ROWS = 1000
 #: Empty segments that a set may have before its empty segments count for routing too.
 SPARE = 2
 
@@ -92,7 +98,8 @@ def t_occurrence_links(offsets: np.ndarray, hashes: np.ndarray, side: np.ndarray
     words, where = np.unique(hashes, return_inverse=True)
     indexed = np.ones(len(doc), dtype=bool) if (side == side[0]).all() else side[doc] == 0
     within = bool((side == side[0]).all())
-    lists = doc[indexed][np.argsort(where[indexed], kind="stable")]  # inverted lists, each ascending
+    entries = np.sort(where[indexed] * n + doc[indexed])  # the inverted lists one after another, each ascending
+    lists = entries % n
     length = np.bincount(where[indexed], minlength=len(words))
     begin = np.cumsum(length) - length
     group = np.arange(n)
@@ -109,7 +116,8 @@ def t_occurrence_links(offsets: np.ndarray, hashes: np.ndarray, side: np.ndarray
         longest = int(length[mine[0]])
         n_long = min(int(need / (0.0085 * math.log2(longest + 1) + 1)), need - 1)
         long, short = mine[:n_long], mine[n_long:]
-        runs = np.concatenate([lists[begin[w] : begin[w] + length[w]] for w in short])
+        size_of = length[short]
+        runs = lists[np.repeat(begin[short] - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())]
         runs.sort(kind="stable")  # merges the ascending runs
         first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
         found, count = runs[first], np.diff(np.append(first, len(runs)))
@@ -119,50 +127,70 @@ def t_occurrence_links(offsets: np.ndarray, hashes: np.ndarray, side: np.ndarray
         found, count = found[likely], count[likely]
         order = np.argsort(-count, kind="stable")
         found, count = found[order], count[order]
-        while len(found):
+        similar = lambda both, s: both * den >= num * (size[q] + size[s] - both)
+        for tries in range(PROBED + 1):
             other = group[found] != group[q]
             found, count = found[other], count[other]
             if not len(found):
                 break
-            s, both = int(found[0]), int(count[0])
-            for w in long:  # binary probes of the long lists, all at once where there are many
-                at = begin[w] + np.searchsorted(lists[begin[w] : begin[w] + length[w]], s)
-                both += at < begin[w] + length[w] and lists[at] == s
-            if both * den >= num * (int(size[q]) + int(size[s]) - both):
-                links.append((q, s))
-                group[group == group[s]] = group[q]
-            found, count = found[1:], count[1:]
+            if tries < PROBED:
+                s, probe = int(found[0]), long * n + int(found[0])
+                at = np.minimum(np.searchsorted(entries, probe), len(entries) - 1)  # one binary probe in each long list
+                linked = [s] if similar(int(count[0]) + int((entries[at] == probe).sum()), s) else []
+                found, count = found[1:], count[1:]
+            else:  # many candidates: counting the long lists is cheaper than probing them for each
+                size_of = length[long]
+                runs = lists[np.repeat(begin[long] - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())]
+                linked = found[similar(count + np.bincount(runs, minlength=n)[found], found)].tolist()
+            for s in linked:
+                if group[s] != group[q]:
+                    links.append((q, s))
+                    group[group == group[s]] = group[q]
     return links
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, width: int, bands: Bands) -> DataFrame:
+def _set_rows(df: DataFrame, id_col: str, text_col: str, width: int, bands: Bands, keyed: bool) -> DataFrame:
+    """For each text its set: doc_id, n_shingles, set_a, set_b; or (``keyed``) rows node, key: the set's hash with each of its routing
+    keys. A task gives the keys of a set that it meets again once, as far as ``REMEMBERED`` reaches."""
+
     def sets(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()
         for b in batches:
             lengths = b.column(1).to_pandas().str.len().fillna(0).astype(int).tolist()
             for i, j in slices(lengths, lambda n: n + 64, CHARS_AT_ONCE):
                 offsets, hashes = shingle_sets(b.column(1).slice(i, j - i), width)
                 size = np.diff(offsets)
                 edge = np.concatenate([[U64(0)], np.cumsum(hashes)])
-                set_a = edge[offsets[1:]] - edge[offsets[:-1]]
+                set_a = (edge[offsets[1:]] - edge[offsets[:-1]]).astype(np.int64)
+                if keyed:
+                    new = np.zeros(len(size), dtype=bool)
+                    for k, h in enumerate(set_a.tolist()):
+                        new[k] = size[k] and h not in seen
+                        seen.add(h)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    at, keys = segment_keys(np.concatenate([[0], np.cumsum(size[new])]), hashes[np.repeat(new, size)], bands)
+                    node = np.repeat(set_a[new], np.diff(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.astype(np.int64))], ["node", "key"])
+                    continue
                 edge = np.concatenate([[U64(0)], np.cumsum(mix(hashes ^ U64(0xA0761D6478BD642F)))])
-                set_b = edge[offsets[1:]] - edge[offsets[:-1]]
-                at, keys = segment_keys(offsets, hashes, bands)
-                columns = [b.column(0).slice(i, j - i), pa.array(size), pa.array(set_a.astype(np.int64)), pa.array(set_b.astype(np.int64))]
-                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                set_b = (edge[offsets[1:]] - edge[offsets[:-1]]).astype(np.int64)
+                columns = [b.column(0).slice(i, j - i), pa.array(size), pa.array(set_a), pa.array(set_b)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, keys array<long>"
+    schema = "node long, key long" if keyed else f"doc_id {kind}, n_shingles long, set_a long, set_b long"
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sets, schema)
 
 
-def _routed(classes: DataFrame) -> DataFrame:
-    """(node, component_id): classes that share a routing key, directly or through others."""
-    rows = classes.select("class_id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).filter("hub < last")
-    stars = rows.join(shared.select("key", "hub"), "key").filter("class_id > hub").select(F.col("class_id").alias("u"), F.col("hub").alias("v"))
+def _routed(rows: DataFrame) -> DataFrame:
+    """(node, component_id): sets that share a routing key, directly or through others."""
+    shared = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
+    # written: a join of two plain exchanges is one that adaptive execution can split at a hot key
+    shared = written(shared.select("key", "hub"), "shared")
+    stars = rows.join(shared, "key").filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     return connected_components(stars)
 
 
@@ -211,14 +239,16 @@ def jaccard_groups(
     takes its class's component and is never a component's name. Other columns are not looked at.
     """
     bands = Bands(num, den)
-    sets = written(_sets(df, id_col, text_col, width, bands), "sets")
+    sets = written(_set_rows(df, id_col, text_col, width, bands, False), "sets")
     same = ["n_shingles", "set_a", "set_b"]
-    named = sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    members = written(sets.select("doc_id", *same).join(named, same, "left").select("doc_id", "n_shingles", "class_id"), "members")
-    reps = sets.select(F.col("doc_id").alias("class_id"), "n_shingles", "keys").join(named.select("class_id"), "class_id", "left_semi")
-    routed = _routed(reps).withColumnRenamed("node", "class_id").withColumnRenamed("component_id", "cluster")
-    sizes = members.filter("doc_id = class_id").groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"))
-    tasks = written(_tasks(routed.join(sizes, "class_id"), num, den), "tasks")
+    # written: a join of two plain exchanges is one that adaptive execution splits where a class has many copies
+    named = written(sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "named")
+    members = written(sets.join(named, same, "left").select("doc_id", "n_shingles", "class_id"), "members")
+    # a set is named by one of its hashes here; sets that share it are in one cluster, and told apart by the search
+    routed = _routed(_set_rows(df, id_col, text_col, width, bands, True))
+    routed = routed.select(F.col("node").alias("set_a"), F.col("component_id").alias("cluster"))
+    clusters = named.join(routed, "set_a").groupBy("class_id", "cluster").agg(F.max("n_shingles").alias("n_shingles"))
+    tasks = written(_tasks(clusters, num, den), "tasks")
     n_tasks = tasks.count()
     texts = df.select(F.col(id_col).alias("class_id"), F.col(text_col).cast("string").alias("text"))
     work = texts.join(F.broadcast(tasks) if n_tasks <= BROADCAST_ROWS else tasks, "class_id")
@@ -247,7 +277,8 @@ def jaccard_groups(
                 yield pd.DataFrame(out, columns=["u", "v"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    dealt = work.repartition(*key).sortWithinPartitions(*key)
+    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_tasks / TASK_ROWS))
+    dealt = work.repartition(n_parts, *key).sortWithinPartitions(*key)
     links = dealt.mapInPandas(search, f"u {kind}, v {kind}")
     groups = connected_components(links).withColumnRenamed("node", "class_id")
     return members.join(groups, "class_id", "left").select(
@@ -256,9 +287,9 @@ def jaccard_groups(
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` of which the id names its group: one document of each group of near copies, and all others."""
-    kept = jaccard_groups(df, id_col, text_col, width, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    return df.join(kept.distinct(), id_col, "left_semi").select(*df.columns)
+    """The rows of ``df`` without those whose group has another name: one document of each group of near copies stays."""
+    groups = jaccard_groups(df, id_col, text_col, width, num, den)
+    return without_ids(df, groups.filter("doc_id != component_id").select("doc_id"), id_col)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
