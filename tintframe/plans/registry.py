@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import calibration
+
+QUERIES: dict = {**calibration.QUERIES}
+SQL: dict = {**calibration.SQL}
