@@ -8,6 +8,7 @@ at byte (s mod rows) * stride of file s div rows, and a reader can resume anywhe
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -104,18 +105,24 @@ def training_order(
             begin, expected = starts[TaskContext.get().partitionId()]
             at = begin
             for b in batches:
-                texts = b.column(1).to_pylist()
-                take, piece, start, length, ids = [], [], [], [], []
-                for i, t in enumerate(texts):
-                    all_ids = np.array([*(encode(t) if t else ()), end_id], dtype="<u2")
-                    for k, s in enumerate(range(0, len(all_ids), capacity)):
-                        part = all_ids[s : s + capacity]
-                        for column, value in zip((take, piece, start, length, ids), (i, k, s, len(part), part.tobytes()), strict=True):
-                            column.append(value)
+                pieces, raws = [], []
+                for t in b.column(1).to_pylist():
+                    raw = array("H", encode(t) if t else ())
+                    raw.append(end_id)
+                    pieces.append(-(-len(raw) // capacity))
+                    raws.append(raw)
+                counts, total_ids = np.array(pieces), np.array([len(r) for r in raws])
+                take = np.repeat(np.arange(len(raws)), counts)
+                piece = np.arange(len(take)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(total_ids[take] - start, capacity)
+                offsets = np.concatenate([[0], np.cumsum(2 * length)]).astype(np.int32)
+                joined = pa.py_buffer(b"".join(raws))
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(offsets), joined])
                 slot = feistel(np.arange(at, at + len(take)), total, key)
                 at += len(take)
-                columns = [b.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32())]
-                columns += [pa.array(slot), pa.array(ids, pa.binary())]
+                columns = [b.column(0).take(pa.array(take)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32))]
+                columns += [pa.array(slot), ids]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "slot", "ids"])
             if at != begin + expected:
                 raise RuntimeError("the input changed between the two passes")
@@ -135,6 +142,7 @@ def training_order(
 
             store, folder = fs.FileSystem.from_uri(path)
             stream, name, mine = None, None, f".{uuid.uuid4().hex}"
+            padding = np.full(capacity, end_id, "<u2").tobytes()
 
             def close():
                 if stream is not None:
@@ -148,7 +156,7 @@ def training_order(
                         close()
                         name = f"{folder}/shard-{slot // shard_rows:06d}.bin"
                         stream = store.open_output_stream(name + mine)
-                    record = ids + np.full(capacity - len(ids) // 2, end_id, "<u2").tobytes()
+                    record = ids + padding[len(ids) :]
                     stream.write(record)
                     crcs.append(zlib.crc32(record))
                 slots = b.column("slot").to_numpy()
