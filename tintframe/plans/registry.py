@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration
+from . import calibration, files
 
-QUERIES: dict = {**calibration.QUERIES}
-SQL: dict = {**calibration.SQL}
+QUERIES: dict = {**calibration.QUERIES, **files.QUERIES}
+SQL: dict = {**calibration.SQL, **files.SQL}
