@@ -17,7 +17,7 @@ def slug(label: Column) -> Column:
 
 def clean_tags(tags: Column) -> Column:
     """Trimmed, without empty ones, first occurrences in order; upper and lower case differ."""
-    return F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def escape_html(text: Column) -> Column:
