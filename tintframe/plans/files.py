@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import capture
 from ..functions import text as T
 from ..functions.colour import BRADFORD_D65_TO_D50, D50_XYZ, RGB_TO_XYZ
-from ..operators import batch, interchange, stencil
+from ..operators import batch, contract, interchange, stencil
 from ..operators import calibration as C
 from ..sources import adapters
 from ..sources.chart import chart_reference
@@ -211,3 +212,50 @@ def _dcp_sql() -> str:
 @query(_dcp_sql())
 def f06_dcp_matrices(spark, sf_dir):
     return rounded(interchange.dcp_matrices(stages(spark, sf_dir)))
+
+
+RAW_CAP = """raw AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '   ' ELSE '  ' || event_type || ' ' END AS make,
+  event_id % 4 * 100 AS speed, CASE WHEN event_id % 5 = 0 THEN 65535 ELSE event_id % 3 * 200 END AS sensitivity,
+  CASE WHEN event_id % 8 = 0 THEN '2024:13:01 00:00:00' WHEN event_id % 9 = 0 THEN 'none' ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END AS stamp,
+  event_id % 120 AS d, event_id % 60 AS m, event_id % 7 * 8 AS s, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 's' ELSE 'N' END AS side FROM events)"""
+
+
+@query(S.with_(RAW_CAP) + """SELECT event_id, nullif(trim(make), '') AS make, CAST(CASE WHEN speed > 0 THEN speed WHEN sensitivity > 0 AND sensitivity < 65535 THEN sensitivity ELSE -1 END AS INT) AS iso,
+  CASE WHEN stamp <> 'none' AND CAST(substring(stamp, 6, 2) AS INT) BETWEEN 1 AND 12 THEN replace(left(stamp, 10), ':', '-') || substring(stamp, 11) END AS captured_at,
+  round(CASE WHEN side IS NULL OR d + m/60.0e0 + s/3600.0e0 > 90 THEN NULL WHEN side = 's' THEN -(d + m/60.0e0 + s/3600.0e0) ELSE d + m/60.0e0 + s/3600.0e0 END, 6) AS latitude FROM raw""")
+def s17_capture_parse(spark, sf_dir):
+    i = F.col("event_id")
+    raw = adapters.table(spark, sf_dir, "events").select(
+        i,
+        F.when(i % 6 == 0, "   ").otherwise(F.concat(F.lit("  "), F.col("event_type"), F.lit(" "))).alias("make"),
+        (i % 4 * 100).cast("int").alias("speed"),
+        F.when(i % 5 == 0, 65535).otherwise(i % 3 * 200).cast("int").alias("sensitivity"),
+        F.when(i % 8 == 0, "2024:13:01 00:00:00").when(i % 9 == 0, "none").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("stamp"),
+        (i % 120).alias("d"),
+        (i % 60).alias("m"),
+        (i % 7 * 8).alias("s"),
+        F.when(i % 10 == 0, None).when(i % 2 == 0, "s").otherwise("N").alias("side"),
+    )
+    latitude = capture.degrees(F.col("d"), F.col("m"), F.col("s"), F.col("side"), "S", 90.0)
+    return rounded(
+        raw.select(
+            "event_id",
+            capture.known_text(F.col("make")).alias("make"),
+            F.coalesce(capture.iso(F.col("speed"), F.col("sensitivity")), F.lit(-1)).alias("iso"),
+            capture.capture_time(F.col("stamp")).alias("captured_at"),
+            latitude.alias("latitude"),
+        )
+    )
+
+
+@query("""SELECT o_orderkey AS pair, CASE WHEN o_orderkey % 11 = 0 THEN 'decoder' WHEN o_orderstatus = 'F' THEN 'settings' WHEN o_orderkey % 3 = 0 THEN 'version' ELSE 'same' END AS status,
+  o_orderkey % 11 = 0 OR o_orderstatus = 'F' AS blocks FROM orders""")
+def g07_contract_compare(spark, sf_dir):
+    """Orders as pairs of contracts: each eleventh has another decoder, those of status F another demosaic, each third another version."""
+    k = F.col("o_orderkey")
+    pairs = adapters.table(spark, sf_dir, "orders").select(k.alias("pair"), "o_orderstatus")
+    settings = {f"{side}_{s}": F.lit("as shot") for side in ("profile", "image") for s in contract.SETTINGS}
+    settings |= {"image_demosaic": F.when(F.col("o_orderstatus") == "F", "other").otherwise("as shot")}
+    settings |= {"profile_decoder": F.lit("d"), "image_decoder": F.when(F.col("pair") % 11 == 0, "e").otherwise("d")}
+    settings |= {"profile_version": F.lit("1"), "image_version": F.when(F.col("pair") % 3 == 0, "2").otherwise("1")}
+    return contract.compare_for_apply(pairs.withColumns(settings)).select("pair", "status", "blocks")
