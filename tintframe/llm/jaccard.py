@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import U64, keyed_groups, mix, shingle_sets, slices, without_ids, written
 from .components import connected_components
 
-CHARS_AT_ONCE = 1 << 20
-BLOCK_SETS = 512
-BLOCK_SHINGLES = 400_000
+CHARS_AT_ONCE = 1 << 18
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 600_000
 #: Cluster tables up to this many rows (of at most 100 bytes) are broadcast, larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 #: Sets that a task remembers to route copies once.
@@ -32,40 +32,44 @@ REMEMBERED = 200_000
 PROBED = 4
 #: Sets in one Spark task of the search, on average.
 TASK_ROWS = 1000
-#: Empty segments that a set may have before its empty segments count for routing too.
+#: Segments beyond those that differences can touch, at least; up to so many empty ones don't count for routing.
 SPARE = 2
 
 
 class Bands:
-    """Size bands, and for each the number of segments that can't all be touched by the differences of a linked pair.
+    """Size bands, and for each the number of segments: one more than the differences of a linked pair can touch, and ``spares`` beyond
+    that, so that such a pair agrees in spares + 1 segments at least.
 
     A pair belongs to the band of its smaller set. ``num``/``den`` is the least similarity.
     """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         self.num, self.den = num, den
-        low, lows, segments = 1, [], []
+        low, lows, segments, spares = 1, [], [], []
         while low <= largest:
             high = max(low, low * 137 // 100, low * den // num)
             lows.append(low)
             differ = (high + high * den // num) * (den - num) // (den + num)
-            segments.append(1 if differ == 0 else differ + 1 + SPARE)
+            spare = SPARE + differ // 8
+            segments.append(1 if differ == 0 else differ + 1 + spare)
+            spares.append(spare)
             low = high + 1
-        self.lows, self.segments = np.array(lows), np.array(segments)
+        self.lows, self.segments, self.spares = np.array(lows), np.array(segments), np.array(spares)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, side="right") - 1
 
 
-def segment_keys(offsets: np.ndarray, hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """n+1 offsets and routing keys: equal keys mean an equal segment of the same band."""
+def segment_keys(offsets: np.ndarray, hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set index, routing key, need): equal keys mean an equal segment of the same band. ``need`` is twice the number of keys of a
+    band that a set shares with any set that it is linked to there, plus 1 for the lower of its two bands."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     doc = np.repeat(np.arange(n), sizes)
     own = bands.of(np.maximum(sizes, 1))
     least = -(-sizes * bands.num // bands.den)  # the least size of a partner
-    keys_doc, keys = [], []
-    for band, wanted in ((own, sizes > 0), (own - 1, (own > 0) & (least < bands.lows[own]) & (sizes > 0))):
+    keys_doc, keys, needs = [], [], []
+    for lower, (band, wanted) in enumerate(((own, sizes > 0), (own - 1, (own > 0) & (least < bands.lows[own]) & (sizes > 0)))):
         segments = np.where(wanted, bands.segments[np.maximum(band, 0)], 0)
         segments[segments == 1] = 0  # only equal sets link there, and those are one class already
         base = np.cumsum(segments) - segments
@@ -78,13 +82,14 @@ def segment_keys(offsets: np.ndarray, hashes: np.ndarray, bands: Bands) -> tuple
         filled[slot] = True
         owner = np.repeat(np.arange(n), segments)
         empties = np.bincount(owner[~filled], minlength=n)
-        take = filled | (empties[owner] > SPARE)
+        # empty segments may be among those that agree: they count as keys only where that is likely enough to matter
+        spare = bands.spares[np.maximum(band, 0)]
+        take = filled | (empties[owner] > spare[owner])
+        needs.append((2 * (spare + 1 - np.minimum(empties, spare)) + lower)[owner[take]])
         place = (np.arange(total) - base[owner] + (band[owner] << 32)).astype(U64)
         keys.append(mix(sums + mix(place))[take])
         keys_doc.append(owner[take])
-    owner, key = np.concatenate(keys_doc), np.concatenate(keys)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), key[order]
+    return np.concatenate(keys_doc), np.concatenate(keys), np.concatenate(needs)
 
 
 def t_occurrence_links(offsets: np.ndarray, hashes: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -150,15 +155,16 @@ def t_occurrence_links(offsets: np.ndarray, hashes: np.ndarray, side: np.ndarray
 
 
 def _set_rows(df: DataFrame, id_col: str, text_col: str, width: int, bands: Bands, keyed: bool) -> DataFrame:
-    """For each text its set: doc_id, n_shingles, set_a, set_b; or (``keyed``) rows node, key: the set's hash with each of its routing
+    """For each text its set: doc_id, n_shingles, set_a, set_b; or (``keyed``) rows node, key, need: the set's hash with each of its routing
     keys. A task gives the keys of a set that it meets again once, as far as ``REMEMBERED`` reaches."""
 
     def sets(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         seen: set[int] = set()
         for b in batches:
-            lengths = b.column(1).to_pandas().str.len().fillna(0).astype(int).tolist()
+            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             for i, j in slices(lengths, lambda n: n + 64, CHARS_AT_ONCE):
                 offsets, hashes = shingle_sets(b.column(1).slice(i, j - i), width)
                 size = np.diff(offsets)
@@ -171,9 +177,9 @@ def _set_rows(df: DataFrame, id_col: str, text_col: str, width: int, bands: Band
                         seen.add(h)
                     if len(seen) > REMEMBERED:
                         seen.clear()
-                    at, keys = segment_keys(np.concatenate([[0], np.cumsum(size[new])]), hashes[np.repeat(new, size)], bands)
-                    node = np.repeat(set_a[new], np.diff(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.astype(np.int64))], ["node", "key"])
+                    owner, keys, need = segment_keys(np.concatenate([[0], np.cumsum(size[new])]), hashes[np.repeat(new, size)], bands)
+                    columns = [pa.array(set_a[new][owner]), pa.array(keys.astype(np.int64)), pa.array(need.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "key", "need"])
                     continue
                 edge = np.concatenate([[U64(0)], np.cumsum(mix(hashes ^ U64(0xA0761D6478BD642F)))])
                 set_b = (edge[offsets[1:]] - edge[offsets[:-1]]).astype(np.int64)
@@ -181,7 +187,7 @@ def _set_rows(df: DataFrame, id_col: str, text_col: str, width: int, bands: Band
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = "node long, key long" if keyed else f"doc_id {kind}, n_shingles long, set_a long, set_b long"
+    schema = "node long, key long, need int" if keyed else f"doc_id {kind}, n_shingles long, set_a long, set_b long"
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sets, schema)
 
 
@@ -190,8 +196,10 @@ def _routed(rows: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     # written: a join of two plain exchanges is one that adaptive execution can split at a hot key
     shared = written(shared.select("key", "hub"), "shared")
-    stars = rows.join(shared, "key").filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    return connected_components(stars)
+    # a set that shares fewer keys than a link takes has none: a common passage alone seldom gives enough
+    agreed = F.count("*").over(Window.partitionBy("node", "need"))
+    met = rows.join(shared, "key").withColumn("agreed", agreed).filter(F.col("agreed") >= F.expr("need div 2"))
+    return connected_components(met.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
 def _tasks(clusters: DataFrame, num: int, den: int) -> DataFrame:
