@@ -132,7 +132,7 @@ def shingle_sets(array, width: int) -> tuple[np.ndarray, np.ndarray]:
     begins = np.concatenate([[0], np.cumsum(counts)])
     m = len(words)
     hashes = np.zeros(m, dtype=U64)
-    for k in range(width):
+    for k in range(min(width, m)):
         factor = U64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
         hashes[: m - k] += mix(words[k:] ^ factor) * U64(2 * k + 3) if k else words * U64(3)
     left = begins[doc + 1] - np.arange(m) if m else np.zeros(0, np.int64)
