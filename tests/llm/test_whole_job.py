@@ -2,7 +2,7 @@
 
 import pytest
 
-from tintframe.llm import common
+from tintframe.llm import common, tokens
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -15,3 +15,13 @@ def test_shingles_of_a_slice_of_few_words(n):
     # the same sets as in a slice with many other words
     more, among = common.shingle_sets(pa.array([*texts, "g h i j k l m n o"]), 5)
     assert among[: more[1]].tolist() == hashes.tolist()
+
+
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, " \t" * 600_000])
+def test_long_runs_of_white_space_are_encoded(run):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    tk, own = Tokenizer.from_file(path), tokens.byte_level_encoder(path)
+    for t in (run, f"a{run}b <|endoftext|>", f"{'word ' * 50_000}{run[:99_999]}x"):
+        assert own(t) == tk.encode(t, add_special_tokens=False).ids

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
+#: tiktoken backtracks over runs of white space and panics at about 1,000,000 characters; texts with a run of this length go to ``tokenizers``.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -20,10 +25,19 @@ def byte_level_encoder(path: str):
 
     tiktoken merges the pair of least rank first; a byte-level BPE file lists its merges so that a merged token's id follows its
     merge, which makes both equal (the tests hold them against each other) at a quarter of the CPU time. Added tokens
-    written out in a text get their ids, as ``tokenizers`` does by default.
+    written out in a text get their ids, as ``tokenizers`` does by default. Texts with a run of ``LONG_RUN`` white-space characters
+    are encoded by ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
+
+    @functools.cache
+    def library():
+        return Tokenizer.from_file(path)
+
+    def exact(text):
+        return library().encode(text, add_special_tokens=False).ids
 
     spec = json.load(open(path))
     if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"] != {
@@ -32,16 +46,19 @@ def byte_level_encoder(path: str):
         "trim_offsets": True,
         "use_regex": True,
     }:
-        from tokenizers import Tokenizer
-
-        tk = Tokenizer.from_file(path)
-        return lambda text: tk.encode(text, add_special_tokens=False).ids
+        return exact
     byte_of = byte_alphabet()
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     enc = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     plain, marks = enc.encode_ordinary, tuple(special)
-    return lambda text: enc.encode(text, allowed_special="all") if any(m in text for m in marks) else plain(text)
+
+    def encode(text):
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            return exact(text)
+        return enc.encode(text, allowed_special="all") if any(m in text for m in marks) else plain(text)
+
+    return encode
 
 
 def byte_alphabet() -> dict[str, int]:
