@@ -2,7 +2,7 @@
 
 import pytest
 
-from tintframe.llm import common, tokens
+from tintframe.llm import common, secrets, tokens
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -25,3 +25,19 @@ def test_long_runs_of_white_space_are_encoded(run):
     tk, own = Tokenizer.from_file(path), tokens.byte_level_encoder(path)
     for t in (run, f"a{run}b <|endoftext|>", f"{'word ' * 50_000}{run[:99_999]}x"):
         assert own(t) == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_secrets_of_one_case_and_around_base_spans(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    syllables = "con fig ur a tion man ag er help func val ue the or di na ry name some i den ti fier ex am ple read write ta ble list".split()
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
+    corpus = spark.createDataFrame([(i, " ".join(word() for _ in range(80))) for i in range(200)], "doc_id long, text string")
+    table = secrets.trained(corpus)
+    secret = ["qzjxkvwpfhgtrbnmlsdc", "QZJXKVWPFHGTRBNMLSDC", "qzjxkvwp-fhgtrbnm-lsdcqwer", "Qzjxkvwpfhgtrbnmlsdc", "XqZ9vKw0123456789abcdefWqK7zR"]
+    plain = ["-" * 40, "." * 40, "=" * 40, "_" * 20, "=-" * 12, "X" * 20, "configurationManager", "ordinary_identifier_name", "ORDINARY_IDENTIFIER_NAME", "CONFIGURATIONMANAGER"]
+    df = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(secret + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df, "text", table).collect()}
+    assert [got[i] for i in range(len(secret))] == ["a [secret] b"] * len(secret)
+    assert [got[len(secret) + i] for i in range(len(plain))] == [f"a {t} b" for t in plain]

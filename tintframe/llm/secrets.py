@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # The patterns of the base spans and the least lengths of what they match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -18,10 +20,8 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 STATES = len(ALPHABET) + 1  # state 0: the start, or any other character
-#: A token of the models: 16 characters or more of the alphabet, with a digit or with lower before upper case.
-TOKEN = (
-    r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9]|[A-Z0-9+/_.=-]*+[a-z][a-z0-9+/_.=-]*+[A-Z])[A-Za-z0-9+/_.=-]{16,}"
-)
+#: A token of the models: any whole run of 16 characters or more of the alphabet; the margin alone decides.
+TOKEN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+"
 #: Documents, on average, whose words are samples of identifiers; a hash of the id picks them.
 SAMPLE_DOCS = 1000
 MARGIN = 0.75
@@ -32,10 +32,13 @@ def labelled_samples(df: DataFrame, id_col: str, text_col: str, sample_docs: int
     """(token, random): labelled samples from a bounded sample of rows.
 
     Random ones are digests of the ids in hexadecimal, base 64 and capital letters with digits. Ordinary ones are the words of the
-    texts, alone and joined in pairs as identifiers are: snake_case, camelCase, dotted and as paths.
+    texts, alone and joined in pairs as identifiers are: snake_case, camelCase, dotted, as paths and as CONSTANT_CASE; and
+    rules and fillers, which repeat a character or two.
     """
     n = df.count()
     drawn = df.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(max(n, 1))) < sample_docs)
+    # written, or the filters that Spark infers from the generators make the samples of all rows
+    drawn = written(drawn.select(id_col, text_col), "sample")
     digest = F.sha2(F.col(id_col).cast("string"), 256)
     raw = F.base64(F.unhex(digest))
     random = F.array(F.substring(digest, 1, 40), F.substring(raw, 1, 40), F.upper(F.regexp_replace(raw, "[+/=]", "")))
@@ -50,8 +53,10 @@ def labelled_samples(df: DataFrame, id_col: str, text_col: str, sample_docs: int
             F.when(i % 5 == 3, F.initcap(p["b"])).otherwise(p["b"]),
         ),
     )
+    constants = F.transform(F.filter(pairs, lambda p: p.contains("_")), F.upper)
+    rules = F.array(*(F.lit(c * 20) for c in ALPHABET), *(F.lit((a + b) * 10) for a in "=-_.+/" for b in "=-_.+/" if a != b))
     both = drawn.select(
-        F.when(F.col(id_col).isNotNull(), random).alias("r"), F.concat(words, pairs).alias("w")
+        F.when(F.col(id_col).isNotNull(), random).alias("r"), F.concat(words, pairs, constants, rules).alias("w")
     )
     return both.select(F.explode("r").alias("token"), F.lit(True).alias("random")).unionByName(
         both.select(F.explode("w").alias("token"), F.lit(False).alias("random"))
@@ -115,10 +120,10 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
 def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float = MARGIN) -> DataFrame:
     """``df`` with base_spans and markov_spans, arrays of (start, rank, stop) in code points, each by start.
 
-    rank is the place in KINDS. A null or empty text has no spans. Tokens of the models that overlap a base
-    span are left out. Columns of these names are replaced; rows are independent of each other.
+    rank is the place in KINDS. A null or empty text has no spans. Tokens of the models may overlap base spans
+    and are whole. Columns of these names are replaced; rows are independent of each other.
     """
-    names = ["base_spans", "markov_spans", "__text", "__token"]
+    names = ["base_spans", "markov_spans", "__text"]
     df = df.drop(*names).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     text = F.col("__text")
     base = F.concat(
@@ -128,9 +133,7 @@ def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float
         _spans(text, f"{HEX[:-1]}{{{HEX_LENGTH},}}", "hex", lambda h: F.length(h) >= HEX_LENGTH),
     )
     tokens = _spans(text, TOKEN, "markov", lambda h: log_ratio(h, table) > margin)
-    out = df.withColumns({"base_spans": F.array_sort(base), "__token": tokens})
-    free = lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-    return out.withColumn("markov_spans", F.filter("__token", free)).drop("__text", "__token")
+    return df.withColumns({"base_spans": F.array_sort(base), "markov_spans": tokens}).drop("__text")
 
 
 def redact(df: DataFrame, text_col: str, table: np.ndarray, mark: str = "[secret]", margin: float = MARGIN) -> DataFrame:
