@@ -2,7 +2,7 @@
 
 import pytest
 
-from tintframe.llm import common, secrets, tokens
+from tintframe.llm import common, html_extract, secrets, tokens
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -41,3 +41,13 @@ def test_secrets_of_one_case_and_around_base_spans(spark):
     got = {r.doc_id: r.text for r in secrets.redact(df, "text", table).collect()}
     assert [got[i] for i in range(len(secret))] == ["a [secret] b"] * len(secret)
     assert [got[len(secret) + i] for i in range(len(plain))] == [f"a {t} b" for t in plain]
+
+
+def test_an_open_head_ends_and_fallback_content_is_seen():
+    article = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>shown</object> here.</p><button>Go on</button></article>"
+    want = ["Let x=1 be shown here.", "Go on"]
+    texts = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    head = "<html><head><meta charset=utf-8><title>x</title><style>p{}</style><script>1</script>"
+    for page in (f"{head}<body>{article}", f"{head}{article}", f"{head}</head><body>{article}", f"<head><template><p>no</p></template>{article}"):
+        assert texts(page) == want
+    assert texts(f"{head}plain words<p>more") == ["plain words", "more"]

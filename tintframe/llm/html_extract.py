@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title textarea select option svg math iframe object canvas audio video button".split())
+HIDDEN = set("script style noscript template head title textarea select option svg iframe canvas audio video annotation annotation-xml".split())
 RAW = set("script style textarea title noscript iframe".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br img".split()
+    "time tt u var wbr br img object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder "
+    "mover munderover semantics".split()
 )
+#: What may stand in a head; any other start tag, or text, ends an open one.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Words of a class or id that name a part of a page; one feature for each.
 PARTS = (
     "ad ads advert advertisement article author banner body breadcrumb byline caption comment comments content cookie consent copyright "
@@ -75,6 +78,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def add(text):
         nonlocal linked, opened
+        if stack and stack[-1][0] == "head" and text and not text.isspace():
+            close(len(stack) - 1)
         if text and not hidden:
             if opened is None and not text.isspace():
                 opened = tuple(e for e in stack if e[0] not in INLINE)
@@ -112,6 +117,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             add(" ")
         if tag not in INLINE:
