@@ -2,7 +2,7 @@
 
 import pytest
 
-from tintframe.llm import common, html_extract, secrets, tokens
+from tintframe.llm import common, html_extract, packing, secrets, tokens
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -51,3 +51,27 @@ def test_an_open_head_ends_and_fallback_content_is_seen():
     for page in (f"{head}<body>{article}", f"{head}{article}", f"{head}</head><body>{article}", f"<head><template><p>no</p></template>{article}"):
         assert texts(page) == want
     assert texts(f"{head}plain words<p>more") == ["plain words", "more"]
+
+
+@pytest.mark.parametrize(("counts", "room"), [({9: 1, 7: 2, 5: 1, 4: 2, 3: 1, 2: 2}, 16), ({8: 2, 3: 1}, 13), ({7: 2, 6: 1, 2: 3}, 23), ({11: 1, 6: 3, 1: 2}, 20)])
+def test_fillings_equal_brute_force(counts, room):
+    import itertools
+    from collections import Counter
+
+    items = sorted(Counter(counts).elements(), reverse=True)
+    every = {c for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+
+    def holds(bins, parts):
+        return not parts or any(holds(bins[:i] + (b - parts[0],) + bins[i + 1 :], parts[1:]) for i, b in enumerate(bins) if b >= parts[0])
+
+    want = {f for f in every if not any(g != f and holds(g, f) for g in every)}
+    assert {f for f in packing.fillings(counts, room) if f is not None} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100])
+def test_fillings_of_four_parts_are_found(n):
+    from collections import Counter
+
+    counts = dict.fromkeys((401, 200, 151, 140, 132), n)
+    plan = packing.bin_completion(counts)
+    assert sum(c for _, c in plan) == n and Counter(x for p, c in plan for x in p * c) == Counter(counts)

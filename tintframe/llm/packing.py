@@ -72,68 +72,72 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(p, c) for bins in open_bins.values() for p, c in bins.items()]
 
 
-def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, then larger first lengths; at most ``width`` of them.
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None):
+    """The undominated fillings of ``room``, of any number of parts, one by one: least waste first, then larger first lengths.
+    None stands for a step of the search that gave no filling.
 
-    A filling is dominated by one whose lengths hold disjoint parts of its own. A single length that fills
-    the room dominates all; a pair must beat the largest single, and a larger one the pairs that hold two of its parts.
+    A filling is dominated if another's lengths hold disjoint groups of its parts. Then a single free length, no smaller, takes
+    the place of one group (of several parts, of one smaller part or of none) and still fits; this also rules out all that
+    contains the group, so the search drops it at once.
     """
-    has = np.zeros(room + 1, dtype=np.int64)
-    for length, c in counts.items():
-        if length <= room:
-            has[length] = c
-    fit = np.where(has > 0, np.arange(room + 1), 0)
-    largest = np.maximum.accumulate(fit)  # the largest length available up to each room
-    single = int(largest[room])
-    if not single:
-        return [()]
-    if single == room:
-        return [(room,)]
-    found: dict[tuple[int, ...], int] = {(single,): room - single}
-    lengths = np.flatnonzero(has)[::-1]
-
-    def second(rest: int, used: tuple[int, ...]) -> int:
-        b = int(largest[rest]) if rest > 0 else 0
-        while b and has[b] - used.count(b) <= 0:
-            b = int(largest[b - 1])
-        return b
-
-    for a in lengths:
-        a = int(a)
-        b = second(min(room - a, a), (a,))
-        if not b or a + b <= single:
+    lengths = sorted((k for k, c in counts.items() if c and k <= room), reverse=True)
+    every = (1 << (room + 1)) - 1
+    reach = [1]  # of each suffix of lengths: bit s is set if some of them sum to s
+    for length in reversed(lengths):
+        bits, left, step = reach[-1], min(counts[length], room // length), 1
+        while left:
+            use = min(step, left)
+            bits |= bits << (use * length) & every
+            left, step = left - use, step * 2
+        reach.append(bits)
+    reach.reverse()
+
+    def smeared(bits: int, width: int) -> int:
+        """Bits moved up by 0 to ``width``."""
+        done = 0
+        while done < width:
+            by = min(done + 1, width - done)
+            bits, done = bits | bits << by, done + by
+        return bits
+
+    for waste in range(room if most_waste is None else min(room, most_waste), -1, -1)[::-1]:
+        if not reach[0] >> (room - waste) & 1:
             continue
-        found[(a, b)] = room - a - b
-        if a + b < room:
-            pair = second(room - a, (a,))
-            for b2 in lengths[lengths <= min(a, pair)][:24]:
-                b2 = int(b2)
-                if b2 == a and has[a] < 2:
+        # (index of the next length, sum still to find, parts, their bits, sums of two or more, lengths that are free)
+        free = sum(1 << k for k in lengths)
+        todo = [(0, room - waste, (), 0, 0, free)]
+        while todo:
+            at, rest, parts, ones, sums, free = todo.pop()
+            # that a free length fits in the waste is known at the end only: further parts may use it up
+            held = smeared(sums, waste) | (smeared((ones | (not rest)) << 1, waste - 1) if waste else 0)
+            if held & free:
+                yield None
+                continue
+            if not rest:
+                yield parts
+                continue
+            more = []
+            for i in range(at, len(lengths)):
+                length = lengths[i]
+                if length > rest or not reach[i + 1] >> (rest - length) & 1 and not reach[i] >> (rest - length) & 1:
+                    continue
+                used = parts.count(length) + 1
+                if used > counts[length]:
                     continue
-                c = second(min(room - a - b2, b2), (a, b2))
-                total = a + b2 + c
-                if c and total <= room and b2 + c > int(largest[min(room - a, room)]):
-                    found.setdefault((a, b2, c), room - total)
-        if sum(1 for w in found.values() if w == 0) >= width:
-            break
-    ordered = sorted(found, key=lambda p: (found[p], [-x for x in p]))[:width]
-    # more short lengths in what is left open
-    out = []
-    for p in ordered:
-        used, rest = list(p), room - sum(p)
-        while rest and (x := second(rest, tuple(used))):
-            used.append(x)
-            rest -= x
-        out.append(tuple(used))
-    return list(dict.fromkeys(out))
+                still = free & ~(1 << length) if used == counts[length] else free
+                more.append((i, rest - length, (*parts, length), ones | 1 << length, sums | sums << length | ones << length, still))
+            todo += reversed(more)
+            if not more:
+                yield None
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Bin patterns with repeat counts for a histogram of lengths 1 to ``capacity``.
 
-    Depth-first: the largest length left is completed by each undominated filling in turn, repeated as often as the
-    counts allow. A branch ends when the bins so far and the bound of the rest can't beat the incumbent, at first and at each node
-    the best-fit solution of the rest. ``nodes`` bounds the work; the incumbent is returned when they are used up.
+    Depth-first: the largest length left is completed by each undominated filling in turn, repeated as often as the counts allow,
+    then less often. A branch ends when the bins so far and the bound of the rest, or the waste, can't beat the incumbent, at
+    first and at each node the best-fit solution of the rest. ``nodes`` bounds the work: nodes, and steps of the search
+    for fillings, 64 of which count as one node; the incumbent is returned when they are used up.
     """
     counts = {k: v for k, v in counts.items() if v}
     if any(k > capacity or k < 1 for k in counts):
@@ -141,32 +145,49 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     if not counts:
         return []
     goal = lower_bound(counts, capacity)
+    volume = sum(k * v for k, v in counts.items())
     best: Plan = best_fit(counts, capacity)
-    best_bins, visited = sum(c for _, c in best), 0
-    stack: list[tuple[dict[int, int], Plan, int]] = [(counts, [], 0)]
-    while stack and best_bins > goal and visited < nodes:
-        left, plan, bins = stack.pop()
-        visited += 1
-        if not left:
-            if bins < best_bins:
-                best, best_bins = plan, bins
-            continue
-        if bins + lower_bound(left, capacity) >= best_bins:
-            continue
-        if visited % 16 == 1:
-            rest = best_fit(left, capacity)
-            if bins + sum(c for _, c in rest) < best_bins:
-                best, best_bins = plan + rest, bins + sum(c for _, c in rest)
+    best_bins, steps = sum(c for _, c in best), 0
+    seen: dict[frozenset, int] = {}
+
+    def children(left: dict[int, int], wasted: int):
         top = max(left)
-        others = dict(left)
-        others[top] -= 1
-        others = {k: v for k, v in others.items() if v}
-        for filling in reversed(fillings(others, capacity - top, 4)):
+        others = {k: v - (k == top) for k, v in left.items() if v > (k == top)}
+        spare = (best_bins - 1) * capacity - volume - wasted
+        for filling in fillings(others, capacity - top, spare) if spare >= 0 else ():
+            if filling is None:
+                yield None
+                continue
             pattern = (top, *filling)
             need = Counter(pattern)
-            times = min(left[k] // c for k, c in need.items())
-            after = {k: v - times * need.get(k, 0) for k, v in left.items()}
-            stack.append(({k: v for k, v in after.items() if v}, [*plan, (pattern, times)], bins + times))
+            for times in range(min(left[k] // c for k, c in need.items()), 0, -1):
+                yield pattern, times, {k: n for k, v in left.items() if (n := v - times * need.get(k, 0))}
+
+    def opened(left: dict[int, int], plan: Plan, bins: int, wasted: int):
+        """The children of a node that may beat the incumbent; none of others."""
+        nonlocal best, best_bins
+        rest = best_fit(left, capacity)
+        if bins + sum(c for _, c in rest) < best_bins:
+            best, best_bins = plan + rest, bins + sum(c for _, c in rest)
+        key = frozenset(left.items())
+        if not left or seen.get(key, best_bins) <= bins or bins + lower_bound(left, capacity) >= best_bins:
+            return
+        seen[key] = bins
+        stack.append((plan, bins, wasted, children(left, wasted)))
+
+    stack: list = []
+    opened(counts, [], 0, 0)
+    while stack and best_bins > goal and steps < 64 * nodes:
+        plan, bins, wasted, more = stack[-1]
+        child = next(more, False)
+        if child is False:
+            stack.pop()
+        elif child is None:
+            steps += 1
+        else:
+            steps += 64
+            pattern, times, left = child
+            opened(left, [*plan, (pattern, times)], bins + times, wasted + times * (capacity - sum(pattern)))
     return best
 
 
