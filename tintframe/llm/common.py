@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves a session
+    that runs in one process (tests); on a cluster that would lose data, so it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tintframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,13 +36,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of what ``written`` has put in the shared folder, in order.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    """The result of ``make()``, written; what it wrote on the way there is deleted."""
+    mark = len(_WRITTEN)
+    out = written(make(), name)
+    hadoop, configuration = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for path in _WRITTEN[mark:-1]:
+        at = hadoop(path)
+        at.getFileSystem(configuration).delete(at, True)
+    del _WRITTEN[mark:-1]
+    return out
+
+
+ROW = "__row"
+
+
+def own_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``df`` and a column that tells all its rows apart: ``id_col`` itself where it does, or else ``ROW``, numbered in a
+    written copy, so that a task run again meets the same numbers."""
+    repeated = df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if repeated.isEmpty():
+        return df, id_col
+    return written(df.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), "numbered"), ROW
+
+
 #: Lists of ids up to this many rows are broadcast, longer ones are shuffled.
 BROADCAST_IDS = 500_000
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -60,9 +60,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of ``edges`` (columns u, v; any order, repeats and loops allowed).
 
-    component_id is the least node reachable. Each partition first turns its edges into a forest of stars. Each round is written to the shared folder. The star of a hub is
-    aggregated on the map side, and the joins on its key are left to adaptive skew splitting; no group is collected.
+    component_id is the least node reachable. Each partition first turns its edges into a forest of stars. Each round is written to the shared folder
+    and deleted once the result is. The star of a hub is aggregated on the map side, and the joins on its key are left to
+    adaptive skew splitting; no group is collected.
     """
+    return settled(edges.sparkSession, lambda: _rounds(edges, max_rounds), "components")
+
+
+def _rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
     now = written(ordered.mapInPandas(_forest, schema).distinct(), "edges")

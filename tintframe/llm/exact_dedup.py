@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids, written
+from .common import own_key, without_ids, written
 
 COUNTERS = 8192
 
@@ -90,9 +90,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``df`` that exact_dedup keeps, with their columns. Ids must be unique for one row a group to stay."""
-    dropped = exact_dedup(df, id_col, text_col, counters).filter(~F.col("kept"))
-    return without_ids(df, dropped.select("doc_id"), id_col)
+    """One whole row of ``df`` for each group of equal texts, with its columns: that of the largest id; a null id comes after all
+    others. Where rows repeat an id, or have none, they are told apart by a number of their own, and of rows alike in
+    text and id the one with the largest number stays. An empty input gives no rows."""
+    rows, key = own_key(df, id_col)
+    order = F.struct(F.col(id_col).alias("id"), F.col(key).alias("key"))
+    found = exact_dedup(rows.select(order.alias("order"), text_col), "order", text_col, counters)
+    dropped = found.filter(~F.col("kept")).select("doc_id.key")
+    return without_ids(rows, dropped, key).select(*df.columns)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@
 2. Routing, without loss: two linked sets differ in at most D shingles, D known from their size band. The shingles are dealt to
    more than D segments by hash, so that at least one segment is equal in both; classes that share a segment are routed to the same cluster.
 3. Within a cluster - split into blocks and block pairs of bounded size where it is large - a T-occurrence search runs for each
-   set: the DivideSkip way, its short inverted lists are merged, and candidates that reach the threshold less the
-   number of long lists are probed in those by binary search. Sets that reach the needed overlap are linked.
+   set: the DivideSkip way, its short inverted lists are merged (by sorting their ascending runs in one array, which does what a heap
+   would), and candidates that reach the threshold less the number of long lists are probed in those by binary search. Where a search
+   has more than ``PROBED`` candidates that it must try, the long lists are counted in one pass for all of them instead, which is exact
+   as well. Sets that reach the needed overlap are linked.
 4. Connected components of the links give each document its group. Copies and near copies never become all pairs:
    a set is not compared again with sets that the search has already joined to it.
 """
@@ -18,10 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, keyed_groups, mix, shingle_sets, slices, without_ids, written
+from .common import U64, keyed_groups, mix, own_key, shingle_sets, slices, without_ids, written
 from .components import connected_components
 
 CHARS_AT_ONCE = 1 << 18
+#: Sets and shingles of a block; a cluster beyond either is compared in pairs of blocks, whose rows are alike in number.
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 600_000
 #: Cluster tables up to this many rows (of at most 100 bytes) are broadcast, larger ones are shuffled.
@@ -295,10 +298,42 @@ def jaccard_groups(
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` without those whose group has another name: one document of each group of near copies stays."""
-    groups = jaccard_groups(df, id_col, text_col, width, num, den)
-    return without_ids(df, groups.filter("doc_id != component_id").select("doc_id"), id_col)
+    """One whole row of ``df`` for each group of near copies: that of the least id; a null id comes after all others. Where rows
+    repeat an id, or have none, they are told apart by a number of their own, and of those alike in id the one
+    with the least number stays. Rows without words are no group and all stay."""
+    rows, key = own_key(df, id_col)
+    groups = jaccard_groups(rows, key, text_col, width, num, den)
+    if key != id_col:
+        # groups are named by row numbers here: the row to stay is the one with the least id
+        named = written(groups.filter("n_shingles > 0").join(rows.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")), "doc_id"), "groups")
+        order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("key"))
+        stay = written(named.groupBy("component_id").agg(F.min(order)["key"].alias("stay")), "stay")
+        dropped = named.join(stay, "component_id").filter("doc_id != stay")
+    else:
+        dropped = groups.filter("doc_id != component_id")
+    return without_ids(rows, dropped.select("doc_id"), key).select(*df.columns)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM words
+),
+classes AS (SELECT s, min(doc_id) AS cls FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), s),
+items AS (SELECT cls, unnest(s) AS h FROM classes),
+sizes AS (SELECT cls, len(s) AS n FROM classes),
+pairs AS (SELECT a.cls AS u, b.cls AS v, count(*) AS both FROM items a JOIN items b ON a.h = b.h AND a.cls < b.cls GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.cls = u JOIN sizes y ON y.cls = v WHERE 100*both >= 90*(x.n + y.n - both)),
+either AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT cls, cls AS least FROM classes UNION SELECT v, least FROM reach JOIN either ON u = reach.cls WHERE least < v),
+names AS (SELECT cls, min(least) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = list_sort(classes.s) AND len(sets.s) > 0 LEFT JOIN names USING (cls)
+"""

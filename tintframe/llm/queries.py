@@ -6,7 +6,7 @@ from .bpe import op9_bpe_roundtrip
 from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op1_html_extract
-from .jaccard import op10_jaccard_join
+from .jaccard import OP10_SQL, op10_jaccard_join
 from .langid import op8_language_id
 from .packing import op2_best_fit_packing
 from .secrets import op3_secret_scan
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL = {"op7_exact_dedup": OP7_SQL}
+SQL = {"op6_embedding_dedup": "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
