@@ -18,6 +18,8 @@ SEED = 8
 #: Letter classes: 0 is a word's edge; U+0041 to U+024F have their own, other letters share the rest by hash.
 CLASSES = 640
 CHARS_AT_ONCE = 1 << 19
+#: Trigrams whose vectors are held at once.
+GRAMS_AT_ONCE = 4096
 #: Added to each text's length in a slice, so that a slice holds few texts.
 PER_TEXT = 2000
 UNKNOWN = "und"
@@ -61,6 +63,27 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[1:-1][same], gram[same]
 
 
+def long_trigrams(text: str):
+    """The trigrams of one text, as ``trigrams`` has them, in runs of ``CHARS_AT_ONCE`` at most: two bytes a character are held."""
+    if not _TABLE:
+        _TABLE.append(letter_table())
+    pieces, before = [np.zeros(1, dtype=np.int16)], 0
+    for at in range(0, len(text), CHARS_AT_ONCE):
+        points = np.frombuffer(text[at : at + CHARS_AT_ONCE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        code = _TABLE[0][points]
+        keep = code != 0
+        keep[1:] |= code[:-1] != 0
+        keep[0] |= before != 0
+        before = int(code[-1])
+        pieces.append(code[keep])
+    pieces.append(np.zeros(int(before != 0), dtype=np.int16))
+    code = np.concatenate(pieces)
+    for at in range(0, len(code) - 2, CHARS_AT_ONCE):
+        part = code[at : at + CHARS_AT_ONCE + 2].astype(np.int64)
+        inside = (part[1:-1] != 0) | ((part[:-2] != 0) & (part[2:] != 0))
+        yield ((part[:-2] * CLASSES + part[1:-1]) * CLASSES + part[2:])[inside]
+
+
 def numbered(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct trigrams, ascending, and each trigram's place among them; without sorting where few letters occur."""
     parts = gram // (CLASSES * CLASSES), gram // CLASSES % CLASSES, gram % CLASSES
@@ -99,10 +122,11 @@ def train_prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lan
             for lang, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
                 for i, j in slices(texts, lambda t: len(t) + 1, CHARS_AT_ONCE):
-                    gram = trigrams(texts[i:j])[1]
-                    if len(gram):
-                        grams, place = numbered(gram)
-                        yield pd.DataFrame({"lang": lang, "gram": grams, "n": np.bincount(place)})
+                    long = j - i == 1 and len(texts[i]) > CHARS_AT_ONCE
+                    for gram in long_trigrams(texts[i]) if long else (trigrams(texts[i:j])[1],):
+                        if len(gram):
+                            grams, place = numbered(gram)
+                            yield pd.DataFrame({"lang": lang, "gram": grams, "n": np.bincount(place)})
 
     def bundle(batches):
         import pandas as pd
@@ -110,8 +134,8 @@ def train_prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         letters, sums = letter_vectors(dimensions, seed), {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                for at in range(0, len(part), 4096):
-                    block = part.iloc[at : at + 4096]
+                for at in range(0, len(part), GRAMS_AT_ONCE):
+                    block = part.iloc[at : at + GRAMS_AT_ONCE]
                     weight = np.sqrt(block["n"].to_numpy(dtype=np.float64))
                     sums[lang] = sums.get(lang, 0) + weight @ gram_vectors(block["gram"].to_numpy(), letters).astype(np.float64)
         if sums:
@@ -126,8 +150,15 @@ def train_prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     return [r["lang"] for r in found], np.array([r["v"] for r in found], dtype=np.float64).reshape(len(found), dimensions)
 
 
-def with_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """``df`` with lang_pred and score (the cosine, from 0 to 1); columns of these names are replaced.
+def with_language(
+    df: DataFrame,
+    languages: list[str],
+    prototypes: np.ndarray,
+    text_col: str = "text",
+    seed: int = SEED,
+    out_cols: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``df`` with lang_pred and score (the cosine, from 0 to 1) in ``out_cols``; columns of these names are replaced.
 
     ``und`` with score 0 for a null text, one without letters, or where no language was learned; equal cosines go to the
     language first in alphabetical order. Whole texts count; other columns are not looked at, and rows are independent.
@@ -145,31 +176,63 @@ def with_language(df: DataFrame, languages: list[str], prototypes: np.ndarray, t
         texts = ["" if t is None else t for t in texts]
         pred, score = np.full(len(texts), -1), np.zeros(len(texts))
         for i, j in slices(texts, lambda t: len(t) + PER_TEXT, CHARS_AT_ONCE):
-            owner, gram = trigrams(texts[i:j])
-            if not len(gram) or not len(unit):
-                continue
-            grams, place = numbered(gram)
-            n = np.bincount(owner * len(grams) + place, minlength=(j - i) * len(grams)).reshape(j - i, -1)
-            vectors = np.sqrt(n, dtype=np.float32) @ gram_vectors(grams, letters).astype(np.float32)
+            if not len(unit):
+                break
+            vectors, some = text_vectors(texts[i:j], letters)
             norm = np.linalg.norm(vectors, axis=1)
             cos = vectors @ unit.T / np.maximum(norm, 1e-30)[:, None]
-            some = n.any(axis=1)
             pred[i:j] = np.where(some, cos.argmax(axis=1), -1)
             score[i:j] = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0)
         return pd.DataFrame({"lang_pred": names[pred], "score": score})
 
-    found = df.drop("lang_pred", "score").withColumn("__language", predict(F.col(text_col).cast("string")))
-    return found.withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language")
+    found = df.drop(*out_cols).withColumn("__language", predict(F.col(text_col).cast("string")))
+    return found.withColumns({out_cols[0]: F.col("__language.lang_pred"), out_cols[1]: F.col("__language.score")}).drop("__language")
+
+
+def text_vectors(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A vector for each text, and whether it has any trigram; memory is bounded by ``GRAMS_AT_ONCE`` vectors beside the counts."""
+    long = len(texts) == 1 and len(texts[0]) > CHARS_AT_ONCE
+    vectors, some = np.zeros((len(texts), letters.shape[1]), dtype=np.float32), np.zeros(len(texts), dtype=bool)
+    if long:
+        grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for gram in long_trigrams(texts[0]):
+            more, place = np.unique(np.concatenate([grams, gram]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n, np.ones(len(gram), np.int64)])).astype(np.int64)
+            grams = more
+        owner, place = np.zeros(len(grams), np.int64), np.arange(len(grams))
+    else:
+        owner, gram = trigrams(texts)
+        if not len(gram):
+            return vectors, some
+        grams, place = numbered(gram)
+        n = None
+        if len(grams) > GRAMS_AT_ONCE:
+            order = np.argsort(place, kind="stable")
+            owner, place = owner[order], place[order]
+    some[owner] = True
+    for at in range(0, len(grams), GRAMS_AT_ONCE):
+        block = grams[at : at + GRAMS_AT_ONCE]
+        i, j = (0, len(place)) if len(grams) <= GRAMS_AT_ONCE else np.searchsorted(place, [at, at + GRAMS_AT_ONCE])
+        cell = owner[i:j] * len(block) + place[i:j] - at
+        counts = np.bincount(cell, None if n is None else n[i:j], minlength=len(texts) * len(block)).reshape(len(texts), -1)
+        vectors += np.sqrt(counts, dtype=np.float32) @ gram_vectors(block, letters).astype(np.float32)
+    return vectors, some
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(df: DataFrame) -> DataFrame:
+def identify(df: DataFrame, out_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``documents`` with lang_pred and score, learned from its own rows that are not held out."""
     languages, prototypes = train_prototypes(df.filter(~held_out()))
-    return with_language(df, languages, prototypes)
+    return with_language(df, languages, prototypes, out_cols=out_cols)
+
+
+def in_a_language(df: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that have a language, with their own columns only: null texts and those without a letter go."""
+    found = identify(df, ("__lang_pred", "__score"))
+    return found.filter(F.col("__lang_pred") != UNKNOWN).select(*df.columns)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
