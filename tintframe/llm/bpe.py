@@ -8,6 +8,7 @@ also cross it in the pair alone. All pairs are tested at once against known verd
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import json
 import re
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import U64, Spans, mix, slices
 from .tokens import byte_alphabet
 
-WORD_CACHE = 300_000
+#: Words, and bytes of words, that a task remembers; verdicts on pairs of tokens likewise.
+WORD_CACHE, CACHE_BYTES, VERDICTS = 300_000, 32 << 20, 2_000_000
 LONG_WORD = 256
 CHARS_AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -77,10 +79,12 @@ class WordBpe:
         self.flat = np.array([x for i in range(self.empty) for x in self.symbols.get(i, [])])
         self._table()
         self.verdicts: dict[int, bool] = {}
+        self.cached_bytes = 0
         self.words: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.shown: list[str] = []
         self.exact_words = 0
+        self.ranks: dict[int, tuple[int, int]] | None = None
 
     def start(self, raw: bytes, last: bool) -> list[int]:
         out = [self.inner[b] for b in raw]
@@ -158,6 +162,38 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return word[order], sym[order]
 
+    def merge_long(self, symbols: list[int]) -> list[int]:
+        """The exact merges of one long word: a heap of pairs by rank and place over a linked list of symbols."""
+        n = len(symbols)
+        sym, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
+        array = np.array(symbols, dtype=np.int64)
+        rank, new = self._pair_rows(array[:-1], array[1:])
+        heap = [(r, i, symbols[i], symbols[i + 1], m) for i, (r, m) in enumerate(zip(rank.tolist(), new.tolist(), strict=True)) if r < NEVER]
+        heapq.heapify(heap)
+
+        def push(i, j):
+            pair = self._one_pair(sym[i], sym[j])
+            if pair:
+                heapq.heappush(heap, (pair[0], i, sym[i], sym[j], pair[1]))
+
+        while heap:
+            _, i, a, b, m = heapq.heappop(heap)
+            j = after[i] if sym[i] == a else -1
+            if j < 0 or sym[j] != b:
+                continue  # one of the two is gone
+            sym[i], sym[j], after[i] = m, -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+                push(i, after[j])
+            if before[i] >= 0:
+                push(before[i], i)
+        return [s for s in sym if s >= 0]
+
+    def _one_pair(self, a: int, b: int) -> tuple[int, int] | None:
+        if self.ranks is None:
+            self.ranks = dict(zip(self.pair_keys.tolist(), zip(self.pair_rank.tolist(), self.pair_new.tolist())))
+        return self.ranks.get((a << 20) | b)
+
     def _gather(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The start symbols of each token, one after another, and their number."""
         size = self.sizes[tokens]
@@ -205,6 +241,8 @@ class WordBpe:
 
     def agreed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether a before b stays so (b = -1: whether a encodes to itself); pairs not met before are merged, once."""
+        if len(self.verdicts) > VERDICTS:
+            self.verdicts = {}
         pairs, where = np.unique((a << 20) | (b + 1), return_inverse=True)
         unknown = np.array([p for p in pairs.tolist() if p not in self.verdicts], dtype=np.int64)
         if len(unknown):
@@ -226,9 +264,9 @@ class WordBpe:
         ends = np.cumsum(size)
         raw = np.frombuffer(b"".join(r for r in raws if len(r) <= LONG_WORD), dtype=np.uint8)
         word, token = self.speculate(raw, ends - size, ends)
-        for i in np.flatnonzero(size == 0):
-            proposal = self.greedy(raws[i])
-            word, token = np.concatenate([word, np.full(len(proposal), i)]), np.concatenate([token, proposal]).astype(np.int64)
+        long = [(i, self.greedy(raws[i])) for i in np.flatnonzero(size == 0)]
+        word = np.concatenate([word, *(np.full(len(p), i) for i, p in long)])
+        token = np.concatenate([token, *(np.array(p, dtype=np.int64) for _, p in long)])
         order = np.argsort(word, kind="stable")
         word, token = word[order], token[order]
         fails = np.zeros(len(words), dtype=bool)
@@ -237,11 +275,17 @@ class WordBpe:
         fails[word[~self.agreed(token, np.full(len(token), -1))]] = True
         failed = np.flatnonzero(fails)
         if len(failed):
-            starts = [self.start(raws[i], True) for i in failed]
+            short = failed[size[failed] > 0]
+            starts = [self.start(raws[i], True) for i in short]
             sizes = np.array([len(s) for s in starts], dtype=np.int64)
             again, merged = self.merge_many(np.array([x for s in starts for x in s], dtype=np.int64), sizes)
             fine = ~fails[word]
-            word, token = np.concatenate([word[fine], failed[again]]), np.concatenate([token[fine], merged])
+            words_, tokens_ = [word[fine], short[again]], [token[fine], merged]
+            for i in failed[size[failed] == 0]:
+                merged = self.merge_long(self.start(raws[i], True))
+                words_.append(np.full(len(merged), i))
+                tokens_.append(np.array(merged, dtype=np.int64))
+            word, token = np.concatenate(words_), np.concatenate(tokens_)
             order = np.argsort(word, kind="stable")
             word, token = word[order], token[order]
         self.exact_words += len(failed)
@@ -256,9 +300,10 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORD_CACHE:
-            self.words, self.ids, self.shown = {}, [], []
+        if len(self.words) + len(new) > WORD_CACHE or self.cached_bytes > CACHE_BYTES:
+            self.words, self.ids, self.shown, self.cached_bytes = {}, [], [], 0
             new = list(words)
+        self.cached_bytes += sum(map(len, new))
         token, cuts = self.encode_words(new)
         self.words.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
         raw, shown, cuts = token.astype("<u4").tobytes(), [self.strings[i] for i in token.tolist()], cuts.tolist()
