@@ -25,6 +25,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+"
 #: Documents, on average, whose words are samples of identifiers; a hash of the id picks them.
 SAMPLE_DOCS = 1000
 MARGIN = 0.75
+BLOCK_CHARS = 4096
 KINDS = ("assign", "access", "hex", "markov")
 
 
@@ -99,22 +100,50 @@ def log_ratio(token: Column, table: np.ndarray) -> Column:
     return sums["sum"] / F.length(token)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once: a lambda would evaluate an outer expression at each of its steps."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(items: Column, plus) -> Column:
+    """For each of an array of INTs (a lambda's variable) what ``plus`` makes of 0 and those before it. In two levels, runs of about the
+    square root of their number, since appending to an array copies it."""
+    run = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), run), lambda k: F.slice(items, k, run))
+
+    def upto(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(values, first, step)["all"]
+
+    whole = lambda rs: upto(F.transform(rs, lambda r: F.aggregate(r, F.lit(0), plus)), F.lit(0))
+    return F.flatten(_let(runs, lambda rs: F.zip_with(rs, whole(rs), upto)))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """Spans of the leftmost non-overlapping matches that ``keep`` takes: positions add up from the pieces between them."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("gap"))
     none = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-
-    def step(acc, x):
-        stop = acc["at"] + F.length(x["hit"])
-        span = F.struct(acc["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("stop"))
-        return F.struct(
-            (stop + F.length(x["gap"])).alias("at"),
-            F.when(keep(x["hit"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
+    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+
+    def placed(ps: Column) -> Column:
+        sizes = F.transform(ps, lambda p: F.length(p["hit"]) + F.length(p["gap"]))
+        starts = _let(sizes, lambda ns: _before(ns, lambda a, x: a + x))
+        spans = F.zip_with(
+            ps,
+            starts,
+            lambda p, at: F.when(
+                keep(p["hit"]),
+                F.struct(
+                    (at + F.length(p["gap"])).alias("start"),
+                    F.lit(KINDS.index(kind)).alias("rank"),
+                    (at + F.length(p["gap"]) + F.length(p["hit"])).alias("stop"),
+                ),
+            ),
         )
+        return F.array_compact(spans)
 
-    start = F.struct(F.length(F.get(gaps, F.lit(0))).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["spans"]).otherwise(none)
+    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(none)
 
 
 def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float = MARGIN) -> DataFrame:
@@ -137,20 +166,32 @@ def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float
 
 
 def redact(df: DataFrame, text_col: str, table: np.ndarray, mark: str = "[secret]", margin: float = MARGIN) -> DataFrame:
-    """``df`` with every span of its texts replaced by ``mark``, overlapping spans by one; other rows and columns stay."""
+    """``df`` with every span of its texts replaced by ``mark``, overlapping spans by one; other rows and columns stay.
+
+    Texts are put together from blocks of ``BLOCK_CHARS`` characters, so that cutting a piece does not read its text from the start.
+    """
     found = find_secrets(df, text_col, table, margin)
-    spans, text = F.array_sort(F.concat("base_spans", "markov_spans")), F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col(text_col)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
 
-    def step(acc, s):
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out")
-        )
+    def cut(parts: Column, begin: Column, end: Column) -> Column:
+        at = lambda x: F.floor(x / BLOCK_CHARS).cast("int")
+
+        def within(k: Column) -> Column:
+            first = F.greatest(begin, k * BLOCK_CHARS)
+            return F.substring(F.get(parts, k), first - k * BLOCK_CHARS + 1, end - first)
+
+        return F.when(end > begin, F.array_join(F.transform(F.sequence(at(begin), at(end - 1)), within), "")).otherwise("")
+
+    def marked(spans: Column) -> Column:
+        """Between marks stands what lies from the end of all spans so far to the next one that begins there or later."""
+        covered = _let(F.transform(spans, lambda s: s["stop"]), lambda stops: _before(stops, lambda a, x: F.greatest(a, x)))
+        fresh = F.filter(F.arrays_zip(covered.alias("begin"), F.transform(spans, lambda s: s["start"]).alias("end")), lambda p: p["end"] >= p["begin"])
+        last = F.struct(F.array_max(F.transform(spans, lambda s: s["stop"])).alias("begin"), F.length(text).alias("end"))
+        return _let(blocks, lambda bs: F.array_join(F.transform(F.concat(fresh, F.array(last)), lambda p: cut(bs, p["begin"], p["end"])), mark))
 
-    done = F.aggregate(spans, start, step)
-    clean = F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
-    return found.withColumn(text_col, clean).select(*df.columns)
+    clean = F.when(F.size("base_spans") + F.size("markov_spans") > 0, _let(F.array_sort(F.concat("base_spans", "markov_spans")), marked))
+    return found.withColumn(text_col, F.coalesce(clean, text)).select(*df.columns)
 
 
 def shown(spans: Column) -> Column:
