@@ -1,6 +1,6 @@
 """HTML main-text extraction by a linear-chain CRF over DOM leaf blocks (operator 1).
 
-A page is cut into leaf blocks: runs of text between block-level tags, each with its open tags. Features of ancestor tags, their
+A page is cut into leaf blocks: runs of text between block-level tags, each with its open elements. Features of ancestor tags, their
 class and id words, and the text feed a linear-chain conditional random field with two labels, trained on labelled pages
 and decoded by Viterbi. The blocks labelled content are the text.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,13 +18,17 @@ from pyspark.sql import functions as F
 
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title textarea select option svg iframe canvas audio video annotation annotation-xml".split())
-RAW = set("script style textarea title noscript iframe".split())
-INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br img object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder "
-    "mover munderover semantics".split()
+HIDDEN = set("script style noscript template head title textarea svg iframe canvas audio video annotation annotation-xml".split())
+RAW = set("script style textarea title noscript iframe noembed noframes xmp".split())
+#: Block-level elements; all others, unknown and custom ones too, are inline.
+BLOCKS = set(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section "
+    "summary table tbody td template tfoot th thead title tr ul xmp".split()
 )
+#: Inline controls: their text is a block of its own, without a cut in the text around them.
+CONTROLS = set("button select".split())
+OPTIONS = set("option optgroup".split())
 #: What may stand in a head; any other start tag, or text, ends an open one.
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Words of a class or id that name a part of a page; one feature for each.
@@ -34,114 +39,233 @@ PARTS = (
     "text toolbar topbar trending warning widget"
 ).split()
 HASHED = 256
-SAMPLE_PAGES = 300
-#: Longer pages are not trained on (they are all decoded), which bounds the driver's memory.
-MOST_BLOCKS = 120
+#: The bounds of the sample that the CRF is trained on: pages, and characters of one. Longer pages are not drawn; all are decoded.
+SAMPLE_PAGES, SAMPLE_CHARS = 300, 200_000
+#: Blocks of a training chain: longer pages are cut into several chains, all of which count.
+CHAIN = 120
 EPOCHS = 150
-MARK = "\ue000"  # of private use: never in a page's own text
+MARK = ""  # of private use: never in a page's own text
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A whole tag by the standard's rules for attributes; possessive, so that it is read once.
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+|=)*+)>"""
+)
+_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[a-z]+")
 #: A start tag that ends an open paragraph or list item, as the HTML standard has it.
-_CLOSES = {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
-_CLOSES |= {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_SCOPE = set("article aside body dl div footer form header main nav ol section table td th ul".split())
+_CLOSES = {t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
+_CLOSES |= {"li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_SCOPE = set("article aside body dl div footer form header main nav ol section table td th ul select".split())
+#: Elements that an end tag does not reach out of.
+_BARRIERS = set("caption html object table td template th".split())
+_IN_TABLE = set("table tbody td tfoot th thead tr caption html body".split())
+
+
+class Element:
+    """An open element: tag, words of class, id and role, and the block element around it."""
+
+    __slots__ = ("tag", "words", "parent", "features")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Element | None):
+        self.tag, self.words, self.parent, self.features = tag, words, parent, None
+
+    def up(self):
+        e = self
+        while e is not None:
+            yield e
+            e = e.parent
 
 
 class Block:
-    __slots__ = ("text", "path", "linked")
+    """A leaf block: its text, its innermost block-level element (None outside of all), how many characters are links."""
+
+    __slots__ = ("text", "element", "linked", "begin")
+
+    def __init__(self, text: str, element: Element | None, linked: int, begin: int):
+        self.text, self.element, self.linked, self.begin = text, element, linked, begin
+
+    @property
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        return [(e.tag, e.words) for e in self.element.up()][::-1] if self.element else []
+
+
+class _Run:
+    """Text of a block that is still open."""
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    __slots__ = ("parts", "linked", "element", "begin")
+
+    def __init__(self):
+        self.parts: list[str] = []
+        self.linked, self.element, self.begin = 0, None, -1
+
+
+class _Reader:
+    """Reads a page once, in time linear in its length: open elements are found by their tags' own stacks of places."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.late: list[Block] = []
+        self.stack: list[tuple[str, Element | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block-level elements, of scopes and of barriers
+        self.scopes: list[int] = []
+        self.barriers: list[int] = []
+        self.hidden = self.anchors = self.controls = 0
+        self.main, self.control = _Run(), _Run()
+
+    def take(self, run: _Run, to: list[Block]) -> None:
+        if run.parts:
+            text = " ".join("".join(run.parts).split())
+            if text:
+                to.append(Block(text, run.element, run.linked, run.begin))
+            run.__init__()
+
+    def flush(self) -> None:
+        self.take(self.control, self.late)
+        self.take(self.main, self.late)
+        if self.late:
+            self.late.sort(key=lambda b: b.begin)
+            self.out += self.late
+            self.late = []
+
+    def add(self, text: str, at: int) -> None:
+        if not text:
+            return
+        blank = text.isspace()
+        if self.stack and self.stack[-1][0] == "head" and not blank:
+            self.close(len(self.stack) - 1)
+        if self.hidden:
+            return
+        run = self.control if self.controls else self.main
+        text = html.unescape(text) if "&" in text else text
+        if run.begin < 0 and not blank:
+            run.begin, run.element = at, self.around()
+        run.parts.append(text)
+        if self.anchors:
+            run.linked += len(" ".join(text.split()))
+
+    def around(self) -> Element | None:
+        if self.controls:
+            return next(e for _, e in reversed(self.stack) if e is not None)
+        return self.stack[self.blocks[-1]][1] if self.blocks else None
+
+    def open(self, tag: str, words: tuple[str, ...]) -> None:
+        at, own = len(self.stack), None
+        if tag in BLOCKS or tag in CONTROLS:
+            own = Element(tag, words, self.stack[self.blocks[-1]][1] if self.blocks else None)
+        self.stack.append((tag, own))
+        self.places.setdefault(tag, []).append(at)
+        for kinds, places in ((BLOCKS, self.blocks), (_SCOPE, self.scopes), (_BARRIERS, self.barriers)):
+            if tag in kinds:
+                places.append(at)
+        self.hidden += tag in HIDDEN
+        self.anchors += tag == "a"
+        self.controls += tag in CONTROLS
+
+    def close(self, k: int) -> None:
+        for tag, _ in self.stack[k:]:
+            self.places[tag].pop()
+            self.hidden -= tag in HIDDEN
+            self.anchors -= tag == "a"
+            if tag in CONTROLS:
+                self.controls -= 1
+                if not self.controls:
+                    self.take(self.control, self.late)
+        del self.stack[k:]
+        for places in (self.blocks, self.scopes, self.barriers):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def end(self, tag: str) -> None:
+        if self.controls and tag in OPTIONS:
+            self.take(self.control, self.late)
+        elif tag in BLOCKS:
+            self.flush()
+        mine = self.places.get(tag)
+        if not mine:
+            return
+        wall = self.barriers if tag in BLOCKS or tag in CONTROLS else self.blocks
+        if wall and wall[-1] > mine[-1] and tag not in _IN_TABLE:
+            return
+        self.close(mine[-1])
+
+    def start(self, tag: str, attributes: str, at: int) -> None:
+        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.close(len(self.stack) - 1)
+        if tag == "br":
+            self.add(" ", at)
+        if self.controls and tag in OPTIONS:
+            self.take(self.control, self.late)
+        elif tag in BLOCKS:
+            if self.places.get("select"):
+                self.close(self.places["select"][-1])  # one left open
+            self.flush()
+        if tag in _CLOSES:
+            reach = max((self.places[t][-1] for t in _CLOSES[tag] if self.places.get(t)), default=-1)
+            scopes = self.scopes
+            while reach >= 0 and not (scopes and scopes[-1] > reach):
+                self.close(reach)
+                break
+        if tag in VOID or (attributes.rstrip().endswith("/") and self.foreign()):
+            return
+        words = tuple(w for a in _ATTR.findall(attributes) for w in _WORD.findall(" ".join(a[1:]).lower())) if "=" in attributes else ()
+        self.open(tag, words)
+
+    def foreign(self) -> bool:
+        """Inside svg or math, where ``/>`` ends an element."""
+        return bool(self.places.get("svg") or self.places.get("math"))
+
+
+@functools.lru_cache(maxsize=32)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """The visible leaf blocks of a page in order: text with references decoded and white space made one space, and the open
-    elements (tag, attribute words) around it. Broken markup is read as far as it goes; null has no blocks."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = hidden = anchors = at = 0
-    opened: tuple | None = None
-
-    def flush():
-        nonlocal linked, opened
-        if not parts:
-            return
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            out.append(Block(text, opened or (), linked))
-        parts.clear()
-        linked, opened = 0, None
-
-    def add(text):
-        nonlocal linked, opened
-        if stack and stack[-1][0] == "head" and text and not text.isspace():
-            close(len(stack) - 1)
-        if text and not hidden:
-            if opened is None and not text.isspace():
-                opened = tuple(e for e in stack if e[0] not in INLINE)
-            parts.append(text)
-            if anchors:
-                linked += len(" ".join(text.split()))
-
-    def close(k):
-        nonlocal hidden, anchors
-        for tag, _ in stack[k:]:
-            hidden -= tag in HIDDEN
-            anchors -= tag == "a"
-        del stack[k:]
-
-    page = page or ""
+    elements (tag, attribute words) around it. Broken markup is read as the standard reads it, as far as it goes: a tag or comment that
+    never ends takes the rest of the page. Null has no blocks."""
+    page, reader, at = page or "", _Reader(), 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
+        found = page.find("<", at)
+        if found < 0:
+            reader.add(page[at:], at)
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            add(html.escape(m[0][9:-3]))
-        if m[2] is None:
+        reader.add(page[at:found], at)
+        after = page[found + 1 : found + 3]
+        if after[:1] in ("!", "?") or (after[:1] == "/" and not after[1:].isalpha() and len(after) == 2):
+            if page.startswith("<!--", found):
+                stop = page.find("-->", found + 2)
+                at = stop + 3 if stop >= 0 else len(page)
+            elif page.startswith("<![CDATA[", found) and reader.foreign():
+                stop = page.find("]]>", found)
+                stop = stop if stop >= 0 else len(page)
+                reader.add(html.escape(page[found + 9 : stop]), found)
+                at = stop + 3
+            else:
+                stop = page.find(">", found)
+                at = stop + 1 if stop >= 0 else len(page)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in INLINE:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if not (after[:1].isascii() and after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha()):
+            reader.add("<", found)
+            at = found + 1
             continue
-        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
-            close(len(stack) - 1)
-        if tag == "br":
-            add(" ")
-        if tag not in INLINE:
-            flush()
-            ends = _CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        m = _TAG.match(page, found)
+        if not m:  # a tag without an end
+            break
+        at, tag = m.end(), m[2].lower()
+        if m[1]:
+            reader.end(tag)
             continue
-        words = tuple(w for a in _ATTR.findall(m[3]) for w in _WORD.findall(" ".join(a[1:]).lower())) if "=" in m[3] else ()
-        stack.append((tag, words))
-        hidden += tag in HIDDEN
-        anchors += tag == "a"
-    flush()
-    return out
+        reader.start(tag, m[3], found)
+        if tag in RAW and reader.stack and reader.stack[-1][0] == tag:
+            stop = _end_of(tag).search(page, at)
+            if not stop:
+                break
+            at = stop.start()
+    reader.flush()
+    return reader.out
 
 
 #: Feature numbers: a bias, text features, tags and parts of ancestors, hashed tags and words beyond those.
@@ -162,9 +286,22 @@ def _hashed(word: str) -> int:
 
 
 @functools.lru_cache(maxsize=20_000)
-def _element_features(element: tuple[str, tuple[str, ...]]) -> list[int]:
-    tag, words = element
-    return [_OF_TAG[tag] if tag in _OF_TAG else _hashed(tag), *(_OF_PART[w] if w in _OF_PART else _hashed(w) for w in words)]
+def _own_features(tag: str, words: tuple[str, ...]) -> frozenset[int]:
+    return frozenset([_OF_TAG[tag] if tag in _OF_TAG else _hashed(tag), *(_OF_PART[w] if w in _OF_PART else _hashed(w) for w in words)])
+
+
+def _features_of(element: Element | None) -> frozenset[int]:
+    """The features of an element and all around it; those that add none share their parent's."""
+    todo = []
+    while element is not None and element.features is None:
+        todo.append(element)
+        element = element.parent
+    found = element.features if element is not None else frozenset()
+    for e in reversed(todo):
+        own = _own_features(e.tag, e.words)
+        found = found if own <= found else found | own
+        e.features = found
+    return found
 
 
 def block_features(blocks: list[Block]) -> list[list[int]]:
@@ -178,11 +315,9 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
         share = b.linked / max(n, 1)
         f = [0, min((words + 1).bit_length(), 9), 10 + (share > 0) + (share > 0.3) + (share > 0.7), 14 + ends, 16 + (i == 0), 18 + (i == len(blocks) - 1)]
         f += [20] * bool(n < 400 and _NOTICE.search(b.text)) + [21] * bool(_DIGIT.search(b.text)) + [22] * (n < 25) + [23] * (marks * 40 > n)
-        if b.path:
-            f.append(_NEAREST.get(b.path[-1][0], _hashed("<" + b.path[-1][0])))
-        for element in b.path:
-            f += _element_features(element)
-        out.append(sorted(set(f)))
+        if b.element:
+            f.append(_NEAREST.get(b.element.tag, _hashed("<" + b.element.tag)))
+        out.append(sorted({*f, *_features_of(b.element)}))
     return out
 
 
@@ -213,26 +348,27 @@ class Crf:
 
     @staticmethod
     def train(pages: list[tuple[list[list[int]], np.ndarray]], epochs: int = EPOCHS, l2: float = 3e-4, rate: float = 0.3) -> Crf:
-        """Maximum likelihood with an L2 penalty, by Adagrad on whole-sample gradients from forward-backward sums."""
-        pages = [p for p in pages if p[0]]
-        size = np.array([len(f) for f, _ in pages])
-        order = np.argsort(-size, kind="stable")
-        pages, size = [pages[i] for i in order], size[order]
-        most, n = (int(size.max()) if len(size) else 0), len(pages)
-        x = np.zeros((n, most, FEATURES), dtype=np.float32)
-        y = np.zeros((n, most, 2))
-        for i, (features, labels) in enumerate(pages):
-            for k, f in enumerate(features):
-                x[i, k, f] = 1
-            y[i, np.arange(len(labels)), labels] = 1
+        """Maximum likelihood with an L2 penalty, by Adagrad on whole-sample gradients from forward-backward sums. A page of more than
+        ``CHAIN`` blocks is several chains, so that the time and memory follow the number of blocks."""
+        chains = [(f[k : k + CHAIN], y[k : k + CHAIN]) for f, y in pages for k in range(0, len(f), CHAIN)]
+        chains.sort(key=lambda c: -len(c[0]))
+        size = np.array([len(f) for f, _ in chains], dtype=np.int64)
+        most, n, total = (int(size.max()) if len(size) else 0), len(chains), int(size.sum())
+        # active features one after another, and the block of each; blocks lie in chains of equal length, padded
+        active = np.array([x for f, _ in chains for block in f for x in block], dtype=np.int64)
+        block = np.repeat(np.arange(total), [len(b) for f, _ in chains for b in f]) if total else active
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if total else active
         inside = np.arange(most) < size[:, None]
-        flat = x.reshape(-1, FEATURES)
+        y = np.zeros((n, most, 2))
+        y[inside] = np.eye(2)[np.concatenate([labels for _, labels in chains])] if total else 0
         w, t = np.zeros((FEATURES, 2)), np.zeros((2, 2))
         gw2, gt2 = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
         pairs = inside[:, 1:].astype(float)
         seen_t = np.einsum("nka,nkb,nk->ab", y[:, :-1], y[:, 1:], pairs) if n else t
+        weight = max(len(pages), 1)
         for _ in range(epochs if n else 0):
-            e = (flat @ w.astype(np.float32)).astype(np.float64).reshape(n, most, 2)
+            e = np.zeros((n, most, 2))
+            e[inside] = np.add.reduceat(w[active], first, axis=0)
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0]
             for k in range(1, most):
@@ -242,52 +378,88 @@ class Crf:
                 ahead = e[:, k + 1] + beta[:, k + 1]
                 step = np.logaddexp(t[:, 0] + ahead[:, 0, None], t[:, 1] + ahead[:, 1, None])
                 beta[:, k] = np.where(inside[:, k + 1, None], step, 0)
-            total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
-            p = np.exp(alpha + beta - total[:, :, None]) * inside[:, :, None]
-            pair = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - total[:, :, None, None]) * pairs[:, :, None, None]
-            gw = (flat.T @ (y * inside[:, :, None] - p).reshape(-1, 2).astype(np.float32)).astype(np.float64) / n - l2 * w
-            gt = (seen_t - pair.sum(axis=(0, 1))) / n - l2 * t
+            total_ = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
+            p = np.exp(alpha + beta - total_[:, :, None]) * inside[:, :, None]
+            pair = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - total_[:, :, None, None]) * pairs[:, :, None, None]
+            miss = (y - p)[inside][block]
+            gw = np.stack([np.bincount(active, miss[:, c], FEATURES) for c in (0, 1)], axis=1) / weight - l2 * w
+            gt = (seen_t - pair.sum(axis=(0, 1))) / weight - l2 * t
             gw2 += gw * gw
             gt2 += gt * gt
             w, t = w + rate * gw / np.sqrt(gw2), t + rate * gt / np.sqrt(gt2)
         return Crf(w, t)
 
 
+OUTSIDE = set("nav aside footer form header button select".split())
+NOISE = set("ad ads advert advertisement comment comments cookie consent sidebar related share social newsletter promo sponsored reply notice menu nav navbar footer header banner popup widget".split())
+
+
 def weak_labels(blocks: list[Block]) -> np.ndarray | None:
-    """Labels of a page whose markup names its article: blocks in ``article`` or ``main``, outside of the parts that are never
-    content, are content. None where no element does."""
-    outside = {"nav", "aside", "footer", "form", "header"}
-    noise = set("ad ads advert advertisement comment comments cookie consent sidebar related share social newsletter promo sponsored reply notice menu".split())
-    named = [any(t in ("article", "main") for t, _ in b.path) for b in blocks]
-    if not any(named):
-        return None
-    bad = [any(t in outside or noise & set(w) for t, w in b.path) for b in blocks]
-    return np.array([int(a and not c) for a, c in zip(named, bad, strict=True)])
-
-
-def labelled_pages(sample: list[tuple[int, str | None]], seed: int = 1) -> list[tuple[list[list[int]], np.ndarray]]:
+    """Labels that a page's own layout suggests. Content lies in its ``article`` or ``main`` elements; where it has none, in the innermost
+    element that holds nine tenths of the page's running text (words that are no links, in parts whose names aren't those of other
+    things). Blocks in parts that are never content are not. None where there is no such text."""
+    named, other = {None: False}, {None: False}
+
+    def inherited(element: Element | None, known: dict, own) -> bool:
+        todo = []
+        while element not in known:
+            todo.append(element)
+            element = element.parent
+        found = known[element]
+        for e in reversed(todo):
+            found = known[e] = found or own(e)
+        return found
+
+    bad = [inherited(b.element, other, lambda e: e.tag in OUTSIDE or bool(NOISE & set(e.words))) for b in blocks]
+    inside = [inherited(b.element, named, lambda e: e.tag in ("article", "main")) for b in blocks]
+    if not any(inside):
+        text = [0 if x else len(b.text) - min(b.linked, len(b.text)) for b, x in zip(blocks, bad, strict=True)]
+        held: dict[Element, int] = {}
+        for b, n in zip(blocks, text, strict=True):
+            for e in b.element.up() if b.element and n else ():
+                held[e] = held.get(e, 0) + n
+        enough = [e for e, n in held.items() if 10 * n >= 9 * sum(text)]
+        if not enough:
+            return None
+        best = max(enough, key=lambda e: sum(1 for _ in e.up()))
+        inside = [b.element is not None and any(e is best for e in b.element.up()) for b in blocks]
+    return np.array([int(a and not x) for a, x in zip(inside, bad, strict=True)], dtype=np.int64)
+
+
+def labelled_pages(sample: list[str | None], seed: int = 1) -> list[tuple[list[list[int]], np.ndarray]]:
     """Training pages from sampled ones: the pages themselves with weak labels, and each one's texts laid out anew by templates of
-    other kinds of page - plain ``div`` layouts, sidebars, notices, forms, comments - with labels that are known."""
+    other kinds of page - plain ``div`` layouts, sidebars, notices, forms, comments - with labels that are known. Where no page has
+    content that can be told, it warns, and made texts are laid out."""
     rng = np.random.Generator(np.random.PCG64(seed))
     out = []
     bodies: list[list[str]] = []
-    for _, page in sample:
+    for page in sample:
         blocks = leaf_blocks(page)
         labels = weak_labels(blocks)
-        if labels is not None and len(blocks) <= MOST_BLOCKS:
+        if labels is not None and labels.any():
             out.append((block_features(blocks), labels))
-            bodies.append([b.text for b, k in zip(blocks, labels, strict=True) if k][:12])
-    bodies = [b for b in bodies if b] or [["A few words of text stand here, and more follow. They end now."]]
+            bodies.append([b.text for b, k in zip(blocks, labels, strict=True) if k])
+    if not bodies:
+        warnings.warn("no page of the sample has content that its layout tells; the extractor is trained on made pages only", stacklevel=2)
+        bodies = [_made_body(rng) for _ in range(100)]
     for i in range(len(bodies)):
         made = _templates(bodies[i], bodies[int(rng.integers(len(bodies)))], rng)
         blocks = leaf_blocks(made)
-        labels = np.array([int(b.text.startswith(MARK)) for b in blocks])
+        labels = np.array([int(b.text.startswith(MARK)) for b in blocks], dtype=np.int64)
         for b in blocks:
             b.text = b.text.removeprefix(MARK).strip() or "."
         out.append((block_features(blocks), labels))
     return out
 
 
+def _made_body(rng) -> list[str]:
+    """A heading and paragraphs of made words."""
+    syllables = "an ber con den er fo gi ha in jo ka lo men ni or per qua re sta ti un ver wo xi yo zu".split()
+    word = lambda: "".join(rng.choice(syllables, int(rng.integers(1, 4))))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    return [sentence(int(rng.integers(3, 9)))[:-1], *(" ".join(sentence(int(rng.integers(5, 16))) for _ in range(int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 8))))]
+
+
 def _templates(body: list[str], other: list[str], rng) -> str:
     """One made page; content blocks start with MARK."""
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
@@ -331,12 +503,22 @@ def _templates(body: list[str], other: list[str], rng) -> str:
     return "<html><head><title>x</title></head><body>" + "".join(before) + middle + "".join(after) + "</body></html>"
 
 
-def train_extractor(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Crf:
-    """A CRF from about ``sample_pages`` pages, drawn by a hash of the id: a documented bound of labelled rows."""
-    n = df.count()
-    drawn = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(max(n, 1))) < sample_pages
-    rows = df.filter(drawn).select(F.xxhash64(id_col), F.substring(F.col(html_col).cast("string"), 1, 200_000)).collect()
-    return Crf.train(labelled_pages(sorted((r[0], r[1] or "") for r in rows)))
+def train_extractor(
+    df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS
+) -> Crf:
+    """A CRF from ``sample_pages`` different pages of at most ``sample_chars`` characters, those of least hash of id and page: a documented
+    bound of labelled rows, whatever ids repeat. Longer pages are not in the sample, so a table of such pages alone is read by a model
+    trained on made pages (with a warning); no page is cut."""
+    page = F.col(html_col).cast("string")
+    rows = df.filter(F.length(page) <= sample_chars).select(F.xxhash64(F.lit("train"), id_col, page).alias("h"), page.alias("html"))
+    n = max(rows.count(), 1)
+    drawn = rows.filter(F.pmod("h", F.lit(n)) < 8 * sample_pages) if n > 8 * sample_pages else rows
+    least = [r["h"] for r in drawn.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    if not least and n > 8 * sample_pages:  # few different pages, none of them drawn
+        least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+        drawn = rows
+    found = drawn.filter(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").limit(sample_pages)
+    return Crf.train(labelled_pages([r["html"] for r in found.collect()]))
 
 
 def main_text(page: str | None, crf: Crf) -> str:
