@@ -25,8 +25,8 @@ from .components import connected_components
 
 CHARS_AT_ONCE = 1 << 18
 #: Sets and shingles of a block; a cluster beyond either is compared in pairs of blocks, whose rows are alike in number.
-BLOCK_SETS = 1024
-BLOCK_SHINGLES = 600_000
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 300_000
 #: Cluster tables up to this many rows (of at most 100 bytes) are broadcast, larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 #: Sets that a task remembers to route copies once.

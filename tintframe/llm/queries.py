@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_roundtrip
-from .embedding_dedup import op6_embedding_dedup
+from .embedding_dedup import OP6_SQL, op6_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op1_html_extract
 from .jaccard import OP10_SQL, op10_jaccard_join
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL = {"op6_embedding_dedup": "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+SQL = {"op6_embedding_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
