@@ -45,3 +45,9 @@ def sniff(content: Column) -> Column:
     """``rendered`` for JPEG or PNG magic bytes, ``raw`` for all else; names are never trusted."""
     head = F.hex(F.substring(content, 1, 8))
     return F.when(head.startswith("FFD8FF") | (head == "89504E470D0A1A0A"), "rendered").otherwise("raw")
+
+
+def default_quad(width: Column, height: Column, inset: float = 0.08) -> Column:
+    """The frame's rectangle, inset by a share of its sides: eight numbers from top left, clockwise."""
+    left, right, top, bottom = width * inset, width * (1 - inset), height * inset, height * (1 - inset)
+    return F.array(left, top, right, top, right, bottom, left, bottom)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .ordering import with_place
+
 EXTENSIONS = ("dng", "raw", "cr3", "nef", "jpg", "jpeg", "png")
 MAX_FILES, MAX_SUGGESTIONS = 200, 50
 
@@ -20,14 +23,34 @@ def stem(path: Column) -> Column:
 
 
 def output_names(inputs: DataFrame, extension: str) -> DataFrame:
-    """path, output: ``stem.ext``, then ``stem-1.ext`` and so on for repeated stems in input order.
+    """path, output, natural: for each file in input order the first free of ``stem.ext``, ``stem-1.ext``, ``stem-2.ext`` and so on.
 
-    Exact where no stem ends as a made name would; ``natural`` marks stems that do, for the caller to settle one by one.
+    Stems can meet each other's made names only where one continues the other by ``-1``, ``-12`` and the like. Where no stem does so
+    (``natural`` is false), a file's number is its place among its stem's. The other stems of a family, which has one
+    root without such an end, are named in input order, one family at a time.
     """
-    named = inputs.withColumn("stem", stem(F.col("path")))
-    again = F.row_number().over(Window.partitionBy("stem").orderBy("parts")) - 1
-    name = F.concat("stem", F.when(again > 0, F.concat(F.lit("-"), again.cast("string"))).otherwise(""), F.lit(f".{extension}"))
-    return named.select("path", name.alias("output"), F.col("stem").rlike("-[0-9]+$").alias("natural"))
+    named = with_place(inputs.withColumn("stem", stem(F.col("path"))), ["parts"])
+    family = named.select("path", "stem", "place", F.regexp_replace("stem", r"(?<=.)(-[1-9][0-9]*)+$", "").alias("root"))
+    mixed = written(family.groupBy("root").agg(F.max(F.col("stem") != F.col("root")).alias("natural")), "families")
+    split = family.join(mixed, "root")
+    again = F.row_number().over(Window.partitionBy("stem").orderBy("place")) - 1
+    suffix = F.when(again > 0, F.concat(F.lit("-"), again.cast("string"))).otherwise("")
+    plain = split.filter(~F.col("natural")).select("path", F.concat("stem", suffix).alias("name"), "natural")
+
+    def settle(pdf):
+        taken, following, names = set(), {}, []
+        pdf = pdf.sort_values("place")
+        for own in pdf["stem"]:
+            name, k = own, following.get(own, 1)
+            while name in taken:
+                name, k = f"{own}-{k}", k + 1
+            following[own] = k
+            taken.add(name)
+            names.append(name)
+        return pdf.assign(name=names)[["path", "name", "natural"]]
+
+    odd = split.filter("natural").groupBy("root").applyInPandas(settle, "path string, name string, natural boolean")
+    return plain.unionByName(odd).select("path", F.concat("name", F.lit(f".{extension}")).alias("output"), "natural")
 
 
 def skip_existing(planned: DataFrame, existing: DataFrame) -> DataFrame:

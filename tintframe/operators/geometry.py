@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.chart import COLUMNS, ROWS
 
+TILE = 32
+
 
 def bilinear(corners: list[tuple[Column, Column]], u: Column, v: Column) -> tuple[Column, Column]:
     """The image point of chart coordinates; corners in the order top left, top right, bottom right, bottom left."""
@@ -45,9 +47,13 @@ def inside() -> Column:
 
 
 def pixels_in_patches(pixels: DataFrame, polygons: DataFrame, on: list[str]) -> DataFrame:
-    """Pixels (x, y and ``on``) joined with the polygons that hold them. The bounds are plain comparisons, tested first.
+    """Pixels (x, y and ``on``) joined with the polygons that hold them.
 
-    ``polygons`` must be one chart's 24 rows, or 24 rows for each key of ``on``; only the former is broadcast.
+    Both sides carry the number of a square tile of ``TILE`` pixels, of which a polygon has all that its bounds touch, so the join is
+    an equality and a pixel meets only the polygons of its tile.
     """
-    hit = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")) & inside()
-    return pixels.join(polygons, on).filter(hit) if on else pixels.join(F.broadcast(polygons), hit)
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    tiled = polygons.withColumn("__ty", F.explode(F.sequence(tile("min_y"), tile("max_y"))))
+    tiled = tiled.withColumn("__tx", F.explode(F.sequence(tile("min_x"), tile("max_x"))))
+    placed = pixels.withColumns({"__tx": tile("x"), "__ty": tile("y")})
+    return placed.join(tiled, [*on, "__tx", "__ty"]).filter(inside()).drop("__tx", "__ty")

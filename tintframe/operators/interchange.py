@@ -1,4 +1,4 @@
-"""Interchange: LUT nodes, trilinear interpolation and its error, CLF text, and DCP matrices. Stages are one row per frame."""
+"""Interchange forms of fitted stages: LUT nodes and trilinear lookup, their error, and DCP matrices."""
 
 from __future__ import annotations
 
@@ -68,3 +68,15 @@ def dcp_matrices(stages: DataFrame) -> DataFrame:
     return df.withColumn("exposure_offset", F.when(good, -F.log2(top))).select(
         "frame", *(f"{p}{i}{j}" for p in "fk" for i in range(3) for j in range(3)), "exposure_offset"
     )
+
+
+def thumbnail_pixels(pixels: DataFrame, width: int, height: int, most: int = 512) -> DataFrame:
+    """The pixels (x, y) nearest to the centres of a thumbnail of ``most`` pixels a side at most, with their place there, tx and ty."""
+    scale = max(1.0, max(width, height) / most)
+    spark = pixels.sparkSession
+    for axis, size in (("x", width), ("y", height)):
+        n = max(1, int(size / scale + 0.5))
+        source = F.least(F.floor((F.col("id") + 0.5) * size / n), F.lit(size - 1)).cast("int")
+        picked = spark.range(n).select(source.alias(axis), F.col("id").cast("int").alias(f"t{axis}"))
+        pixels = pixels.join(F.broadcast(picked), axis)
+    return pixels

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.colour import BRADFORD_D65_TO_D50, D50_XYZ, RGB_TO_XYZ
 from ..operators import batch, contract, interchange, stencil
 from ..operators import calibration as C
+from ..operators.ordering import with_place
 from ..sources import adapters
 from ..sources.chart import chart_reference
 from . import sql as S
@@ -45,6 +46,10 @@ CHECKED = f"""checked AS (SELECT *, CASE WHEN source_kind IS NULL THEN NULL WHEN
   lens <> '{ACTIVE["lens"]}' AS lens_mismatch, iso <> {ACTIVE["iso"]} AS iso_mismatch, captured_at <> '{ACTIVE["captured_at"]}' AS time_different FROM caps)"""
 
 
+def captures_of(spark, sf_dir):
+    return adapters.captures(spark, sf_dir)
+
+
 def checked(spark, sf_dir):
     return batch.mismatches(adapters.captures(spark, sf_dir), ACTIVE, True)
 
@@ -72,40 +77,39 @@ def o02_suggestions_topk(spark, sf_dir):
     return batch.suggestions(adapters.captures(spark, sf_dir), adapters.library(spark, sf_dir))
 
 
-INPUTS = """files AS (SELECT printf('in/%d/%d/img-%s.%s', doc_id % 7, doc_id % 3, lang || (doc_id % 50), (['dng', 'JPG', 'txt', 'nef', 'md'])[doc_id % 5 + 1]) AS path FROM documents)"""
+INPUTS = """files AS (SELECT printf('in/%d/%d/img-%s.%s', doc_id % 7, doc_id % 3, lang || (doc_id % 50) || CASE WHEN doc_id % 11 = 0 THEN '-1' WHEN doc_id % 13 = 0 THEN '-1-2' ELSE '' END, (['dng', 'JPG', 'txt', 'nef', 'md'])[doc_id % 5 + 1]) AS path FROM documents)"""
 
 
 def inputs(spark, sf_dir):
     i = F.col("doc_id")
     kinds = F.array(*map(F.lit, ("dng", "JPG", "txt", "nef", "md")))
-    name = F.concat("lang", (i % 50).cast("string"))
+    end = F.when(i % 11 == 0, "-1").when(i % 13 == 0, "-1-2").otherwise("")  # stems that meet made names
+    name = F.concat("lang", (i % 50).cast("string"), end)
     path = F.format_string("in/%d/%d/img-%s.%s", i % 7, i % 3, name, F.element_at(kinds, (i % 5 + 1).cast("int")))
     return adapters.table(spark, sf_dir, "documents").select(path.alias("path"))
 
 
 _STEMMED = "stems AS (SELECT DISTINCT path, regexp_replace(split(path, '/')[-1], '(.)[.][^.]*$', '\\1') AS stem FROM files WHERE lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN ('dng', 'jpg', 'jpeg', 'png', 'nef', 'raw', 'cr3'))"
-_NAMED = "named AS (SELECT path, stem || CASE WHEN k > 0 THEN '-' || k ELSE '' END || '.tiff' AS output, regexp_matches(stem, '-[0-9]+$') AS natural FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY split(path, '/')) - 1 AS k FROM stems))"
+# one file after another, as the rule has it: the names taken so far go along
+_FREE = "list_filter(list_prepend(n.stem, list_transform(range(1, len(list_filter(t.taken, lambda x: starts_with(x, n.stem))) + 2), lambda k: n.stem || '-' || k)), lambda x: NOT list_contains(t.taken, x))[1]"
+_NAMED = f"""nth AS (SELECT path, stem, row_number() OVER (ORDER BY split(path, '/')) AS i FROM stems),
+taking AS (/* each row the names so far */ SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS name
+  UNION ALL SELECT n.i, list_append(t.taken, {_FREE}), n.path, {_FREE} FROM taking t JOIN nth n ON n.i = t.i + 1),
+named AS (SELECT path, name || '.tiff' AS output FROM taking WHERE i > 0)"""
 
 
-@query(S.with_(INPUTS, _STEMMED, _NAMED) + "SELECT path, output, \"natural\" FROM named".replace('"natural"', "natural_stem AS natural_name"))
+@query(S.with_(INPUTS, _STEMMED, _NAMED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT path, output FROM named")
 def o07_output_names(spark, sf_dir):
-    out = batch.output_names(batch.collect_inputs(inputs(spark, sf_dir)), "tiff")
-    return out.withColumnRenamed("natural", "natural_name")
-
-
-SQL["o07_output_names"] = SQL["o07_output_names"].replace("AS natural FROM", "AS natural_stem FROM")
+    return batch.output_names(batch.collect_inputs(inputs(spark, sf_dir)), "tiff").select("path", "output")
 
 
 @query(S.with_(INPUTS, _STEMMED) + "SELECT path, CAST(row_number() OVER (ORDER BY split(path, '/')) AS INT) AS place FROM stems")
 def s01_collect_inputs(spark, sf_dir):
-    """The accepted files in component order: a report whose order is the feature, hence one global sort."""
-    from pyspark.sql import Window
+    """The accepted files in component order."""
+    return with_place(batch.collect_inputs(inputs(spark, sf_dir)), ["parts"]).select("path", F.col("place").cast("int").alias("place"))
 
-    found = batch.collect_inputs(inputs(spark, sf_dir))
-    return found.select("path", F.row_number().over(Window.orderBy("parts")).alias("place"))
 
-
-@query(S.with_(INPUTS, _STEMMED, _NAMED).replace("AS natural FROM", "AS natural_stem FROM") + "SELECT path, output FROM named WHERE output NOT IN (SELECT DISTINCT 'img-en' || (o_orderkey % 50) || '.tiff' FROM orders WHERE o_orderkey % 3 = 0)")
+@query(S.with_(INPUTS, _STEMMED, _NAMED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT path, output FROM named WHERE output NOT IN (SELECT DISTINCT 'img-en' || (o_orderkey % 50) || '.tiff' FROM orders WHERE o_orderkey % 3 = 0)")
 def k15_skip_existing(spark, sf_dir):
     there = adapters.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
     there = there.select(F.concat(F.lit("img-en"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".tiff")).alias("output")).distinct()
@@ -118,13 +122,22 @@ def x01_sha256(spark, sf_dir):
     return adapters.table(spark, sf_dir, "documents").select("doc_id", digest.alias("digest"), F.left(digest, F.lit(12)).alias("short_id"))
 
 
-@query("""SELECT page_id, coalesce(nullif(rtrim(left(trim(translate(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'), 40), '-'), ''), 'entry') AS slug,
-  substring(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), 1, 200) AS escaped,
-  CASE WHEN hex(encode(substring(html, 1, 8))) LIKE 'FFD8FF%' OR hex(encode(substring(html, 1, 8))) = '89504E470D0A1A0A' THEN 'rendered' ELSE 'raw' END AS kind FROM pages""")
+_ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"""SELECT page_id, coalesce(nullif(rtrim(left(trim(translate(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'), 40), '-'), ''), 'entry') AS slug,
+  sha256({_ESCAPED}) AS escaped_sha256, length({_ESCAPED}) AS escaped_chars,
+  CASE WHEN page_id % 4 = 0 OR page_id % 4 = 1 THEN 'rendered' ELSE 'raw' END AS kind FROM pages""")
 def x03_slug_escape_sniff(spark, sf_dir):
+    """The whole escaped page by its digest and length. Every fourth page is taken as the content of a JPEG file, another fourth as that of a PNG
+    file: their magic bytes go before it."""
     pages = adapters.table(spark, sf_dir, "pages")
-    escaped = F.substring(T.escape_html(F.col("html")), 1, 200)
-    return pages.select("page_id", T.slug(F.col("url")).alias("slug"), escaped.alias("escaped"), T.sniff(F.col("html").cast("binary")).alias("kind"))
+    escaped = T.escape_html(F.col("html"))
+    magic = F.when(F.col("page_id") % 4 == 0, F.unhex(F.lit("FFD8FFE0"))).when(F.col("page_id") % 4 == 1, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.lit(b""))
+    content = F.concat(magic, F.col("html").cast("binary"))
+    return pages.select(
+        "page_id", T.slug(F.col("url")).alias("slug"), F.sha2(escaped, 256).alias("escaped_sha256"), F.length(escaped).cast("long").alias("escaped_chars"), T.sniff(content).alias("kind")
+    )
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_zip(t, generate_series(1, len(t))), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1]), '|') AS tags

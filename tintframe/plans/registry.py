@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, files
+from . import calibration, files, records
 
-QUERIES: dict = {**calibration.QUERIES, **files.QUERIES}
-SQL: dict = {**calibration.SQL, **files.SQL}
+QUERIES: dict = {**calibration.QUERIES, **files.QUERIES, **records.QUERIES}
+SQL: dict = {**calibration.SQL, **files.SQL, **records.SQL}
