@@ -324,16 +324,16 @@ WITH RECURSIVE words AS (
 ),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM words
+    ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) END AS s FROM words
 ),
-classes AS (SELECT s, min(doc_id) AS cls FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), s),
+classes AS (SELECT s, min(doc_id) AS cls FROM sets WHERE len(s) > 0 GROUP BY s),
 items AS (SELECT cls, unnest(s) AS h FROM classes),
 sizes AS (SELECT cls, len(s) AS n FROM classes),
-pairs AS (SELECT a.cls AS u, b.cls AS v, count(*) AS both FROM items a JOIN items b ON a.h = b.h AND a.cls < b.cls GROUP BY 1, 2),
-links AS (SELECT u, v FROM pairs JOIN sizes x ON x.cls = u JOIN sizes y ON y.cls = v WHERE 100*both >= 90*(x.n + y.n - both)),
+pairs AS (SELECT a.cls AS u, b.cls AS v, count(*) AS common FROM items a JOIN items b ON a.h = b.h AND a.cls < b.cls GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.cls = u JOIN sizes y ON y.cls = v WHERE 100*common >= 90*(x.n + y.n - common)),
 either AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (SELECT cls, cls AS least FROM classes UNION SELECT v, least FROM reach JOIN either ON u = reach.cls WHERE least < v),
 names AS (SELECT cls, min(least) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
-FROM sets LEFT JOIN classes ON list_sort(sets.s) = list_sort(classes.s) AND len(sets.s) > 0 LEFT JOIN names USING (cls)
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN names USING (cls)
 """
