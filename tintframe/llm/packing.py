@@ -9,6 +9,7 @@ a distributed two-level count, so no piece is ever collected.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 
@@ -22,6 +23,8 @@ from .tokens import byte_level_encoder, default_vocabulary
 CAPACITY = 1024
 END_ID = 2
 NODES = 2000
+#: Fillings of a node, those of least waste, that are put in order before they are tried.
+FIRST = 64
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -136,8 +139,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
 
     Depth-first: the largest length left is completed by each undominated filling in turn, repeated as often as the counts allow,
     then less often. A branch ends when the bins so far and the bound of the rest, or the waste, can't beat the incumbent, at
-    first and at each node the best-fit solution of the rest. ``nodes`` bounds the work: nodes, and steps of the search
-    for fillings, 64 of which count as one node; the incumbent is returned when they are used up.
+    first and at each node the best-fit solution of the rest. ``nodes`` bounds the work of each of two searches, which try fillings in
+    different order: nodes, and steps of the search for fillings, 64 of which count as one node; the incumbent is returned
+    when they are used up, so that a small gap to ``lower_bound`` may be left.
     """
     counts = {k: v for k, v in counts.items() if v}
     if any(k > capacity or k < 1 for k in counts):
@@ -147,14 +151,24 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     goal = lower_bound(counts, capacity)
     volume = sum(k * v for k, v in counts.items())
     best: Plan = best_fit(counts, capacity)
-    best_bins, steps = sum(c for _, c in best), 0
+    best_bins = sum(c for _, c in best)
     seen: dict[frozenset, int] = {}
 
     def children(left: dict[int, int], wasted: int):
         top = max(left)
         others = {k: v - (k == top) for k, v in left.items() if v > (k == top)}
         spare = (best_bins - 1) * capacity - volume - wasted
-        for filling in fillings(others, capacity - top, spare) if spare >= 0 else ():
+        room, found, steps_ = capacity - top, [], 0
+        every = fillings(others, room, spare) if spare >= 0 else iter(())
+        for filling in every if large_parts else ():
+            steps_ += 1
+            yield None
+            if filling is not None:
+                found.append(filling)
+            if len(found) == FIRST or steps_ == 4 * FIRST:
+                break
+        found.sort(key=lambda f: 20 * (room - sum(f)) ** 2 - sum(x * x for x in f))
+        for filling in itertools.chain(found, every):
             if filling is None:
                 yield None
                 continue
@@ -175,19 +189,25 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         seen[key] = bins
         stack.append((plan, bins, wasted, children(left, wasted)))
 
-    stack: list = []
-    opened(counts, [], 0, 0)
-    while stack and best_bins > goal and steps < 64 * nodes:
-        plan, bins, wasted, more = stack[-1]
-        child = next(more, False)
-        if child is False:
-            stack.pop()
-        elif child is None:
-            steps += 1
-        else:
-            steps += 64
-            pattern, times, left = child
-            opened(left, [*plan, (pattern, times)], bins + times, wasted + times * (capacity - sum(pattern)))
+    # first by least waste; then, of the fillings of least waste, those of large parts first, since small parts fit anywhere later on
+    for large_parts in (False, True):
+        stack: list = []
+        seen.clear()
+        steps = 0
+        opened(counts, [], 0, 0)
+        while stack and best_bins > goal and steps < 64 * nodes:
+            plan, bins, wasted, more = stack[-1]
+            child = next(more, False)
+            if child is False:
+                stack.pop()
+            elif child is None:
+                steps += 1
+            else:
+                steps += 64
+                pattern, times, left = child
+                opened(left, [*plan, (pattern, times)], bins + times, wasted + times * (capacity - sum(pattern)))
+        if not stack or best_bins <= goal:
+            break  # searched whole, or optimal
     return best
 
 
