@@ -19,7 +19,7 @@ SEED = 8
 CLASSES = 640
 CHARS_AT_ONCE = 1 << 19
 #: Trigrams whose vectors are held at once.
-GRAMS_AT_ONCE = 4096
+GRAMS_AT_ONCE = 16_384
 #: Added to each text's length in a slice, so that a slice holds few texts.
 PER_TEXT = 2000
 UNKNOWN = "und"
