@@ -3,6 +3,7 @@
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -90,3 +91,23 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "secret_scan", "packing"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Repeated and null ids, a very long text, columns with names of the stages' own; no unique text is lost."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"word{i % 977} and{i % 13}" for i in range(20_000))
+    words = lambda seed: " ".join(np.random.default_rng(seed).choice("the of and a to in is was that for on are with as his they".split(), 30))
+    rows = [(5, words(1)), (9, words(1)), (5, words(2)), (7, words(3)), (7, words(3)), (None, words(4)), (None, words(5)), (8, long), (8, long + " end"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    clash = ("__row", "score", "lang_pred", "digest", "key", "n", "cluster", "component_id", "base_spans", "__blocks", "piece")
+    df.withColumns({c: F.lit(f"own {c}") for c in clash}).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) >= {"doc_id", "text", "lang", "source", *clash} - {"__row"}, name
+    kept = Counter(r.text for r in docs.collect())
+    assert set(kept) >= {words(k) for k in range(1, 6)} and max(kept.values()) == 1 and len(kept) == 6
+    assert [r.score for r in docs.select("score").distinct().collect()] == ["own score"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").count() >= 6
