@@ -169,9 +169,9 @@ def test_training_order_round_trip(spark, docs, none, tmp_path):
     shards = int(index.shard.max()) + 1
     back = training_order.read_shards(spark, path, shards, 0, 32, 100).toPandas().set_index("slot").ids
     encode = tokens.byte_level_encoder(tokens.default_vocabulary())
-    texts = {i: t for i, t, _ in TEXTS}
+    encoded = {i: np.array([*encode(t or ""), training_order.PAD_ID], "<u2") for i, t, _ in TEXTS}
     for r in index[index.doc_id.notna()].itertuples():
-        ids = np.array([*encode(texts[r.doc_id] or ""), training_order.PAD_ID], "<u2")
+        ids = encoded[r.doc_id]
         record = np.frombuffer(back[r.slot], "<u2")
         assert (record[: r.length] == ids[r.start : r.start + r.length]).all() and (record[r.length :] == training_order.PAD_ID).all()
         assert zlib.crc32(back[r.slot]) == r.record_crc32
