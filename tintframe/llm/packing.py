@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import byte_level_encoder, default_vocabulary
+from .tokens import byte_level_ids, default_vocabulary
 
 CAPACITY = 1024
 END_ID = 2
@@ -220,17 +220,16 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocab
 
         import pyarrow as pa
 
-        encode = byte_level_encoder(vocabulary)
+        encode, end = byte_level_ids(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             whole = []
             for i, t in enumerate(b.column(1).to_pylist()):
-                ids = encode(t) if t else []
-                ids.append(end_id)
-                raw = np.array(ids, dtype="<u4").tobytes()
+                raw = (encode(t).tobytes() if t else b"") + end
+                n = len(raw) // 4
                 start, k = 0, 0
-                stop = len(ids) % capacity or min(len(ids), capacity)
-                while start < len(ids):
+                stop = n % capacity or min(n, capacity)
+                while start < n:
                     part = raw[4 * start : 4 * stop]
                     for column, value in zip(rows, (i, k, start, stop - start, zlib.crc32(part)), strict=True):
                         column.append(value)

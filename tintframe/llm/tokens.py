@@ -20,8 +20,8 @@ def default_vocabulary() -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def byte_level_encoder(path: str):
-    """text -> ids of a byte-level ``tokenizers`` file with its default pattern, by tiktoken over the same merges.
+def byte_level_ids(path: str):
+    """text -> ids (an array of uint32) of a byte-level ``tokenizers`` file with its default pattern, by tiktoken over the same merges.
 
     tiktoken merges the pair of least rank first; a byte-level BPE file lists its merges so that a merged token's id follows its
     merge, which makes both equal (the tests hold them against each other) at a quarter of the CPU time. Added tokens
@@ -37,7 +37,7 @@ def byte_level_encoder(path: str):
         return Tokenizer.from_file(path)
 
     def exact(text):
-        return library().encode(text, add_special_tokens=False).ids
+        return np.array(library().encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     spec = json.load(open(path))
     if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"] != {
@@ -51,23 +51,23 @@ def byte_level_encoder(path: str):
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     enc = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    plain, marks = enc.encode_ordinary, tuple(special)
 
     def encode(text):
         if len(text) >= LONG_RUN and _LONG_RUN.search(text):
             return exact(text)
-        return enc.encode(text, allowed_special="all") if any(m in text for m in marks) else plain(text)
+        return enc.encode_to_numpy(text, allowed_special="all")
 
     return encode
 
 
+def byte_level_encoder(path: str):
+    """text -> list of ids; see ``byte_level_ids``."""
+    ids = byte_level_ids(path)
+    return lambda text: ids(text).tolist()
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(own)]
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def ids_array(encode, text: str | None, end: int | None = None) -> np.ndarray:
-    ids = encode(text) if text else []
-    return np.array(ids if end is None else [*ids, end], dtype="<u4")

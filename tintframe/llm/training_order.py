@@ -8,14 +8,13 @@ at byte (s mod rows) * stride of file s div rows, and a reader can resume anywhe
 from __future__ import annotations
 
 import math
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, fresh_path, mix
-from .tokens import byte_level_encoder, default_vocabulary
+from .tokens import byte_level_ids, default_vocabulary
 
 CAPACITY = 256
 SHARD_ROWS = 32_768
@@ -87,7 +86,7 @@ def training_order(
     """
     spark = df.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    encode_of = lambda: byte_level_encoder(vocabulary)
+    encode_of = lambda: byte_level_ids(vocabulary)
     scan = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fixed = "spark.sql.files.minPartitionNum"  # else the cores of the moment would shape the partitions
     before = spark.conf.get(fixed, None)
@@ -101,14 +100,17 @@ def training_order(
             import pyarrow as pa
             from pyspark import TaskContext
 
-            encode = encode_of()
+            encode, none = encode_of(), np.zeros(0, dtype="<u4")
             begin, expected = starts[TaskContext.get().partitionId()]
             at = begin
             for b in batches:
                 pieces, raws = [], []
                 for t in b.column(1).to_pylist():
-                    raw = array("H", encode(t) if t else ())
-                    raw.append(end_id)
+                    ids = encode(t) if t else none
+                    if ids.max(initial=0) > 65_535:
+                        raise OverflowError("ids must be below 65,536")
+                    raw = np.empty(len(ids) + 1, dtype="<u2")
+                    raw[:-1], raw[-1] = ids, end_id
                     pieces.append(-(-len(raw) // capacity))
                     raws.append(raw)
                 counts, total_ids = np.array(pieces), np.array([len(r) for r in raws])
