@@ -378,3 +378,13 @@ def test_extraction(spark):
     assert [r.text for r in html_extract.extract_main_text(odd, crf).orderBy("page_id").collect()][:2] == ["", ""]
     unseen = '<body><div class="header">Site name</div><div class="content"><h1>A head of words</h1><p>The first long paragraph, which has many words and ends with a stop.</p></div><div class="comments"><div class="comment"><p>I do not agree with this at all.</p></div></div><div class="footer">© someone</div></body>'
     assert html_extract.main_text(unseen, crf) == "A head of words\nThe first long paragraph, which has many words and ends with a stop."
+
+
+def test_ids_with_marks_and_broken_marks_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    tk, own = Tokenizer.from_file(path), tokens.byte_level_ids(path)
+    for t in ("", "x<|endoftext|>y<|endoftext|>", "<|endoftext|", "<|endof<|endoftext|>", "  é 漢字 \n\n ", "\x01", "a" + " " * 120_000 + "b"):
+        ids = own(t)
+        assert ids.dtype == np.uint32 and ids.tolist() == tk.encode(t, add_special_tokens=False).ids
