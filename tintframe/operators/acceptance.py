@@ -175,3 +175,66 @@ def signed_rational(value: Column) -> Column:
 
 def export_error(format_: Column, quality: Column) -> Column:
     return F.when((format_ == "jpeg") & ~F.coalesce(quality.between(1, 100), F.lit(False)), F.concat(F.lit("JPEG quality must be 1-100, got "), quality.cast("string")))
+
+
+EXIF_BUDGET, ENTRY_COST, LEAST_SIZE = 60_000, 14, 4
+
+
+def within_budget(entries: DataFrame, budget: int = EXIF_BUDGET) -> DataFrame:
+    """``entries`` (file, ord, directory, tag, size: an accepted value's bytes) with status: ``copied``, ``duplicate`` or ``too large``.
+
+    Entries are taken in order of ord (of equal ones the lower directory and tag first); what is skipped uses nothing of the budget, so a
+    smaller one may still fit after it. A file's entries are folded in one row: directories hold at most 65,535.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("ord", "directory", "tag", "size")))
+    cost = lambda e: F.greatest(e["size"], F.lit(LEAST_SIZE)).cast("long") + ENTRY_COST
+    key = lambda e: F.concat_ws(":", e["directory"], e["tag"].cast("string"))
+
+    def step(acc, e):
+        status = F.when((e["size"] > acc["left"]) | (cost(e) > acc["left"]), "too large").when(F.array_contains(acc["seen"], key(e)), "duplicate").otherwise("copied")
+        copied = status == "copied"
+        return F.struct(
+            F.when(copied, acc["left"] - cost(e)).otherwise(acc["left"]).alias("left"),
+            F.when(copied, F.array_append(acc["seen"], key(e))).otherwise(acc["seen"]).alias("seen"),
+            F.array_append(acc["out"], status).alias("out"),
+        )
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(budget).cast("long").alias("left"), none.alias("seen"), none.alias("out"))
+    folded = entries.groupBy("file").agg(rows.alias("rows")).withColumn("status", F.aggregate("rows", start, step, lambda acc: acc["out"]))
+    pairs = folded.select("file", F.explode(F.arrays_zip("rows", "status")).alias("e"))
+    return pairs.select("file", "e.rows.ord", "e.rows.directory", "e.rows.tag", "e.rows.size", "e.status")
+
+
+def image_error(width: Column, height: Column, samples: Column, icc_bytes: Column) -> Column:
+    """Why an image of three channels can't be written, or null."""
+    return first_of(
+        ((width == 0) | (height == 0), "image has no pixels"),
+        (F.coalesce(icc_bytes, F.lit(0)) == 0, "colour profile is empty"),
+        (~(width.cast("long") * height * 3).eqNullSafe(samples.cast("long")), "sample count differs from dimensions"),
+    )
+
+
+#: What a chart dataset must say of itself, in the order in which it is checked.
+CHART_FACTS = (("illuminant", "D50"), ("observer", "CIE 1931 2 Degree Standard Observer"), ("adaptation", "Bradford"), ("white", "D65"))
+
+
+def chart_errors(datasets: DataFrame, patches: DataFrame, expected: DataFrame) -> DataFrame:
+    """dataset, error: the first rule that a chart dataset breaks, or null.
+
+    ``datasets``: dataset and the columns of ``CHART_FACTS``; ``patches``: dataset, patch_idx, patch, label, x, y, big_y; ``expected``: patch_idx and
+    patch of the 24 places.
+    """
+    named = expected.select("patch_idx", F.col("patch").alias("__name"))
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    rows = patches.join(F.broadcast(named), "patch_idx", "left")
+    wrong = first_of(
+        (~F.col("patch").eqNullSafe(F.col("__name")), F.format_string("patch %d must be %s", "patch_idx", F.coalesce("__name", F.lit("absent")))),
+        (F.coalesce(F.trim("label"), F.lit("")) == "", F.format_string("patch %d has no label", "patch_idx")),
+        (odd("x") | odd("y") | odd("big_y"), F.format_string("patch %d is not finite", "patch_idx")),
+    )
+    checked = rows.withColumn("wrong", wrong).groupBy("dataset").agg(F.count("*").alias("n"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("patch_idx", "wrong"))).alias("first"))
+    count = F.coalesce("n", F.lit(0))
+    facts = [(~F.col(c).eqNullSafe(F.lit(v)), F.concat(F.lit(f"{c} must be {v}, found "), F.coalesce(c, F.lit("none")))) for c, v in CHART_FACTS]
+    error = F.coalesce(first_of(*facts, (count != 24, F.concat(F.lit("24 patches expected, found "), count.cast("string")))), F.col("first.wrong"))
+    return datasets.join(checked, "dataset", "left").select("dataset", error.alias("error"))

@@ -58,6 +58,25 @@ def skip_existing(planned: DataFrame, existing: DataFrame) -> DataFrame:
     return planned.join(existing.select("output"), "output", "left_anti")
 
 
+def refused_outputs(planned: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Planned outputs (path, output) that are a selected input themselves, of this or another file."""
+    return planned.join(inputs.select(F.col("path").alias("output")).distinct(), "output", "left_semi")
+
+
+def free_names(wanted: DataFrame, existing: DataFrame, attempts: int = 10_000) -> DataFrame:
+    """``wanted`` (stem) with name: the first of ``stem``, ``stem-2``, ``stem-3`` and so on that no existing ``name`` takes; null if the first
+    ``attempts`` are taken. Only a stem's own numbered names are looked at, of which at most ``attempts`` count.
+    """
+    numbered = existing.select(F.regexp_extract("name", r"^(.+)-([1-9][0-9]{0,8})$", 1).alias("stem"), F.regexp_extract("name", r"^(.+)-([1-9][0-9]{0,8})$", 2).try_cast("int").alias("k"))
+    taken = existing.select(F.col("name").alias("stem"), F.lit(1).alias("k")).unionByName(numbered.filter("k >= 2")).filter(F.col("k") <= attempts).distinct()
+    asked = taken.join(wanted.select("stem").distinct(), "stem", "left_semi")
+    gapless = F.row_number().over(Window.partitionBy("stem").orderBy("k"))
+    used = asked.withColumn("r", gapless).filter("k = r").groupBy("stem").agg(F.max("k").alias("used"))
+    k = F.coalesce("used", F.lit(0)) + 1
+    name = F.when(k > attempts, None).when(k == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), k.cast("string")))
+    return wanted.join(used, "stem", "left").withColumn("name", name).drop("used")
+
+
 def same_name(a: Column, b: Column) -> Column:
     """Equal after trimming and without regard to ASCII case; an empty name equals none; null if one is unknown."""
     fold = lambda c: F.translate(F.trim(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import (
@@ -139,6 +139,40 @@ def normal_equations(joined: DataFrame, keys: list[str]) -> DataFrame:
     return solved.withColumns(inverse).withColumns(product).select(*keys, *STAGES)
 
 
+def failure_categories(failures: DataFrame) -> DataFrame:
+    """frame, category, n: failed checks by kind."""
+    reason = F.col("reason")
+    category = (
+        F.when(reason.startswith("clipped"), "clipped")
+        .when(reason.contains("coefficient of variation"), "noisy")
+        .when(reason.startswith("last row is not the neutral row"), "orientation")
+        .otherwise("other")
+    )
+    return failures.groupBy("frame", category.alias("category")).agg(F.count("*").alias("n"))
+
+
+def preset_failures(samples: DataFrame, rendered: Column) -> DataFrame:
+    """Failed checks of each frame under its source's thresholds: relaxed ones for rendered images alone. Both read ``samples``."""
+    return gate_failures(samples.filter(rendered), RELAXED).unionByName(gate_failures(samples.filter(~rendered)))
+
+
+def fit_errors(samples: DataFrame, reference: DataFrame) -> DataFrame:
+    """frame, error: why a frame can't be fitted, or null. A patch that the reference lacks, fewer than three samples, no neutral ones: ``insufficient
+    patches``; scales not finite or below 1e-12, or a matrix without an inverse: ``singular matrix``."""
+    facts = samples.join(F.broadcast(reference.select("patch_idx", "is_neutral")), "patch_idx", "left").groupBy("frame").agg(
+        F.count("*").alias("n"), F.count_if(F.col("is_neutral")).alias("neutral"), F.count_if(F.col("is_neutral").isNull()).alias("foreign")
+    )
+    lost = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    bad = lost("exposure")
+    for c in ("c_r", "c_g", "c_b"):
+        bad = bad | lost(c) | (F.abs(c) < 1e-12)
+    singular = bad
+    for c in STAGES[4:]:
+        singular = singular | lost(c)
+    few = (F.col("foreign") > 0) | (F.col("n") < 3) | (F.col("neutral") == 0)
+    return facts.join(fit(samples, reference), "frame", "left").select("frame", F.when(few, "insufficient patches").when(singular, "singular matrix").alias("error"))
+
+
 def fit(samples: DataFrame, reference: DataFrame) -> DataFrame:
     """One row per frame: exposure, channel scales and the row-vector matrix m00..m22."""
     joined = with_targets(samples, reference)

@@ -18,6 +18,20 @@ PRIMARIES = {
 WHITE = (0.3127, 0.3290)
 ADOBE_GAMMA = 2.19921875
 
+# The spaces' names, default first, with how they are shown and what a colour configuration calls them.
+SPACES = [("srgb", "sRGB", None), ("display-p3", "Display P3", "sRGB Encoded P3-D65"), ("adobe-rgb", "Adobe RGB (1998)", "Gamma 2.2 Encoded AdobeRGB")]
+
+
+def output_spaces(spark) -> DataFrame:
+    """space, place, label, config_name: the spaces that can be written, default first."""
+    return spark.createDataFrame([(n, i, *rest) for i, (n, *rest) in enumerate(SPACES)], "space string, place int, label string, config_name string")
+
+
+def resolved_spaces(requests: DataFrame, spaces: DataFrame) -> DataFrame:
+    """``requests`` (space) with the named space's columns and error: names count exactly, and an unknown or absent one has no default."""
+    unknown = F.concat(F.lit("unknown output space: "), F.coalesce("space", F.lit("")))
+    return requests.join(F.broadcast(spaces), "space", "left").withColumn("error", F.when(F.col("place").isNull(), unknown))
+
 
 def rgb_to_xyz_matrix(space: str) -> list[list[float]]:
     import numpy as np

@@ -72,19 +72,27 @@ def j01_polygon_containment(spark, sf_dir):
 _CV = [f"sqrt(var_{c})/greatest(mean_{c}, 0.01)" for c in "rgb"]
 _CHROMA = "(greatest(mean_r, mean_g, mean_b) - least(mean_r, mean_g, mean_b))/greatest((mean_r + mean_g + mean_b)/3, 1e-6)"
 _NAMES = "concat_ws('|', CASE WHEN clip & 1 <> 0 THEN 'R' END, CASE WHEN clip & 2 <> 0 THEN 'G' END, CASE WHEN clip & 4 <> 0 THEN 'B' END)"
-GATES = f"""whole AS (SELECT *, {S.lum('mean')} AS lum, {_CHROMA} AS chroma, count(*) OVER (PARTITION BY frame) AS patches FROM samples),
+def gates_sql(pixels: str = "64", cv: str = "0.05", neutral: str = "true") -> str:
+    """whole and failures, with thresholds and whether the neutral row counts as SQL text over ``samples``."""
+    noisy = " ".join(
+        f"UNION ALL SELECT frame, patch_idx*8 + {2 + k}, patch_idx, 'channel {k} coefficient of variation', printf('cv=%.6f', {c}) FROM whole WHERE patches = 24 AND {c} > {cv}" for k, c in enumerate(_CV)
+    )
+    return f"""whole AS (SELECT *, {S.lum('mean')} AS lum, {_CHROMA} AS chroma, count(*) OVER (PARTITION BY frame) AS patches FROM samples),
 failures AS (
   SELECT frame, patch_idx*8 AS ord, patch_idx, 'clipped channels: ' || {_NAMES} AS reason, printf('0x%02x', clip) AS measured FROM whole WHERE patches = 24 AND clip <> 0
-  UNION ALL SELECT frame, patch_idx*8 + 1, patch_idx, 'insufficient patch pixels', CAST(n AS VARCHAR) FROM whole WHERE patches = 24 AND n < 64
-  {' '.join(f"UNION ALL SELECT frame, patch_idx*8 + {2 + k}, patch_idx, 'channel {k} coefficient of variation', printf('cv=%.6f', {cv}) FROM whole WHERE patches = 24 AND {cv} > 0.05" for k, cv in enumerate(_CV))}
+  UNION ALL SELECT frame, patch_idx*8 + 1, patch_idx, 'insufficient patch pixels', CAST(n AS VARCHAR) FROM whole WHERE patches = 24 AND n < {pixels}
+  {noisy}
   UNION ALL SELECT DISTINCT frame, 0, NULL, 'wrong patch count', CAST(patches AS VARCHAR) FROM whole WHERE patches <> 24
   UNION ALL SELECT frame, 1000, NULL, 'neutral row reversed; rotate corners', 'non-monotonic luminance' FROM
-    (SELECT frame, lum, lag(lum) OVER (PARTITION BY frame ORDER BY patch_idx) AS before FROM whole WHERE patches = 24 AND patch_idx >= 18) GROUP BY frame HAVING bool_or(before <= lum)
+    (SELECT frame, lum, lag(lum) OVER (PARTITION BY frame ORDER BY patch_idx) AS before FROM whole WHERE patches = 24 AND patch_idx >= 18 AND {neutral}) GROUP BY frame HAVING bool_or(before <= lum)
   UNION ALL SELECT frame, 1001, NULL, 'last row is not the neutral row; check corner order', printf('last-row-chroma=%.6f, preceding-chroma=%.6f', l, f) FROM
-    (SELECT frame, greatest(max(CASE WHEN patch_idx >= 18 THEN chroma END), 0) AS l, greatest(max(CASE WHEN patch_idx < 18 THEN chroma END), 0) AS f FROM whole WHERE patches = 24 GROUP BY frame)
+    (SELECT frame, greatest(max(CASE WHEN patch_idx >= 18 THEN chroma END), 0) AS l, greatest(max(CASE WHEN patch_idx < 18 THEN chroma END), 0) AS f FROM whole WHERE patches = 24 AND {neutral} GROUP BY frame)
     WHERE l >= 0.25 OR f <= 0.25)"""
 
 
+GATES = gates_sql()
+
+
 @query(S.with_(*BASE, GATES) + "SELECT CAST(frame AS INT) AS frame, CAST(ord AS INT) AS ord, CAST(patch_idx AS INT) AS patch_idx, reason, measured FROM failures")
 def g01_gate_failures(spark, sf_dir):
     return C.gate_failures(samples(spark, sf_dir))

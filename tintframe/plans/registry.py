@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, files, records
+from . import calibration, files, records, rules
 
-QUERIES: dict = {**calibration.QUERIES, **files.QUERIES, **records.QUERIES}
-SQL: dict = {**calibration.SQL, **files.SQL, **records.SQL}
+QUERIES: dict = {**calibration.QUERIES, **files.QUERIES, **records.QUERIES, **rules.QUERIES}
+SQL: dict = {**calibration.SQL, **files.SQL, **records.SQL, **rules.SQL}
