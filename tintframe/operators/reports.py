@@ -19,7 +19,8 @@ def html_reports(patches: DataFrame, failures: DataFrame, rendered: Column) -> D
     """frame, html: status, differences, failed checks (if any) and patches by difference, largest first.
 
     ``patches``: frame, patch_idx, patch, delta_e; ``failures``: frame, ord, patch_idx, reason, measured, of which a frame has at most 122;
-    ``rendered``: whether a frame's source is a rendered image, of the columns of ``patches``. Patches not measured are not listed.
+    ``rendered``: whether a frame's source is a rendered image, of the columns of ``patches``, which are read twice and should be a written table.
+    Patches not measured are not listed.
     """
     names = patches.select("frame", "patch_idx", "patch")
     label = escape_html(F.coalesce("patch", F.lit("chart")))
