@@ -6,6 +6,7 @@ from .bpe import op9_bpe_roundtrip
 from .embedding_dedup import OP6_SQL, op6_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op1_html_extract
+from .importance import OP11_SQL, op11_importance_resample
 from .jaccard import OP10_SQL, op10_jaccard_join
 from .langid import op8_language_id
 from .packing import op2_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_importance_resample": op11_importance_resample,
 }
 
-SQL = {"op6_embedding_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+SQL = {"op6_embedding_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_importance_resample": OP11_SQL}
