@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_roundtrip
+from .decontaminate import OP12_SQL, op12_decontaminate
 from .embedding_dedup import OP6_SQL, op6_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op1_html_extract
@@ -26,6 +27,13 @@ QUERIES = {
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_importance_resample": op11_importance_resample,
+    "op12_decontaminate": op12_decontaminate,
 }
 
-SQL = {"op6_embedding_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_importance_resample": OP11_SQL}
+SQL = {
+    "op6_embedding_dedup": OP6_SQL,
+    "op7_exact_dedup": OP7_SQL,
+    "op10_jaccard_join": OP10_SQL,
+    "op11_importance_resample": OP11_SQL,
+    "op12_decontaminate": OP12_SQL,
+}
