@@ -11,6 +11,7 @@ from .importance import OP11_SQL, op11_importance_resample
 from .jaccard import OP10_SQL, op10_jaccard_join
 from .langid import op8_language_id
 from .packing import op2_best_fit_packing
+from .prefix_trie import OP13_SQL, op13_conversation_trie
 from .secrets import op3_secret_scan
 from .sharding import op4_sharding
 from .training_order import op5_training_order
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_importance_resample": op11_importance_resample,
     "op12_decontaminate": op12_decontaminate,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 SQL = {
@@ -36,4 +38,5 @@ SQL = {
     "op10_jaccard_join": OP10_SQL,
     "op11_importance_resample": OP11_SQL,
     "op12_decontaminate": OP12_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
