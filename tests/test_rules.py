@@ -66,14 +66,6 @@ def test_budget_skips_cost_nothing(spark):
     assert acceptance.within_budget(entries.filter("false")).count() == 0
 
 
-def test_free_names(spark):
-    have = spark.createDataFrame([(n,) for n in ("a", "a-2", "a-4", "b-2", "c", "c-02", "c-1", "d-x", "d", "e-2", "e-2-2")], "name string")
-    want = spark.createDataFrame([(s,) for s in ("a", "b", "c", "d", "e", "e-2", "z", None)], "stem string")
-    got = {r.stem: r.name for r in batch.free_names(want, have).collect()}
-    assert got == {"a": "a-3", "b": "b", "c": "c-2", "d": "d-2", "e": "e", "e-2": "e-2-3", "z": "z", None: None}
-    assert {r.stem: r.name for r in batch.free_names(want.filter("stem = 'a'"), have, 2).collect()} == {"a": None}
-
-
 def test_chart_errors(spark):
     expected = spark.createDataFrame(list(enumerate(PATCHES)), "patch_idx int, patch string")
     fine = tuple(v for _, v in acceptance.CHART_FACTS)

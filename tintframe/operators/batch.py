@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from .naming import assign_names
 from .ordering import with_place
 
 EXTENSIONS = ("dng", "raw", "cr3", "nef", "jpg", "jpeg", "png")
@@ -23,34 +23,10 @@ def stem(path: Column) -> Column:
 
 
 def output_names(inputs: DataFrame, extension: str) -> DataFrame:
-    """path, output, natural: for each file in input order the first free of ``stem.ext``, ``stem-1.ext``, ``stem-2.ext`` and so on.
-
-    Stems can meet each other's made names only where one continues the other by ``-1``, ``-12`` and the like. Where no stem does so
-    (``natural`` is false), a file's number is its place among its stem's. The other stems of a family, which has one
-    root without such an end, are named in input order, one family at a time.
-    """
-    named = with_place(inputs.withColumn("stem", stem(F.col("path"))), ["parts"])
-    family = named.select("path", "stem", "place", F.regexp_replace("stem", r"(?<=.)(-[1-9][0-9]*)+$", "").alias("root"))
-    mixed = written(family.groupBy("root").agg(F.max(F.col("stem") != F.col("root")).alias("natural")), "families")
-    split = family.join(mixed, "root")
-    again = F.row_number().over(Window.partitionBy("stem").orderBy("place")) - 1
-    suffix = F.when(again > 0, F.concat(F.lit("-"), again.cast("string"))).otherwise("")
-    plain = split.filter(~F.col("natural")).select("path", F.concat("stem", suffix).alias("name"), "natural")
-
-    def settle(pdf):
-        taken, following, names = set(), {}, []
-        pdf = pdf.sort_values("place")
-        for own in pdf["stem"]:
-            name, k = own, following.get(own, 1)
-            while name in taken:
-                name, k = f"{own}-{k}", k + 1
-            following[own] = k
-            taken.add(name)
-            names.append(name)
-        return pdf.assign(name=names)[["path", "name", "natural"]]
-
-    odd = split.filter("natural").groupBy("root").applyInPandas(settle, "path string, name string, natural boolean")
-    return plain.unionByName(odd).select("path", F.concat("name", F.lit(f".{extension}")).alias("output"), "natural")
+    """path, output: for each file in input order the first free of ``stem.ext``, ``stem-1.ext``, ``stem-2.ext`` and so on."""
+    placed = with_place(inputs.withColumn("stem", stem(F.col("path"))), ["parts"])
+    named = assign_names(placed.select("path", "stem", "place"))
+    return named.select("path", F.concat("name", F.lit(f".{extension}")).alias("output"))
 
 
 def skip_existing(planned: DataFrame, existing: DataFrame) -> DataFrame:
@@ -64,17 +40,12 @@ def refused_outputs(planned: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def free_names(wanted: DataFrame, existing: DataFrame, attempts: int = 10_000) -> DataFrame:
-    """``wanted`` (stem) with name: the first of ``stem``, ``stem-2``, ``stem-3`` and so on that no existing ``name`` takes; null if the first
-    ``attempts`` are taken. Only a stem's own numbered names are looked at, of which at most ``attempts`` count.
+    """``wanted`` (stem, place) with name, one request after another by place: the first of ``stem``, ``stem-2``, ``stem-3`` and so on that
+    neither an existing ``name`` nor an earlier request takes; null if the first ``attempts`` are taken, and for a null stem.
     """
-    numbered = existing.select(F.regexp_extract("name", r"^(.+)-([1-9][0-9]{0,8})$", 1).alias("stem"), F.regexp_extract("name", r"^(.+)-([1-9][0-9]{0,8})$", 2).try_cast("int").alias("k"))
-    taken = existing.select(F.col("name").alias("stem"), F.lit(1).alias("k")).unionByName(numbered.filter("k >= 2")).filter(F.col("k") <= attempts).distinct()
-    asked = taken.join(wanted.select("stem").distinct(), "stem", "left_semi")
-    gapless = F.row_number().over(Window.partitionBy("stem").orderBy("k"))
-    used = asked.withColumn("r", gapless).filter("k = r").groupBy("stem").agg(F.max("k").alias("used"))
-    k = F.coalesce("used", F.lit(0)) + 1
-    name = F.when(k > attempts, None).when(k == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), k.cast("string")))
-    return wanted.join(used, "stem", "left").withColumn("name", name).drop("used")
+    named = assign_names(wanted, 2, existing)
+    named = named.withColumn("name", F.when(F.col("slot") < attempts, F.col("name"))).drop("slot")
+    return named.unionByName(wanted.filter("stem is null").withColumn("name", F.lit(None).cast("string")))
 
 
 def same_name(a: Column, b: Column) -> Column:

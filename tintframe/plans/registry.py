@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, files, records, rules
+from . import calibration, files, images, records, rules
 
-QUERIES: dict = {**calibration.QUERIES, **files.QUERIES, **records.QUERIES, **rules.QUERIES}
-SQL: dict = {**calibration.SQL, **files.SQL, **records.SQL, **rules.SQL}
+QUERIES: dict = {**calibration.QUERIES, **files.QUERIES, **images.QUERIES, **records.QUERIES, **rules.QUERIES}
+SQL: dict = {**calibration.SQL, **files.SQL, **images.SQL, **records.SQL, **rules.SQL}

@@ -249,18 +249,25 @@ def j09_refused_outputs(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE have AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'entry-of-' || (l_partkey % 500) ELSE 'entry-of-' || (l_partkey % 500) || '-' || l_linenumber END AS name FROM lineitem),
-want AS (SELECT c_custkey AS id, 'entry-of-' || (c_custkey % 600) AS stem FROM customer),
-tries AS (SELECT stem, 1 AS k, stem AS name FROM (SELECT DISTINCT stem FROM want) UNION ALL SELECT stem, k + 1, stem || '-' || (k + 1) FROM tries WHERE name IN (SELECT name FROM have)),
-free AS (SELECT stem, max_by(name, k) AS name FROM tries GROUP BY 1)
-SELECT id, stem, name FROM want JOIN free USING (stem)"""
+    """WITH RECURSIVE have AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'entry-of-' || (l_partkey % 50) ELSE 'entry-of-' || (l_partkey % 50) || '-' || l_linenumber END AS name FROM lineitem),
+want AS (SELECT c_custkey AS id, 'entry-of-' || (c_custkey % 60) || CASE WHEN c_custkey % 7 = 0 THEN '-' || (c_custkey % 11 + 7) ELSE '' END AS stem, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+-- one request after another: the names taken so far go along
+serving AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT list(name) FROM have) AS taken, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS stem, CAST(NULL AS VARCHAR) AS name
+  UNION ALL
+  SELECT i, list_append(taken, name), id, stem, name FROM (
+    SELECT w.i, s.taken, w.id, w.stem, list_filter(list_prepend(w.stem, list_transform(range(2, len(list_filter(s.taken, lambda x: starts_with(x, w.stem))) + 3), lambda k: w.stem || '-' || k)), lambda x: NOT list_contains(s.taken, x))[1] AS name
+    FROM serving s JOIN want w ON w.i = s.i + 1))
+SELECT id, stem, name FROM serving WHERE i > 0"""
 )
 def o08_free_names(spark, sf_dir):
-    """Customers as entries to be saved, beside a library named by line items with gaps among the numbers."""
-    part, nth = F.col("l_partkey") % 500, F.col("l_linenumber")
+    """Customers as entries to be saved one after another, several with a stem and some with one that others' names meet, beside a library named
+    by line items with gaps among the numbers."""
+    part, nth, c = F.col("l_partkey") % 50, F.col("l_linenumber"), F.col("c_custkey")
     have = lineitem(spark, sf_dir).select(F.when(nth == 1, F.format_string("entry-of-%d", part)).otherwise(F.format_string("entry-of-%d-%d", part, nth)).alias("name")).distinct()
-    want = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_string("entry-of-%d", F.col("c_custkey") % 600).alias("stem"))
-    return batch.free_names(want, have)
+    end = F.when(c % 7 == 0, F.format_string("-%d", c % 11 + 7)).otherwise("")
+    want = adapters.table(spark, sf_dir, "customer").select(c.alias("id"), F.concat(F.format_string("entry-of-%d", c % 60), end).alias("stem"), c.alias("place"))
+    return batch.free_names(want, have).select("id", "stem", "name")
 
 
 @query(

@@ -92,3 +92,39 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("lens "), (k % 11).cast("string")).alias("lens"),
         (k % 30 * 10 + 100).cast("int").alias("iso"),
     )
+
+
+def bayer(spark: SparkSession, sf_dir: str, side: int = 24) -> DataFrame:
+    """Whole RGGB mosaics of ``side`` sites square: frame, y, x, value. A frame is 512 orders; sites that no line item hits have a value of their place."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey div 512").cast("int").alias("frame"),
+        (F.col("l_orderkey") % side).cast("int").alias("y"),
+        ((F.col("l_partkey") + 5 * F.col("l_linenumber")) % side).cast("int").alias("x"),
+        (F.col("l_quantity") * 300).cast("int").alias("v"),
+    )
+    hit = li.groupBy("frame", "y", "x").agg(F.max("v").alias("raw"))
+    place = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))
+    grid = hit.select("frame").distinct().select("frame", place.alias("i")).select("frame", F.expr(f"i div {side}").cast("int").alias("y"), (F.col("i") % side).alias("x"))
+    rest = 1000 + (F.col("frame") * 7919 + F.col("y") * 131 + F.col("x") * 37 + F.col("y") * F.col("x") * 11) % 9973
+    return grid.join(hit, ["frame", "y", "x"], "left").select("frame", "y", "x", (F.coalesce("raw", rest) / 16383.0).alias("value"))
+
+
+SCENE = (64, 48)
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Luminance of small scenes, one a supplier: frame, y, x, light. Each shows a chart at a place and exposure of its own; some lack a patch, have
+    specks between patches or a chart too dark to be found."""
+    ref = chart_reference(spark).select("patch_idx", (0.2126 * F.col("t_r") + 0.7152 * F.col("t_g") + 0.0722 * F.col("t_b")).alias("lum"))
+    width, height = SCENE
+    s = F.col("frame")
+    px = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i"))
+    px = px.select("frame", F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).alias("x"))
+    u, v = F.col("x") - 4 - s % 3, F.col("y") - 5 - s % 4
+    inside = u.between(0, 53) & v.between(0, 35) & (F.pmod(u, F.lit(9)) < 7) & (F.pmod(v, F.lit(9)) < 7)
+    patch = F.when(inside, F.floor(v / 9) * 6 + F.floor(u / 9)).cast("int")
+    px = px.withColumn("patch_idx", F.when((s % 6 == 1) & (patch == s % 24), None).otherwise(patch))
+    gain = F.when(s % 9 == 4, 0.04).otherwise(0.6 + (s % 7) * 0.1)
+    speck = (s % 4 == 3) & ((F.col("x") * 7 + F.col("y") * 13 + s) % 97 == 0)
+    light = F.when(speck, 0.5).otherwise(F.coalesce(F.col("lum") * gain, F.lit(0.02)))
+    return px.join(F.broadcast(ref), "patch_idx", "left").select("frame", "y", "x", light.alias("light"))
