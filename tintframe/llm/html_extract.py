@@ -346,6 +346,30 @@ class Crf:
             labels.append(choice[labels[-1]])
         return np.array(labels[::-1])
 
+    def with_content(self, features: list[list[int]], able: list[bool]) -> np.ndarray:
+        """The best labels among those with a content block, where only blocks that are ``able`` may be content; none if no block is."""
+        if not any(able):
+            return np.zeros(len(features), dtype=np.int64)
+        s, t, none = self.scores(features).tolist(), self.steps.tolist(), float("-inf")
+        # states: the label, and whether content has been met
+        states = [(0, False), (0, True), (1, True)]
+        best = {(0, False): s[0][0], (0, True): none, (1, True): s[0][1] if able[0] else none}
+        back = []
+        for e, free in zip(s[1:], able[1:], strict=True):
+            now, choice = {}, {}
+            for b, met in states:
+                before = [(a, m) for a, m in states if (m or b == 1 if met else not m)]
+                choice[b, met] = max(before, key=lambda st: best[st] + t[st[0]][b])
+                now[b, met] = best[choice[b, met]] + t[choice[b, met][0]][b] + e[b] if b == 0 or free else none
+            best = now
+            back.append(choice)
+        at = max(states[1:], key=lambda st: best[st])
+        labels = [at[0]]
+        for choice in reversed(back):
+            at = choice[at]
+            labels.append(at[0])
+        return np.array(labels[::-1], dtype=np.int64)
+
     @staticmethod
     def train(pages: list[tuple[list[list[int]], np.ndarray]], epochs: int = EPOCHS, l2: float = 3e-4, rate: float = 0.3) -> Crf:
         """Maximum likelihood with an L2 penalty, by Adagrad on whole-sample gradients from forward-backward sums. A page of more than
@@ -394,35 +418,44 @@ OUTSIDE = set("nav aside footer form header button select".split())
 NOISE = set("ad ads advert advertisement comment comments cookie consent sidebar related share social newsletter promo sponsored reply notice menu nav navbar footer header banner popup widget".split())
 
 
-def weak_labels(blocks: list[Block]) -> np.ndarray | None:
-    """Labels that a page's own layout suggests. Content lies in its ``article`` or ``main`` elements; where it has none, in the innermost
-    element that holds nine tenths of the page's running text (words that are no links, in parts whose names aren't those of other
-    things). Blocks in parts that are never content are not. None where there is no such text."""
-    named, other = {None: False}, {None: False}
-
-    def inherited(element: Element | None, known: dict, own) -> bool:
-        todo = []
+def _within(blocks: list[Block], own) -> list[bool]:
+    """Whether each block lies in an element that ``own`` says yes to, at any depth."""
+    known: dict = {None: False}
+    for b in blocks:
+        element, todo = b.element, []
         while element not in known:
             todo.append(element)
             element = element.parent
         found = known[element]
         for e in reversed(todo):
             found = known[e] = found or own(e)
-        return found
+    return [known[b.element] for b in blocks]
+
 
-    bad = [inherited(b.element, other, lambda e: e.tag in OUTSIDE or bool(NOISE & set(e.words))) for b in blocks]
-    inside = [inherited(b.element, named, lambda e: e.tag in ("article", "main")) for b in blocks]
+def _never_content(blocks: list[Block]) -> list[bool]:
+    return _within(blocks, lambda e: e.tag in OUTSIDE or bool(NOISE & set(e.words)))
+
+
+def weak_labels(blocks: list[Block]) -> np.ndarray | None:
+    """Labels that a page's own layout suggests. Content lies in its ``article`` or ``main`` elements; where it has none, in the innermost
+    element that holds nine tenths of the page's running text (words that are no links, in parts whose names aren't those of other
+    things). Blocks in parts that are never content are not. None where there is no such text."""
+    bad = _never_content(blocks)
+    inside = _within(blocks, lambda e: e.tag in ("article", "main"))
     if not any(inside):
         text = [0 if x else len(b.text) - min(b.linked, len(b.text)) for b, x in zip(blocks, bad, strict=True)]
         held: dict[Element, int] = {}
         for b, n in zip(blocks, text, strict=True):
             for e in b.element.up() if b.element and n else ():
                 held[e] = held.get(e, 0) + n
-        enough = [e for e, n in held.items() if 10 * n >= 9 * sum(text)]
-        if not enough:
+        if not any(text):
             return None
-        best = max(enough, key=lambda e: sum(1 for _ in e.up()))
-        inside = [b.element is not None and any(e is best for e in b.element.up()) for b in blocks]
+        enough = [e for e, n in held.items() if 10 * n >= 9 * sum(text)]
+        if enough:
+            best = max(enough, key=lambda e: sum(1 for _ in e.up()))
+            inside = [b.element is not None and any(e is best for e in b.element.up()) for b in blocks]
+        else:  # the page itself is what holds it
+            inside = [True] * len(blocks)
     return np.array([int(a and not x) for a, x in zip(inside, bad, strict=True)], dtype=np.int64)
 
 
@@ -488,6 +521,8 @@ def _templates(body: list[str], other: list[str], rng) -> str:
     article = box(pick("article", "main", "div", "div", "section", "td"), pick("content", "article", "post", "entry content", "story body", "main content", "article body", "", "text"), "".join(inner))
     if article.startswith("<td"):
         article = f"<table><tr>{article}</tr></table>"
+    if rng.random() < 0.12:  # a bare layout: nothing around the article, which may be no element at all
+        return pick("{}", "<html><body>{}</body></html>", "<html><body><div>{}</div></body></html>", "<body>{}").format("".join(inner))
     comments = box(pick("div", "section", "ol"), pick("comments", "comment list", "responses", "disqus comments"), "".join(box(pick("div", "li", "article"), "comment", f"<p>{some(5, 40)}</p>") for _ in range(int(rng.integers(1, 4)))))
     side = box(pick("aside", "div", "div"), pick("sidebar", "side widget", "widget", "sidebar right"), pick(f"<h3>{some(1, 4)}</h3><ul>{links(4)}</ul>", f"<p>{some(5, 30)}</p><p>{some(5, 30)}</p>"))
     notice = box(pick("div", "section", "aside"), pick("cookie notice", "cookie consent", "notice", "banner", "popup", "legal notice"), f"<p>{pick('We use cookies. ', '', 'Please read our privacy terms. ')}{some(5, 25)}</p>")
@@ -522,9 +557,13 @@ def train_extractor(
 
 
 def main_text(page: str | None, crf: Crf) -> str:
-    """The content blocks of a page, joined by newlines; empty for null or where none is content."""
+    """The content blocks of a page, joined by newlines; empty for null or where no block can be content. Where the best labels have no content, the
+    best ones that have some are taken, among blocks outside of parts that are never content: a page is not empty for its layout."""
     blocks = leaf_blocks(page)
-    labels = crf.viterbi(block_features(blocks))
+    features = block_features(blocks)
+    labels = crf.viterbi(features)
+    if len(blocks) and not labels.any():
+        labels = crf.with_content(features, [not x for x in _never_content(blocks)])
     return "\n".join(b.text for b, k in zip(blocks, labels, strict=True) if k)
 
 
