@@ -1,6 +1,7 @@
 """Every registered query of the corpus operators on the smallest tables, its contract's columns held against plain Python or DuckDB."""
 
 import hashlib
+import html
 import os
 import re
 import zlib
@@ -9,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tintframe.llm import packing, queries, secrets, training_order
+from tintframe.llm import html_extract, packing, queries, secrets, training_order
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -26,6 +27,17 @@ def rows(spark, name):
     return queries.QUERIES[name](spark, SF).toPandas()
 
 
+def article(page):
+    """The article's blocks by the page's own tags, in plain steps: its noise parts cut out, markup for lines, references decoded."""
+    found = re.search("<article>(.*)</article>", page or "", re.S)
+    blocks = html_extract.leaf_blocks(page)
+    labels = html_extract.weak_labels(blocks)
+    text = "\n".join(b.text for b, k in zip(blocks, labels) if k) if found else ""
+    for block in text.split("\n"):  # each block's words stand in the article in that order
+        assert not found or " ".join(block.split()[:3]) in " ".join(html.unescape(re.sub("<[^>]*>", "", found[1])).split())
+    return text
+
+
 def test_op1(spark):
     import pyarrow.parquet as pq
 
@@ -33,11 +45,34 @@ def test_op1(spark):
     got = rows(spark, "op1_html_extract")
     assert sorted(got.page_id) == sorted(pages) and got.n_chars.tolist() == got.text.map(len).tolist()
     assert got.url.tolist() == [pages[i]["url"] for i in got.page_id]
-    for r in got.itertuples():
-        article = re.search("<article>(.*)</article>", pages[r.page_id]["html"] or "", re.S)
-        first = re.search("<h1>([^<&]*)</h1>", article[1])
-        assert not first or r.text.startswith(" ".join(first[1].split()))
-        assert "<" not in r.text and "track(" not in r.text
+    assert got.text.tolist() == [article(pages[i]["html"]) for i in got.page_id]
+
+
+def test_articles_of_other_layouts(spark):
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    crf = html_extract.Crf.train(html_extract.labelled_pages(pages))
+    div = [html_extract.main_text(p.replace("<article", "<div").replace("</article>", "</div>"), crf) for p in pages]
+    assert sum(t == article(p) for t, p in zip(div, pages)) >= 0.9 * len(pages)
+    para = "The river ran past the old mill, and the miller watched it every day. Nobody knew where it went after that."
+    body = f"The mill\n{para}\n{para} So on."
+    layouts = {
+        f"<p>{para}</p><p>{para} So on.</p>": f"{para}\n{para} So on.",
+        f"<html><body><div><h1>The mill</h1><p>{para}<p>{para} So on.</div></body></html>": body,
+        f"<h1>The mill</h1><p>{para}</p><p>{para} So on.</p>": body,
+        f"{para}\n\n{para}": f"{para} {para}",
+        f"<div><div>{para}</div></div>": para,
+        "<nav><ul><li><a href=1>Home</a></li></ul></nav>": "",
+        "<footer><p>All rights reserved.</p></footer>": "",
+        "": "",
+    }
+    assert [html_extract.main_text(p, crf) for p in layouts] == list(layouts.values())
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, next(iter(layouts))), (2, None)], "page_id long, html string").withColumns({c: F.lit("mine") for c in ("h", "n", "text", "url")})
+    out = html_extract.extract_main_text(df, html_extract.train_extractor(df.filter("page_id = 1")), out_col="found").orderBy("page_id").collect()
+    assert [(r.found, r.h, r.text) for r in out] == [(layouts[next(iter(layouts))], "mine", "mine"), ("", "mine", "mine")]
 
 
 def test_op2(spark, documents):
@@ -104,14 +139,14 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(queries.SQL[name])
     columns = [d[0] for d in want.description]
-    got = rows(spark, name)
+    got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     plain = lambda rs: sorted(tuple(map(str, r)) for r in rs)
-    assert plain(got[columns].itertuples(index=False)) == plain(want.fetchall())
+    assert plain(got.select(*columns).collect()) == plain(want.fetchall())
 
 
 def test_op8(spark, documents):
@@ -142,3 +177,46 @@ def test_op9(spark, documents):
         ids = tk.encode(documents[r.doc_id]["text"] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(tk.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_markov_finds_planted_strings(spark, documents):
+    """Recall and false finds of the models on strings planted in the test documents, half of whose ids are null."""
+    import base64
+    import random
+
+    draw = random.Random(8)
+    makers = [
+        lambda: "".join(draw.choice("0123456789ABCDEF") for _ in range(draw.randint(20, 40))),
+        lambda: base64.b64encode(draw.randbytes(draw.randint(18, 40))).decode().rstrip("="),
+        lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(draw.randint(20, 40))),
+        lambda: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(draw.randint(20, 40))),
+    ]
+    data, planted = [], {}
+    for k, (i, r) in enumerate(sorted(documents.items())):
+        words = (r["text"] or "").split(" ")
+        own = makers[k % 4]()
+        at = draw.randint(0, len(words))
+        data.append((k, None if k % 2 else i, " ".join([*words[:at], own, *words[at:]])))
+        planted[k] = own
+    df = spark.createDataFrame(data, "row long, doc_id long, text string").repartition(4)
+    found = secrets.find_secrets(df, "text", secrets.trained(df)).collect()
+    caught, other, tokens = 0, 0, 0
+    for r in found:
+        texts = [r.text[s["start"] : s["stop"]] for s in r.markov_spans]
+        caught += planted[r.row] in texts
+        base = [(s["start"], s["stop"]) for s in r.base_spans]
+        other += sum(t != planted[r.row] and not any(a < s["stop"] and s["start"] < b for a, b in base) for t, s in zip(texts, r.markov_spans))
+        tokens += len(re.findall(r"[A-Za-z0-9+/_.=-]{16,}", r.text)) - 1
+    assert caught >= 0.98 * len(data) and other <= 0.02 * max(tokens, 50), (caught, other, tokens)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    from tintframe.llm import jaccard
+
+    thue = "ab"
+    while len(thue) < 1 << 17:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    texts = [t for n in (1024, 4096, 65536) for t in (thue[:n], thue[n : 2 * n])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.component_id for r in jaccard.jaccard_groups(df).collect()) == list(range(6))
+    assert jaccard.drop_near_copies(df).count() == 6

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tintframe.llm import common, html_extract, packing, secrets, tokens
+from tintframe.llm import html_extract, packing, secrets, tokens, words
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -10,10 +10,10 @@ def test_shingles_of_a_slice_of_few_words(n):
     import pyarrow as pa
 
     texts = ["a b c d e f".rsplit(" ", 6 - n)[0]] if n < 6 else ["a b c d e f"]
-    offsets, hashes = common.shingle_sets(pa.array(texts), 5)
+    offsets, hashes = words.shingle_sets(pa.array(texts), 5)
     assert offsets.tolist() == [0, max(1, n - 4)] and len(set(hashes.tolist())) == max(1, n - 4)
     # the same sets as in a slice with many other words
-    more, among = common.shingle_sets(pa.array([*texts, "g h i j k l m n o"]), 5)
+    more, among = words.shingle_sets(pa.array([*texts, "g h i j k l m n o"]), 5)
     assert among[: more[1]].tolist() == hashes.tolist()
 
 

@@ -1,9 +1,10 @@
-"""Shared pieces of the corpus operators: written stages, safe column names and vectorised word hashing."""
+"""Shared pieces of the corpus operators: written stages, free column names and Arrow strings as bytes."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -11,11 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Separators of words: space and the five ASCII controls from tab to carriage return.
-_SEP = np.zeros(256, dtype=bool)
-_SEP[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 
@@ -36,40 +32,59 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of what ``written`` has put in the shared folder, in order.
-_WRITTEN: list[str] = []
+#: For each thread, the open calls of ``settled``: lists of what ``written`` has put in the shared folder since.
+_CALLS = threading.local()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+def _put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+    out, path = _put(df, name)
+    for paths in getattr(_CALLS, "open", [])[-1:]:
+        paths.append(path)
+    return out
 
 
 def settled(spark: SparkSession, make, name: str) -> DataFrame:
-    """The result of ``make()``, written; what it wrote on the way there is deleted."""
-    mark = len(_WRITTEN)
-    out = written(make(), name)
-    hadoop, configuration = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    for path in _WRITTEN[mark:-1]:
-        at = hadoop(path)
-        at.getFileSystem(configuration).delete(at, True)
-    del _WRITTEN[mark:-1]
+    """The result of ``make()``, written; what it wrote on the way there in this thread is deleted, also where it raises."""
+    calls = _CALLS.__dict__.setdefault("open", [])
+    calls.append([])
+    try:
+        out, path = _put(make(), name)
+    finally:
+        hadoop, configuration = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for step in calls.pop():
+            at = hadoop(step)
+            at.getFileSystem(configuration).delete(at, True)
+    for paths in calls[-1:]:
+        paths.append(path)
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 ROW = "__row"
 
 
 def own_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """``df`` and a column that tells all its rows apart: ``id_col`` itself where it does, or else ``ROW``, numbered in a
-    written copy, so that a task run again meets the same numbers."""
+    """``df`` and a column that tells all its rows apart: ``id_col`` itself where it does, or else a new one (``ROW``, or a free name like it),
+    numbered in a written copy, so that a task run again meets the same numbers."""
     repeated = df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
     if repeated.isEmpty():
         return df, id_col
-    return written(df.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), "numbered"), ROW
+    row = free_name(df, ROW)
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 #: Lists of ids up to this many rows are broadcast, longer ones are shuffled.
@@ -107,7 +122,8 @@ def string_buffers(array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """64-bit polynomial hashes of any spans of a byte array, from prefix sums modulo 2**64."""
+    """64-bit polynomial hashes of any spans of a byte array, from prefix sums modulo 2**64. Fit for looking up short spans: texts built like the Thue-Morse
+    word collide from 1,024 bytes on."""
 
     def __init__(self, raw: np.ndarray):
         power = np.full(len(raw) + 1, _BASE, dtype=U64)
@@ -136,57 +152,6 @@ def slices(values: list, size_of, most: int):
         yield begin, len(values)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, hash) of each word of lower-cased (A-Z) texts, in order."""
-    low = _LOWER[raw]
-    n = len(low)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    inside = ~_SEP[low]
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | cut[1:n]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | cut[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return np.searchsorted(offsets, starts, side="right") - 1, Spans(low).of(starts, ends)
-
-
-def shingle_sets(array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """n+1 offsets, and each text's distinct shingle hashes in ascending order.
-
-    A text with fewer words than ``width`` has its whole word sequence as one shingle; one without words has none.
-    """
-    raw, offsets = string_buffers(array)
-    doc, words = word_hashes(raw, offsets)
-    n_docs = len(offsets) - 1
-    counts = np.bincount(doc, minlength=n_docs).astype(np.int64)
-    begins = np.concatenate([[0], np.cumsum(counts)])
-    m = len(words)
-    hashes = np.zeros(m, dtype=U64)
-    for k in range(min(width, m)):
-        factor = U64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
-        hashes[: m - k] += mix(words[k:] ^ factor) * U64(2 * k + 3) if k else words * U64(3)
-    left = begins[doc + 1] - np.arange(m) if m else np.zeros(0, np.int64)
-    whole = left >= width
-    for i in np.flatnonzero((counts > 0) & (counts < width)):
-        seq = words[begins[i] : begins[i + 1]]
-        h = U64(counts[i])
-        for w in seq:
-            h = mix(np.array([h], U64) * U64(31) + w)[0]
-        hashes[begins[i]] = h
-        whole[begins[i]] = True
-    doc, hashes = doc[whole], mix(hashes[whole])
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    if len(doc):
-        keep = np.ones(len(doc), dtype=bool)
-        keep[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-        doc, hashes = doc[keep], hashes[keep]
-    return np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))]).astype(np.int64), hashes
-
-
 def keyed_groups(batches, key_names: list[str]):
     """Whole groups from pandas batches that are sorted by ``key_names``: yields frames that hold complete groups only.
 

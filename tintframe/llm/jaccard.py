@@ -20,8 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, keyed_groups, mix, own_key, shingle_sets, slices, without_ids, written
+from .common import U64, keyed_groups, mix, own_key, slices, without_ids, written
 from .components import connected_components
+from .words import shingle_sets
 
 CHARS_AT_ONCE = 1 << 18
 #: Sets and shingles of a block; a cluster beyond either is compared in pairs of blocks, whose rows are alike in number.

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import free_name, slices
 
 DIMENSIONS = 1024
 SEED = 8
@@ -156,9 +156,10 @@ def with_language(
     prototypes: np.ndarray,
     text_col: str = "text",
     seed: int = SEED,
-    out_cols: tuple[str, str] = ("lang_pred", "score"),
+    out_cols: tuple[str, ...] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """``df`` with lang_pred and score (the cosine, from 0 to 1) in ``out_cols``; columns of these names are replaced.
+    """``df`` with lang_pred and score (the cosine, from 0 to 1) in ``out_cols``, and in a third of them, if given, whether the text has a letter;
+    columns of the first two names are replaced.
 
     ``und`` with score 0 for a null text, one without letters, or where no language was learned; equal cosines go to the
     language first in alphabetical order. Whole texts count; other columns are not looked at, and rows are independent.
@@ -168,25 +169,28 @@ def with_language(
     unit = (prototypes / np.where(length > 0, length, 1)).astype(np.float32)
     names = np.array([*languages, UNKNOWN], dtype=object)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lettered boolean")
     def predict(texts):
         import pandas as pd
 
         letters = letter_vectors(dimensions, seed)
         texts = ["" if t is None else t for t in texts]
-        pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+        pred, score, lettered = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for i, j in slices(texts, lambda t: len(t) + PER_TEXT, CHARS_AT_ONCE):
-            if not len(unit):
-                break
             vectors, some = text_vectors(texts[i:j], letters)
+            lettered[i:j] = some
+            if not len(unit):
+                continue
             norm = np.linalg.norm(vectors, axis=1)
             cos = vectors @ unit.T / np.maximum(norm, 1e-30)[:, None]
             pred[i:j] = np.where(some, cos.argmax(axis=1), -1)
             score[i:j] = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0)
-        return pd.DataFrame({"lang_pred": names[pred], "score": score})
+        return pd.DataFrame({"lang_pred": names[pred], "score": score, "lettered": lettered})
 
-    found = df.drop(*out_cols).withColumn("__language", predict(F.col(text_col).cast("string")))
-    return found.withColumns({out_cols[0]: F.col("__language.lang_pred"), out_cols[1]: F.col("__language.score")}).drop("__language")
+    df = df.drop(*out_cols[:2])
+    name = free_name(df, "language")
+    found = df.withColumn(name, predict(F.col(text_col).cast("string")))
+    return found.withColumns({c: F.col(name)[f] for c, f in zip(out_cols, ("lang_pred", "score", "lettered"))}).drop(name)
 
 
 def text_vectors(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,16 +227,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(df: DataFrame, out_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(df: DataFrame, out_cols: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """``documents`` with lang_pred and score, learned from its own rows that are not held out."""
     languages, prototypes = train_prototypes(df.filter(~held_out()))
     return with_language(df, languages, prototypes, out_cols=out_cols)
 
 
 def in_a_language(df: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that have a language, with their own columns only: null texts and those without a letter go."""
-    found = identify(df, ("__lang_pred", "__score"))
-    return found.filter(F.col("__lang_pred") != UNKNOWN).select(*df.columns)
+    """The rows of ``documents`` whose text is in a language, with their own columns only: null texts and those without a letter go. Where no
+    language could be learned, every text with a letter stays."""
+    names = tuple(free_name(df, c) for c in ("__lang_pred", "__score", "__lettered"))
+    return identify(df, names).filter(F.col(names[2])).select(*df.columns)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

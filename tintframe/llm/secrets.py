@@ -6,11 +6,13 @@ identifiers, both trained from labelled samples - add spans: tokens whose mean l
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 # The patterns of the base spans and the least lengths of what they match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,7 +24,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 STATES = len(ALPHABET) + 1  # state 0: the start, or any other character
 #: A token of the models: any whole run of 16 characters or more of the alphabet; the margin alone decides.
 TOKEN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+"
-#: Documents, on average, whose words are samples of identifiers; a hash of the id picks them.
+#: Documents, on average, whose words are samples of identifiers; a hash of the row picks them.
 SAMPLE_DOCS = 1000
 MARGIN = 0.75
 BLOCK_CHARS = 4096
@@ -30,21 +32,23 @@ KINDS = ("assign", "access", "hex", "markov")
 
 
 def labelled_samples(df: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(token, random): labelled samples from a bounded sample of rows.
+    """(token, random): labelled samples from a bounded sample of rows, picked by a hash of id, text and place in the table, so that
+    rows without ids or with repeated ones are drawn like all others.
 
-    Random ones are digests of the ids in hexadecimal, base 64 and capital letters with digits. Ordinary ones are the words of the
+    Random ones are digests of that hash in hexadecimal, base 64 and capital letters with digits. Ordinary ones are the words of the
     texts, alone and joined in pairs as identifiers are: snake_case, camelCase, dotted, as paths and as CONSTANT_CASE; and
     rules and fillers, which repeat a character or two.
     """
     n = df.count()
-    drawn = df.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(max(n, 1))) < sample_docs)
+    key = F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col), F.monotonically_increasing_id())
+    drawn = df.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).filter(F.pmod("key", F.lit(max(n, 1))) < sample_docs)
     # written, or the filters that Spark infers from the generators make the samples of all rows
-    drawn = written(drawn.select(id_col, text_col), "sample")
-    digest = F.sha2(F.col(id_col).cast("string"), 256)
+    drawn = written(drawn, "sample")
+    digest = F.sha2(F.col("key").cast("string"), 256)
     raw = F.base64(F.unhex(digest))
     random = F.array(F.substring(digest, 1, 40), F.substring(raw, 1, 40), F.upper(F.regexp_replace(raw, "[+/=]", "")))
     words = F.filter(
-        F.regexp_extract_all(F.col(text_col).cast("string"), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 2
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 2
     )
     pairs = F.transform(
         F.filter(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")), lambda p: p["b"].isNotNull()),
@@ -57,7 +61,7 @@ def labelled_samples(df: DataFrame, id_col: str, text_col: str, sample_docs: int
     constants = F.transform(F.filter(pairs, lambda p: p.contains("_")), F.upper)
     rules = F.array(*(F.lit(c * 20) for c in ALPHABET), *(F.lit((a + b) * 10) for a in "=-_.+/" for b in "=-_.+/" if a != b))
     both = drawn.select(
-        F.when(F.col(id_col).isNotNull(), random).alias("r"), F.concat(words, pairs, constants, rules).alias("w")
+        random.alias("r"), F.concat(words, pairs, constants, rules).alias("w")
     )
     return both.select(F.explode("r").alias("token"), F.lit(True).alias("random")).unionByName(
         both.select(F.explode("w").alias("token"), F.lit(False).alias("random"))
@@ -80,6 +84,7 @@ def train(samples: DataFrame, smooth: float = 0.5) -> np.ndarray:
     for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect():
         counts[int(r["random"])].flat[r["step"]] = r["n"]
     if not counts.any(axis=(1, 2)).all():
+        warnings.warn("a class has no labelled samples: the models find nothing", stacklevel=2)
         return np.zeros(STATES * STATES)
     p = (counts + smooth) / (counts + smooth).sum(axis=2, keepdims=True)
     return np.log(p[1] / p[0]).ravel()
@@ -146,15 +151,16 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(none)
 
 
-def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float = MARGIN) -> DataFrame:
-    """``df`` with base_spans and markov_spans, arrays of (start, rank, stop) in code points, each by start.
+def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float = MARGIN, names: tuple[str, str] = ("base_spans", "markov_spans")) -> DataFrame:
+    """``df`` with base_spans and markov_spans (under ``names``), arrays of (start, rank, stop) in code points, each by start.
 
     rank is the place in KINDS. A null or empty text has no spans. Tokens of the models may overlap base spans
     and are whole. Columns of these names are replaced; rows are independent of each other.
     """
-    names = ["base_spans", "markov_spans", "__text"]
-    df = df.drop(*names).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    text = F.col("__text")
+    df = df.drop(*names)
+    own = free_name(df, "__text")
+    df = df.withColumn(own, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.col(own)
     base = F.concat(
         _spans(text, ASSIGN, "assign", lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= ASSIGN_VALUE),
         _spans(text, ACCESS, "access", lambda h: F.length(h) >= ACCESS_LENGTH),
@@ -162,7 +168,7 @@ def find_secrets(df: DataFrame, text_col: str, table: np.ndarray, margin: float
         _spans(text, f"{HEX[:-1]}{{{HEX_LENGTH},}}", "hex", lambda h: F.length(h) >= HEX_LENGTH),
     )
     tokens = _spans(text, TOKEN, "markov", lambda h: log_ratio(h, table) > margin)
-    return df.withColumns({"base_spans": F.array_sort(base), "markov_spans": tokens}).drop("__text")
+    return df.withColumns({names[0]: F.array_sort(base), names[1]: tokens}).drop(own)
 
 
 def redact(df: DataFrame, text_col: str, table: np.ndarray, mark: str = "[secret]", margin: float = MARGIN) -> DataFrame:
@@ -170,7 +176,8 @@ def redact(df: DataFrame, text_col: str, table: np.ndarray, mark: str = "[secret
 
     Texts are put together from blocks of ``BLOCK_CHARS`` characters, so that cutting a piece does not read its text from the start.
     """
-    found = find_secrets(df, text_col, table, margin)
+    base, tokens = names = (free_name(df, "base_spans"), free_name(df, "markov_spans"))
+    found = find_secrets(df, text_col, table, margin, names)
     text = F.col(text_col)
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
 
@@ -190,7 +197,7 @@ def redact(df: DataFrame, text_col: str, table: np.ndarray, mark: str = "[secret
         last = F.struct(F.array_max(F.transform(spans, lambda s: s["stop"])).alias("begin"), F.length(text).alias("end"))
         return _let(blocks, lambda bs: F.array_join(F.transform(F.concat(fresh, F.array(last)), lambda p: cut(bs, p["begin"], p["end"])), mark))
 
-    clean = F.when(F.size("base_spans") + F.size("markov_spans") > 0, _let(F.array_sort(F.concat("base_spans", "markov_spans")), marked))
+    clean = F.when(F.size(base) + F.size(tokens) > 0, _let(F.array_sort(F.concat(base, tokens)), marked))
     return found.withColumn(text_col, F.coalesce(clean, text)).select(*df.columns)
 
 

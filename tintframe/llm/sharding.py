@@ -47,9 +47,9 @@ def external_shuffle(
     total, n = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64), F.count("*")).first()
     n_buckets = max(1, math.ceil((total or 0) / bucket_bytes))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    if key == ROW:
-        again = written(_again(df.select(ROW, F.xxhash64(id_col, text_col).alias("h"))), "again")
-        df = df.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, ROW, "left")
+    if key != id_col:
+        again = written(_again(df.select(F.col(key).alias(ROW), F.xxhash64(id_col, text_col).alias("h"))), "again").withColumnRenamed(ROW, key)
+        df = df.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, key, "left")
         hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.coalesce("__again", F.lit(0)))
     bucket = F.pmod(hashed, F.lit(n_buckets)).cast("int")
     sizes = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n"))
@@ -73,7 +73,7 @@ def external_shuffle(
     p, k = F.col("__start") + F.col("__pos"), F.lit(n_shards)
     shard = F.expr(f"((__start + __pos + 1) * {n_shards}L - 1) div {max(n, 1)}L").cast("int")
     first = F.expr(f"(shard * {n}L) div {n_shards}L")
-    return placed.withColumn("shard", shard).withColumn("slot", p - first).drop("__start", ROW, *hidden)
+    return placed.withColumn("shard", shard).withColumn("slot", p - first).drop("__start", *hidden, *({key} - {id_col}))
 
 
 def _again(rows: DataFrame) -> DataFrame:

@@ -87,3 +87,38 @@ def crc32s(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.nda
     for i in np.flatnonzero(size > STEPS):
         crc[i] = zlib.crc32(raw[starts[i] : ends[i]].tobytes(), 0 if before is None else int(before[i]))
     return crc
+
+
+def shingle_sets(array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """n+1 offsets, and each text's distinct shingle hashes in ascending order.
+
+    A text with fewer words than ``width`` has its whole word sequence as one shingle; one without words has none.
+    """
+    raw, offsets = lowered(array)
+    first, starts, ends = bounds(raw, offsets, VISIBLE)
+    words = digests(raw, starts, ends)
+    n_docs = len(offsets) - 1
+    counts, begins = np.diff(first), first
+    doc = np.repeat(np.arange(n_docs), counts)
+    m = len(words)
+    hashes = np.zeros(m, dtype=U64)
+    for k in range(min(width, m)):
+        factor = U64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
+        hashes[: m - k] += mix(words[k:] ^ factor) * U64(2 * k + 3) if k else words * U64(3)
+    left = begins[doc + 1] - np.arange(m) if m else np.zeros(0, np.int64)
+    whole = left >= width
+    for i in np.flatnonzero((counts > 0) & (counts < width)):
+        seq = words[begins[i] : begins[i + 1]]
+        h = U64(counts[i])
+        for w in seq:
+            h = mix(np.array([h], U64) * U64(31) + w)[0]
+        hashes[begins[i]] = h
+        whole[begins[i]] = True
+    doc, hashes = doc[whole], mix(hashes[whole])
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    if len(doc):
+        keep = np.ones(len(doc), dtype=bool)
+        keep[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+        doc, hashes = doc[keep], hashes[keep]
+    return np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))]).astype(np.int64), hashes
