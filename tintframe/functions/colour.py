@@ -125,9 +125,14 @@ def clamp01(v: Column) -> Column:
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
 
+def near(v: Column, places: int | None) -> Column:
+    """``v`` to so many decimal places, halves up, in doubles alone; as it is for None."""
+    return v if places is None else F.floor(v * 10.0**places + 0.5) / 10.0**places
+
+
 def quantise_u16(v: Column) -> Column:
-    """Half away from zero, clamped to the code range."""
-    return F.least(F.greatest(F.round(v * 65535.0), F.lit(0.0)), F.lit(65535.0)).cast("int")
+    """Halves up, clamped to the code range; not a number is 0."""
+    return F.least(F.greatest(F.floor(v * 65535.0 + 0.5), F.lit(0)), F.lit(65535)).cast("int")
 
 
 def clipped_channels(mask: Column) -> Column:

@@ -19,6 +19,7 @@ from ..functions.colour import (
     with_delta_e,
     xyz_d65_to_lab,
 )
+from ..functions.linear import eliminated
 
 MEAN = ("mean_r", "mean_g", "mean_b")
 VARIANCE = ("var_r", "var_g", "var_b")
@@ -124,19 +125,21 @@ def exposure_and_channels(joined: DataFrame) -> DataFrame:
     return channels
 
 
+#: A pivot below this makes a fit singular.
+SINGULAR = 1e-14
+
+
 def normal_equations(joined: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ``keys`` the least-squares matrix m00..m22 that maps normalised means to targets: 15 sums, then a 3x3 solve in columns. A
-    singular system gives nulls."""
+    """Per ``keys`` the least-squares matrix m00..m22 that maps normalised means to targets: 15 sums, then elimination with row pivots in columns. A
+    system with a pivot below ``SINGULAR`` gives nulls."""
     n = [F.col(m) / F.nullif(F.col("exposure") * F.col(c), F.lit(0.0)) for m, c in zip(MEAN, ("c_r", "c_g", "c_b"), strict=True)]
     t = [F.col(c) for c in ("t_r", "t_g", "t_b")]
     sums = [F.sum(n[i] * n[j]).alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)]
     sums += [F.sum(n[i] * t[j]).alias(f"b{i}{j}") for i in range(3) for j in range(3)]
     keep = [F.first(c).alias(c) for c in ("exposure", "c_r", "c_g", "c_b")]
-    solved = joined.groupBy(*keys).agg(*keep, *sums)
-    a = column_inverse([[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)])
-    inverse = {f"i{i}{j}": a[i][j] for i in range(3) for j in range(3)}
-    product = {f"m{i}{j}": sum((F.col(f"i{i}{k}") * F.col(f"b{k}{j}") for k in range(1, 3)), F.col(f"i{i}0") * F.col(f"b0{j}")) for i in range(3) for j in range(3)}
-    return solved.withColumns(inverse).withColumns(product).select(*keys, *STAGES)
+    system = F.array(*(F.array(*(F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)), *(F.col(f"b{i}{j}") for j in range(3))) for i in range(3)))
+    solved = joined.groupBy(*keys).agg(*keep, *sums).withColumn("solved", eliminated(system, 3, SINGULAR))
+    return solved.withColumns({f"m{i}{j}": F.col("solved")[i][j] for i in range(3) for j in range(3)}).select(*keys, *STAGES)
 
 
 def failure_categories(failures: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.colour import clamp01, col3, inverted, quantise_u16, srgb_encode
+from ..functions.colour import clamp01, col3, inverted, near, quantise_u16, srgb_encode
 
 OUT = ("out_r", "out_g", "out_b")
 
@@ -58,8 +58,7 @@ def clip_flags(df: DataFrame) -> DataFrame:
 
 def encode_srgb(df: DataFrame, places: int | None = None) -> DataFrame:
     """``df`` with code_r, code_g, code_b: clamped, sRGB encoded, rounded to ``places`` if given, and quantised to 16 bits."""
-    near = lambda v: v if places is None else F.round(v, places)
-    return df.withColumns({f"code_{c}": quantise_u16(near(srgb_encode(clamp01(F.col(o))))) for c, o in zip("rgb", OUT, strict=True)})
+    return df.withColumns({f"code_{c}": quantise_u16(near(srgb_encode(clamp01(F.col(o))), places)) for c, o in zip("rgb", OUT, strict=True)})
 
 
 def to_8_bit(code: str):
@@ -69,12 +68,11 @@ def to_8_bit(code: str):
 def encode_space(df: DataFrame, space: str, places: int | None = None) -> DataFrame:
     """``df`` with lin_*, the unclamped linear light of ``space`` from float32 colours, and its encoded codes and ``fits``: whether
     rounding alone changes every channel. Encoded values are rounded to ``places`` first, if given."""
-    near = lambda v: v if places is None else F.round(v, places)
     m = from_rec709(space)
     v = tuple(c.cast("float").cast("double") for c in col3(*OUT))
     linear = {f"lin_{c}": m[i][0] * v[0] + m[i][1] * v[1] + m[i][2] * v[2] for i, c in enumerate("rgb")}
     curve = srgb_encode if space != "adobe-rgb" else lambda x: F.pow(F.greatest(x, F.lit(0.0)), F.lit(1 / ADOBE_GAMMA))
-    df = df.withColumns(linear).withColumns({f"enc_{c}": near(curve(F.col(f"lin_{c}"))) for c in "rgb"})
+    df = df.withColumns(linear).withColumns({f"enc_{c}": near(curve(F.col(f"lin_{c}")), places) for c in "rgb"})
     scaled = [F.col(f"enc_{c}") * 65535.0 for c in "rgb"]
     fits = (F.least(*scaled) >= -0.5) & (F.greatest(*scaled) <= 65535.5) & (F.least(*(F.col(f"lin_{c}") for c in "rgb")) > -1e-9)
     return df.withColumns({f"code_{c}": quantise_u16(F.col(f"enc_{c}")) for c in "rgb"}).withColumn("fits", fits)

@@ -10,7 +10,7 @@ from ..operators import calibration as C
 from ..operators import geometry, transform
 from ..sources import adapters
 from ..sources.chart import chart_reference, chart_xyy
-from ..sources.shared import small, written
+from ..sources.shared import BROADCAST_ROWS, written
 from . import sql as S
 
 QUERIES: dict = {}
@@ -48,7 +48,7 @@ MEANS = (*C.MEAN, *C.VARIANCE)
 
 @query(S.with_(*BASE) + f"SELECT CAST(frame AS INT) AS frame, CAST(patch_idx AS INT) AS patch_idx, {r6(*MEANS)}, clip, n FROM samples")
 def a01_patch_samples(spark, sf_dir):
-    return rounded(samples(spark, sf_dir)).select("frame", "patch_idx", *MEANS, "clip", "n")
+    return rounded(C.patch_samples(adapters.chart_pixels(spark, sf_dir))).select("frame", "patch_idx", *MEANS, "clip", "n")
 
 
 QUAD = {"x0": 40.0, "y0": 40.0, "x1": 440.0, "y1": 34.0, "x2": 440.0, "y2": 280.0, "x3": 40.0, "y3": 280.0}
@@ -123,6 +123,44 @@ def f02_color_matrix(spark, sf_dir):
     return rounded(C.fit(samples(spark, sf_dir), chart_reference(spark))).select("frame", *MATRIX)
 
 
+def _pivoted(source: str, keep: str, rows: int, sides: int, least: str) -> list[str]:
+    """CTEs of elimination with row pivots over columns e00.. and s00.. (a row's right sides), ending in ``el{rows - 1}`` with ``fine``."""
+    width, ctes = rows + sides, []
+    name = lambda i, j: f"e{i}{j}" if j < rows else f"s{i}{j - rows}"
+    every = ", ".join(name(i, j) for i in range(rows) for j in range(width))
+    for c in range(rows):
+        top = ", ".join(f"abs({name(i, c)})" for i in range(c, rows))
+        pick = " ".join(f"WHEN abs({name(i, c)}) = greatest({top}) THEN {i}" for i in range(c, rows))
+        ctes.append(f"pick{c} AS (SELECT {keep}, {every}, {'fine AND ' if c else ''}greatest({top}) >= {least} AS fine, CASE {pick} END AS pick FROM {source})")
+        up = {name(c, j): "CASE pick " + " ".join(f"WHEN {i} THEN {name(i, j)}" for i in range(c, rows)) + " END" for j in range(width)}
+        down = {name(i, j): f"CASE WHEN pick = {i} THEN {name(c, j)} ELSE {name(i, j)} END" for i in range(c + 1, rows) for j in range(width)}
+        swapped = {name(i, j): (up | down).get(name(i, j), name(i, j)) for i in range(rows) for j in range(width)}
+        ctes.append(f"swap{c} AS (SELECT {keep}, fine, {', '.join(f'{v} AS {k}' for k, v in swapped.items())} FROM pick{c})")
+        cleared = [name(i, j) if i == c else f"CASE WHEN fine THEN {name(i, j)} - {name(i, c)}/{name(c, c)}*{name(c, j)} END AS {name(i, j)}" for i in range(rows) for j in range(width)]
+        ctes.append(f"el{c} AS (SELECT {keep}, fine, {', '.join(cleared)} FROM swap{c})")
+        source = f"el{c}"
+    return ctes
+
+
+# How far blue is from being green alone, in five copies of every frame.
+APART = (1.0, 1e-2, 1e-4, 1e-9, 0.0)
+_COPIES = "copies AS (SELECT frame*5 + v AS frame, patch_idx, mean_r, mean_g, mean_g + e*(mean_b - mean_g) AS mean_b, var_r, var_g, var_b, clip, n FROM samples, (VALUES " + ", ".join(f"({i}, {e!r}::DOUBLE)" for i, e in enumerate(APART)) + ") t(v, e))"
+_FITTED = S.fit_ctes(joined="SELECT s.*, ref.* EXCLUDE (patch_idx) FROM copies s JOIN ref USING (patch_idx)").split("solved AS (")[0].rstrip().rstrip(",")
+_SYSTEM = "system AS (SELECT frame, " + ", ".join(f"a{min(i, j)}{max(i, j)} AS e{i}{j}" for i in range(3) for j in range(3)) + ", " + ", ".join(f"b{i}{j} AS s{i}{j}" for i in range(3) for j in range(3)) + " FROM sums)"
+
+
+@query(S.with_(*BASE, _COPIES, _FITTED, _SYSTEM, *_pivoted("system", "frame", 3, 3, "1e-14")) + "SELECT CAST(frame AS INT) AS frame, CASE WHEN NOT fine THEN 'singular matrix' END AS error, " + ", ".join(f"CASE WHEN fine AND frame % 5 < 2 THEN round(s{i}{j}/e{i}{i}, 6) + 0e0 END AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM el2")
+def f05_nearly_singular(spark, sf_dir):
+    """Every frame in copies whose blue comes ever closer to its green: which of them can be fitted, and the matrices of those far from singular."""
+    s, ref = samples(spark, sf_dir), chart_reference(spark)
+    copies = s.withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.lit(e).alias("e")) for i, e in enumerate(APART)))))
+    blue = F.col("mean_g") + F.col("t.e") * (F.col("mean_b") - F.col("mean_g"))
+    copies = written(copies.withColumns({"frame": F.col("frame") * 5 + F.col("t.v"), "mean_b": blue}).drop("t"), "copies")
+    errors = C.fit_errors(copies, ref)
+    fine = F.col("frame") % 5 < 2
+    return rounded(errors.join(C.fit(copies, ref), "frame").select("frame", "error", *(F.when(fine, F.col(c)).alias(c) for c in MATRIX)))
+
+
 def validated(spark, sf_dir):
     s, ref = samples(spark, sf_dir), chart_reference(spark)
     return C.validate(s, ref, C.fit(s, ref))
@@ -194,10 +232,11 @@ PLACES = 9
 
 
 def applied(spark, sf_dir):
-    """Every pixel through its frame's stages, which are one row a frame and go to the pixels."""
-    px, ref = adapters.chart_pixels(spark, sf_dir), chart_reference(spark)
-    stages = written(C.fit(samples(spark, sf_dir), ref), "stages")
-    return transform.clip_flags(C.corrected(px.join(small(stages), "frame"), ("r", "g", "b")))
+    """Every pixel through its frame's stages, which are one row a frame and go to the pixels where their samples say that they are few."""
+    px, ref, taken = adapters.chart_pixels(spark, sf_dir), chart_reference(spark), samples(spark, sf_dir)
+    stages = C.fit(taken, ref)
+    few = taken.count() <= 24 * BROADCAST_ROWS
+    return transform.clip_flags(C.corrected(px.join(F.broadcast(stages) if few else stages, "frame"), ("r", "g", "b")))
 
 
 _OUT = S.CORRECTED.replace("mean_r", "px.r").replace("mean_g", "px.g").replace("mean_b", "px.b")
@@ -304,6 +343,6 @@ def r01_chart_colours(spark, sf_dir):
     + "SELECT CAST(frame AS INT) AS frame, CAST(patch_idx AS INT) AS patch_idx, round(delta_e, 6) AS delta_e FROM scored"
 )
 def p08_ciede2000(spark, sf_dir):
-    s = C.with_targets(samples(spark, sf_dir), chart_reference(spark))
+    s = C.with_targets(C.patch_samples(adapters.chart_pixels(spark, sf_dir)), chart_reference(spark))
     labs = s.select("frame", "patch_idx", (100 * F.col("mean_r")).alias("l1"), (80 * F.col("mean_g") - 40).alias("a1"), (80 * F.col("mean_b") - 40).alias("b1"), "t_l", "t_a", "t_bb")
     return rounded(with_delta_e(labs, ("l1", "a1", "b1"), ("t_l", "t_a", "t_bb"), "delta_e")).select("frame", "patch_idx", "delta_e")

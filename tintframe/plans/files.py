@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import capture
 from ..functions import text as T
 from ..functions.colour import BRADFORD_D65_TO_D50, D50_XYZ, RGB_TO_XYZ
-from ..operators import batch, contract, interchange, stencil
+from ..operators import apply, batch, contract, interchange, stencil
 from ..operators import calibration as C
 from ..operators.ordering import with_place
 from ..sources import adapters
 from ..sources.chart import chart_reference
+from ..sources.shared import written
 from . import sql as S
-from .calibration import FIT, rounded, samples
+from .calibration import _CODE, FIT, rounded, samples
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -199,7 +200,7 @@ def probes(spark, sf_dir):
 
 @query(S.with_(*FIT, _CUBE, _PROBES, *_TRI) + "SELECT CAST(frame AS INT) AS frame, probe, round(lut_r, 6) + 0e0 AS lut_r, round(lut_g, 6) + 0e0 AS lut_g, round(lut_b, 6) + 0e0 AS lut_b FROM looked")
 def i01_trilinear(spark, sf_dir):
-    out = interchange.trilinear(probes(spark, sf_dir), interchange.cube_nodes(stages(spark, sf_dir), 9), 9)
+    out = interchange.trilinear(probes(spark, sf_dir), interchange.lut_arrays(stages(spark, sf_dir), 9), 9)
     return rounded(out).select("frame", "probe", "lut_r", "lut_g", "lut_b")
 
 
@@ -208,6 +209,39 @@ def a13_cube_error(spark, sf_dir):
     return rounded(interchange.cube_error(probes(spark, sf_dir), stages(spark, sf_dir), 9))
 
 
+# one draw after another, as the generator has it; products need 128 bits
+_LCG = f"""draws AS (SELECT 0 AS k, {interchange.PROBE_SEED}::UHUGEINT AS state UNION ALL
+  SELECT k + 1, (state*{interchange.MULTIPLIER}::UHUGEINT + {interchange.INCREMENT}::UHUGEINT) % 18446744073709551616::UHUGEINT FROM draws WHERE k < 3*(SELECT max(c_custkey) + 1 FROM customer)),
+drawn AS (SELECT (k - 1) // 3 AS i, {", ".join(f"max(CASE WHEN (k - 1) % 3 = {j} THEN state::DOUBLE/18446744073709551615::DOUBLE END) AS {c}" for j, c in enumerate("rgb"))} FROM draws WHERE k > 0 GROUP BY 1)"""
+
+
+def customer_probes(spark, sf_dir):
+    """A probe for each customer, the key being its place in the generator's sequence."""
+    keys = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("probe"))
+    return interchange.lcg_probes(keys, "probe")
+
+
+@query("WITH RECURSIVE " + _LCG + " SELECT c_custkey AS probe, round(r, 12) AS r, round(g, 12) AS g, round(b, 12) AS b FROM customer JOIN drawn ON i = c_custkey")
+def x07_lcg_probes(spark, sf_dir):
+    return rounded(customer_probes(spark, sf_dir), 12)
+
+
+_CUBE33 = _CUBE.replace("i % 9 AS r_i, i // 9 % 9 AS g_i, i // 81 AS b_i", "i % 33 AS r_i, i // 33 % 33 AS g_i, i // 1089 AS b_i").replace("(i % 9)/8.0e0", "(i % 33)/32.0e0").replace("(i // 9 % 9)/8.0e0", "(i // 33 % 33)/32.0e0").replace("(i // 81)/8.0e0", "(i // 1089)/32.0e0").replace("range(729)", "range(35937)")
+_CELLS33 = _TRI[0].replace("*8)", "*32)").replace(", 7)", ", 31)").replace("*8 -", "*32 -")
+
+
+@query(
+    S.with_(*FIT, _CUBE33, _LCG, "probes AS (SELECT frame, i AS probe, r, g, b FROM stages, drawn WHERE i < (SELECT count(*) FROM customer))", _CELLS33, *_TRI[1:]).replace("WITH ", "WITH RECURSIVE ", 1).replace("draws AS MATERIALIZED (", "draws AS (")
+    + "SELECT CAST(frame AS INT) AS frame, round(max(greatest(" + ", ".join(f"abs(lut_{c} - {v})" for c, v in zip("rgb", _DIRECT("r", "g", "b"), strict=True)) + ")), 6) AS max_error FROM looked JOIN stages USING (frame) GROUP BY 1"
+)
+def a13_probed_cube_error(spark, sf_dir):
+    """Every frame's stages as a cube of 33 nodes a side, at the generator's probes, one for each customer."""
+    fitted = written(stages(spark, sf_dir), "stages")
+    last = adapters.table(spark, sf_dir, "customer").count() - 1
+    probes = fitted.select("frame", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("probe"))
+    return rounded(interchange.cube_error(interchange.lcg_probes(probes, "probe"), fitted, 33))
+
+
 def _dcp_sql() -> str:
     import numpy as np
 
@@ -272,3 +306,46 @@ def g07_contract_compare(spark, sf_dir):
     settings |= {"profile_decoder": F.lit("d"), "image_decoder": F.when(F.col("pair") % 11 == 0, "e").otherwise("d")}
     settings |= {"profile_version": F.lit("1"), "image_version": F.when(F.col("pair") % 3 == 0, "2").otherwise("1")}
     return contract.compare_for_apply(pairs.withColumns(settings)).select("pair", "status", "blocks")
+
+
+#: The profile of the batch: its camera, decoder and settings.
+BATCH_PROFILE = {"make": "Acme", "model": "One", "decoder": "d", "version": "1"} | dict.fromkeys(contract.SETTINGS, "as shot")
+
+
+def batch_files(spark, sf_dir):
+    """Orders as files: some of another kind, some that can't be decoded, of another camera, with another contract or another version of it."""
+    o, k = adapters.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    path = F.format_string("shoot/%d/img%d.%s", F.col("o_custkey"), k, F.when(k % 23 == 0, "txt").otherwise("dng"))
+    o, k = o.select(k.alias("key"), path.alias("path")), F.col("key")
+    facts = {"decode_error": F.when(k % 13 == 0, "truncated"), "make": F.when(k % 11 == 0, "Other").otherwise("Acme"), "model": F.lit("One"), "decoder": F.lit("d")}
+    facts |= {"version": F.when(k % 3 == 0, "2").otherwise("1")} | {s: F.lit("as shot") for s in contract.SETTINGS} | {"demosaic": F.when(k % 17 == 0, "other").otherwise("as shot")}
+    return o.withColumns({n: c if not isinstance(c, str) else F.lit(c) for n, c in facts.items()})
+
+
+_BATCH = """files AS (SELECT o_orderkey AS k, printf('shoot/%d/img%d.dng', o_custkey, o_orderkey) AS path, printf('img%d.tiff', o_orderkey) AS output FROM orders WHERE o_orderkey % 23 <> 0),
+first_stages AS (SELECT * EXCLUDE (frame) FROM stages WHERE frame = 0),
+done AS (SELECT l_orderkey AS k, l_linenumber, {out} FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 29 = 0 AND l_linenumber = 1 THEN 'nan'::DOUBLE ELSE l_discount*8 END AS mean_r, l_tax*10 AS mean_g, l_quantity/50e0 AS mean_b FROM lineitem) l, first_stages),
+coded AS (SELECT k, count(*) AS pixels, bool_or(isnan(out_r)) AS bad, count(*) FILTER (out_r < 0 OR out_r > 1 OR out_g < 0 OR out_g > 1 OR out_b < 0 OR out_b > 1) AS clipped, {codes} FROM done GROUP BY k),
+judged AS (SELECT f.*, c.* EXCLUDE (k), f.k % 7 = 0 AS there, CASE WHEN f.k % 13 = 0 THEN 'decode failed: truncated' WHEN f.k % 11 = 0 THEN 'camera mismatch (profile: Acme One, image: Other One)' WHEN f.k % 17 = 0 THEN 'decode contract differs: settings'
+  WHEN pixels IS NULL THEN 'export failed: no pixels' WHEN bad THEN 'export failed: a pixel is not a number' END AS why FROM files f LEFT JOIN coded c USING (k))"""
+_BATCH = _BATCH.replace("{out}", S.CORRECTED).replace("{codes}", ", ".join(f"CAST(sum({_CODE(c)}) AS BIGINT) AS code_{c}" for c in "rgb"))
+
+
+@query(
+    S.with_(*FIT, _BATCH)
+    + """SELECT path, output, CASE WHEN there THEN 'skipped' WHEN why IS NULL THEN 'written' ELSE 'failed' END AS status, CASE WHEN NOT there THEN why END AS error,
+  CASE WHEN NOT there AND why IS NULL AND k % 3 = 0 THEN 'decode contract differs: version' END AS warning, """
+    + ", ".join(f"CASE WHEN NOT there AND why IS NULL THEN {c} END AS {c}" for c in ("pixels", "clipped", "code_r", "code_g", "code_b"))
+    + " FROM judged"
+)
+def i05_batch_apply(spark, sf_dir):
+    """Orders as files with their line items as pixels, through frame 0's stages; a seventh of the outputs is there already."""
+    fitted = C.fit(samples(spark, sf_dir).filter("frame = 0"), chart_reference(spark)).first()
+    files, k = batch_files(spark, sf_dir), F.col("l_orderkey")
+    red = F.when((k % 29 == 0) & (F.col("l_linenumber") == 1), float("nan")).otherwise(F.col("l_discount") * 8)
+    px = adapters.table(spark, sf_dir, "lineitem").select(k.alias("key"), red.alias("r"), (F.col("l_tax") * 10).alias("g"), (F.col("l_quantity") / 50.0).alias("b"))
+    px = px.join(files.select("key", "path"), "key").drop("key")
+    there = files.filter("key % 7 = 0").select(F.format_string("img%d.tiff", "key").alias("output"))
+    codes, results = apply.apply_batch(files.drop("key"), px, {c: fitted[c] for c in C.STAGES}, BATCH_PROFILE, there, places=9)
+    sums = codes.groupBy("output").agg(*(F.sum(c).alias(c) for c in apply.CODES))
+    return results.join(sums, "output", "left").select("path", "output", "status", "error", "warning", "pixels", "clipped", *apply.CODES)
