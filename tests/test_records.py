@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,25 +84,48 @@ def test_metadata_and_exports(spark):
 
 
 def test_numbers_and_paths(spark):
-    number = lambda v: one(spark, records.json_number(F.lit(v)))
-    assert [number(v) for v in (1.0, 0.5, -2.25, 0.0, -0.0, 3e-6, 1234567.1234567)] == ["1.0", "0.5", "-2.25", "0.0", "0.0", "3e-6", "1234567.123457"]
-    assert all(json.loads(number(v)) == round(v, 6) for v in (0.1, 2e-5, -7e-6, 99.999999))
+    values = [1.0, 0.5, -2.25, 0.0, -0.0, 3e-6, 1234567.1234567, 0.0001, -0.00012345, 1e7, 123456789.25, 1e15, 1e16, -2.5e20, 1e-5, 9.9e-6, 5e-324, 1.7976931348623157e308, float("nan")]
+    rng = np.random.default_rng(2)
+    values += (rng.normal(size=200) * 10.0 ** rng.integers(-12, 18, 200)).tolist()
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    rows = rows.select("i", records.json_number(F.col("v")).alias("j"), records.text_number(F.col("v")).alias("t"), records.json_number(F.col("v"), 6).alias("six")).orderBy("i").collect()
+    assert [r.j for r in rows[:9]] == ["1.0", "0.5", "-2.25", "0.0", "0.0", "3e-6", "1234567.1234567", "0.0001", "-0.00012345"]
+    assert [r.j for r in rows[9:16]] == ["10000000.0", "123456789.25", "1000000000000000.0", "1e16", "-2.5e20", "0.00001", "9.9e-6"] and rows[18].j == "null"
+    for v, r in zip(values, rows):
+        if v == v:
+            assert json.loads(r.j) == v and float(r.t) == v and "e" not in r.t and not r.t.endswith(".0"), v
+    assert [rows[i].six for i in (6, 8, 15)] == ["1234567.123457", "-0.000123", "0.00001"]
     path = lambda p: one(spark, records.canonical_path(F.lit(p)))
     assert [path(p) for p in ("/a//b/./c/../d/", "../x", "a/..", "/")] == ["/a/b/d", "x", "", "/"]
 
 
 def test_profiles_are_sealed_json(spark):
-    fixed = {"schema_version": "1.0.0", "make": 'A "B"', "model": "C\\D", "decoder": "d", "decoder_version": "1", "revision": "r"}
+    fixed = {"schema_version": "1.0", "make": 'A "B"', "model": "C\\D", "decoder": "d", "decoder_version": "1", "revision": "r", "dataset_digest": "aa", "reference_digest": "bb"}
+    fixed |= {c: v for c, v, _ in acceptance.PINNED}
     numbers = ["exposure", "c_r", "c_g", "c_b", *(f"m{i}{j}" for i in range(3) for j in range(3)), "mean_delta_e", "max_delta_e", "p95_delta_e", "neutral_max_delta_e", "skin_max_delta_e", "condition_number"]
-    df = spark.range(1).select(*(F.lit(v).alias(k) for k, v in fixed.items()), *(F.lit(0.25 + i).alias(n) for i, n in enumerate(numbers)), F.lit(24).alias("patch_count"))
+    df = spark.range(1).select(*(F.lit(v).alias(k) for k, v in fixed.items()), *(F.lit(1 / 3 + i).alias(n) for i, n in enumerate(numbers)), F.lit(24).alias("patch_count"))
     failures = F.array(F.struct(F.lit(None).cast("string").alias("patch"), F.lit("noisy").alias("reason"), F.lit("cv=1").alias("measured")))
     flags = acceptance.provenance(F.lit(1), F.lit(True), F.lit(False))
-    row = records.profile_json(df.withColumns({**flags, "failures": failures})).first()
+    sealed = records.profile_json(df.withColumns({**flags, "failures": failures}))
+    row = sealed.first()
     read = json.loads(row.json)
-    assert list(read) == ["schema-version", "camera", "chart-revision", "transform", "validation", "quality", "digest"] and read["camera"]["make"] == 'A "B"'
+    keys = ["schema-version", "decode-contract", "camera", "chart-revision", "dataset-digest", "reference-digest", "transform", "validation", "quality", "digest"]
+    assert list(read) == keys and read["camera"]["make"] == 'A "B"' and read["camera"]["model"] == "C\\D"
+    contract = {"decoder": "d", "decoder-version": "1", "output-color": "raw", "output-depth": "u16", "gamma": [1.0, 1.0], "white-balance": {"unity": {"user-mul": [1.0] * 4}}}
+    contract |= {"no-auto-bright": True, "demosaic": "ahd", "highlight": "clip", "orientation": "as-shot", "no-auto-scale": False}
+    assert read["decode-contract"] == contract and list(read["decode-contract"]) == list(contract)
+    assert read["transform"]["matrix"][2] == [1 / 3 + 10, 1 / 3 + 11, 1 / 3 + 12]  # every bit
     assert read["quality"] == {"passed": False, "overridden": True, "quick-and-dirty": False, "failures": [{"patch": None, "reason": "noisy", "measured": "cv=1"}]}
     bare = json.dumps({**read, "digest": ""}, indent=2)
     assert row.digest == read["digest"] == hashlib.sha256(bare.encode()).hexdigest()
+    short = hashlib.sha256(json.dumps(contract, separators=(",", ":")).encode()).hexdigest()[:16]
+    clf = records.clf_text(sealed).first().clf
+    assert f'id="profile-{row.digest[:12]}"' in clf and f"decode contract digest {short}, camera A \"B\" C\\D<" in clf
+    assert records.verified(sealed).first().error is None
+    auto = records.profile_json(df.withColumns({**flags, "failures": failures, "white_balance": F.lit("camera metadata")}))
+    assert json.loads(auto.first().json)["decode-contract"]["white-balance"] == "camera-metadata"
+    assert records.verified(auto).first().error == "invalid decode contract: white balance"
+    assert records.verified(sealed.withColumn("json", F.replace("json", F.lit('"aa"'), F.lit('"ab"')))).first().error == "profile digest mismatch"
 
 
 def test_clf_and_thumbnails(spark):

@@ -27,6 +27,11 @@ PINNED = (
 )
 
 
+def patch_name(patch: str) -> str:
+    """A patch as profiles name it: its words, capital first, put together."""
+    return "".join(w[:1].upper() + w[1:] for w in patch.split("-"))
+
+
 def first_of(*rules: tuple[Column, Column | str]) -> Column:
     """The text of the first rule that holds; null where none does."""
     out = None

@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = "1.0.0"
-DIGEST = r'"digest": "[0-9a-f]*"\n\}$'
-
+from .acceptance import contract_error
 
-def json_number(value: Column, places: int = 6) -> Column:
-    """A double, rounded to ``places``, in its shortest form with a decimal point; below 0.00001 with an exponent."""
-    v = F.round(value, places) + F.lit(0.0)
-    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", v), "0+$", ""), r"\.$", ".0")
-    tiny = F.concat(F.round(v * 10**places).cast("long").cast("string"), F.lit(f"e-{places}"))
-    return F.when((v != 0) & (F.abs(v) < 1e-5), tiny).otherwise(plain)
+SCHEMA_VERSION = "1.0"
+DIGEST = r'"digest": "[0-9a-f]*"\n\}$'
 
 
-def text_number(value: Column, places: int = 6) -> Column:
-    """The same without exponent or a decimal point of its own."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", F.round(value, places) + F.lit(0.0)), "0+$", ""), r"\.$", "")
+def json_number(value: Column, places: int | None = None) -> Column:
+    """A double as JSON, which reads back as the same double, or rounded to ``places`` first. Whole numbers have a decimal point; below 0.00001 and from
+    1e16 on there is an exponent. Null and what is no number are ``null``."""
+    v = (value if places is None else F.round(value, places)) + F.lit(0.0)
+    text = v.cast("string")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    sign = F.when(v < 0, "-").otherwise("")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(sign, F.rpad(digits, power + 1, F.lit("0")), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.length(digits)))).otherwise(".0"))
+    large = F.when(F.length(digits) > power + 1, F.concat(sign, F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))).otherwise(large)
+    mantissa = F.concat(sign, F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""))
+    apart = F.concat(mantissa, F.lit("e"), power.cast("string"))
+    shown = F.when(power.isNull(), text).when((F.abs(v) < 1e-5) | (F.abs(v) >= 1e16), apart).when(power < 0, small).otherwise(large)
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "null").otherwise(shown)
+
+
+def text_number(value: Column, places: int | None = None) -> Column:
+    """The same without a decimal point of its own and without exponents: a double's shortest decimal form, or rounded to ``places``."""
+    if places is not None:
+        return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", F.round(value, places) + F.lit(0.0)), "0+$", ""), r"\.$", "")
+    number = json_number(value)
+    power = F.regexp_extract(number, r"e(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_extract(number, r"^-?([0-9.]+)e", 1), r"\.", "")
+    sign = F.when(value < 0, "-").otherwise("")
+    plain = F.when(power < 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.concat(sign, F.rpad(digits, power + 1, F.lit("0"))))
+    return F.when(power.isNull(), F.regexp_replace(number, r"\.0$", "")).otherwise(plain)
 
 
 def quoted(text: Column) -> Column:
@@ -58,12 +76,46 @@ def failure_items(failures: Column, indent: int = 3) -> Column:
     return F.when(F.size(failures) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(failures, item), ",\n"), F.lit("\n" + pad[2:] + "]")))
 
 
+def contract_layout(of, text) -> dict:
+    """The decode contract's keys: settings that are several numbers become arrays, and the white balance of fixed multipliers an object."""
+    gamma, balance = of("gamma"), of("white_balance")
+    numbers = lambda t, pad: F.concat(F.lit("[\n" + pad + "  "), F.array_join(F.transform(F.split(t, " "), lambda v: json_number(v.try_cast("double"))), ",\n" + pad + "  "), F.lit("\n" + pad + "]"))
+    fixed = F.concat(F.lit('{\n      "unity": {\n        "user-mul": '), numbers(F.substring(balance, F.lit(7), F.length(balance)), "        "), F.lit("\n      }\n    }"))
+    dashed = lambda n: text(F.replace(of(n), F.lit(" "), F.lit("-")))
+    return {
+        "decoder": text(of("decoder")),
+        "decoder-version": text(of("decoder_version")),
+        "output-color": dashed("output_color"),
+        "output-depth": dashed("output_depth"),
+        "gamma": numbers(gamma, "    "),
+        "white-balance": F.when(balance.startswith("unity "), fixed).otherwise(dashed("white_balance")),
+        "no-auto-bright": of("no_auto_bright"),
+        "demosaic": dashed("demosaic"),
+        "highlight": dashed("highlight"),
+        "orientation": dashed("orientation"),
+        "no-auto-scale": of("no_auto_scale"),
+    }
+
+
+def contract_of(json: str | Column) -> dict[str, Column]:
+    """The settings of a profile's contract as columns of ``acceptance.PINNED``'s names, written as there."""
+    at = lambda k: F.get_json_object(json, f"$.decode-contract.{k}")
+    words = lambda k: F.replace(at(k), F.lit("-"), F.lit(" "))
+    numbers = lambda k: F.array_join(F.transform(F.from_json(at(k), "array<double>"), lambda v: text_number(v)), " ")
+    out = {n: words(n.replace("_", "-")) for n in ("output_color", "output_depth", "no_auto_bright", "demosaic", "highlight", "orientation", "no_auto_scale")}
+    fixed = numbers("white-balance.unity.user-mul")
+    return out | {"gamma": numbers("gamma"), "white_balance": F.when(fixed != "", F.concat(F.lit("unity "), fixed)).otherwise(words("white-balance"))}
+
+
 def profile_layout(of, number, text, failures) -> dict:
     """The keys of a profile in their order; ``of(name)`` gives a field, ``number`` and ``text`` make JSON of it."""
     return {
         "schema-version": text(of("schema_version")),
+        "decode-contract": contract_layout(of, text),
         "camera": {k: text(of(k.replace("-", "_"))) for k in ("make", "model", "decoder", "decoder-version")},
         "chart-revision": text(of("revision")),
+        "dataset-digest": text(of("dataset_digest")),
+        "reference-digest": text(of("reference_digest")),
         "transform": {
             "exposure-scale": number(of("exposure")),
             "channel-scale": [number(of(c)) for c in ("c_r", "c_g", "c_b")],
@@ -77,33 +129,43 @@ def profile_layout(of, number, text, failures) -> dict:
     }
 
 
-def profile_json(profiles: DataFrame) -> DataFrame:
-    """``profiles`` with json (sealed) and digest: the SHA-256 of the JSON whose own digest is empty."""
+def profile_json(profiles: DataFrame, places: int | None = None) -> DataFrame:
+    """``profiles`` with json (sealed) and digest: the SHA-256 of the JSON whose own digest is empty. Numbers keep every bit, or are rounded to ``places``.
+    Columns: the keys of ``profile_layout``, the contract's settings as in ``acceptance.PINNED``, failures (patch, reason, measured)."""
     extra = {"patch_count_text": F.col("patch_count").cast("string")} | {f"{k}_text": F.col(k).cast("string") for k in ("passed", "overridden", "quick_and_dirty")}
     rows = profiles.withColumns(extra)
-    bare = pretty({**profile_layout(F.col, json_number, quoted, failure_items(F.col("failures"), 3)), "digest": "\0"})
+    bare = pretty({**profile_layout(F.col, lambda v: json_number(v, places), quoted, failure_items(F.col("failures"), 3)), "digest": "\0"})
     at = next(k for k, p in enumerate(bare) if isinstance(p, str) and p == "\0")
     head, tail = bare[:at], bare[at + 1 :]
     rows = rows.withColumn("digest", F.sha2(joined([*head, '""', *tail]), 256))
     return rows.withColumn("json", joined([*head, '"', F.col("digest"), '"', *tail])).drop(*extra)
 
 
-def verified(sealed: DataFrame, contract_error: Column, major: str = "1") -> DataFrame:
+def verified(sealed: DataFrame, major: str = "1") -> DataFrame:
     """``sealed`` (json in canonical form) with error: the first that holds of no JSON, another schema's major version, a digest that is not
-    the text's, and what the decode contract violates."""
+    the text's, and what the decode contract inside it violates."""
     version = F.get_json_object("json", "$.schema-version")
     bare = F.regexp_replace("json", DIGEST, '"digest": ""\n}')
+    inside = {f"_{k}": v for k, v in contract_of("json").items()}
     error = (
         F.when(version.isNull(), "invalid profile JSON")
-        .when(F.substring_index(version, ".", 1) != major, F.concat(F.lit("unsupported schema version "), version))
-        .when(~F.sha2(bare, 256).eqNullSafe(F.get_json_object("json", "$.digest")), "digest mismatch")
-        .otherwise(contract_error)
+        .when(F.substring_index(version, ".", 1) != major, F.concat(F.lit("unsupported schema version "), version, F.lit(f", expected {SCHEMA_VERSION}")))
+        .when(~F.sha2(bare, 256).eqNullSafe(F.get_json_object("json", "$.digest")), "profile digest mismatch")
+        .otherwise(F.concat(F.lit("invalid decode contract: "), contract_error("_")))
     )
-    return sealed.withColumn("error", error)
+    return sealed.withColumns(inside).withColumn("error", error).drop(*inside)
+
+
+def contract_digest(letters: int = 16) -> Column:
+    """The first ``letters`` of the SHA-256 of the contract's JSON without white space, from columns as in ``profile_json``."""
+    text = joined(pretty(contract_layout(F.col, quoted)))
+    return F.left(F.sha2(F.regexp_replace(text, r"\n *|(?<=\":) ", ""), 256), F.lit(letters))
 
 
-def clf_text(stages: DataFrame) -> DataFrame:
-    """``stages`` with clf: a process list of two matrices, reciprocal scales (0 for a scale of 0) and the colour matrix."""
+def clf_text(stages: DataFrame, places: int | None = None) -> DataFrame:
+    """``stages`` with clf: a process list of two matrices, reciprocal scales (0 for a scale of 0) and the colour matrix; numbers keep every bit, or
+    are rounded to ``places``. Where there are the columns of a sealed profile (digest, make, model and the contract's), the list is named by the
+    profile's digest, and says what it takes."""
     scale = [F.coalesce(1 / F.nullif(F.col("exposure") * F.col(c), F.lit(0.0)), F.lit(0.0)) for c in ("c_r", "c_g", "c_b")]
     zero = F.lit(0.0)
     diagonal = [[scale[i] if i == j else zero for j in range(3)] for i in range(3)]
@@ -112,11 +174,17 @@ def clf_text(stages: DataFrame) -> DataFrame:
     def matrix(title: str, m) -> list:
         rows: list = [f'    <Matrix inBitDepth="32f" outBitDepth="32f">\n        <Description>{title}</Description>\n        <Array dim="3 3">\n']
         for r in m:
-            rows += ["            ", text_number(r[0]), " ", text_number(r[1]), " ", text_number(r[2]), "\n"]
+            rows += ["            ", text_number(r[0], places), " ", text_number(r[1], places), " ", text_number(r[2], places), "\n"]
         return [*rows, "        </Array>\n    </Matrix>\n"]
 
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<ProcessList compCLFversion="3.0">\n    <OutputDescriptor>linear sRGB D65</OutputDescriptor>\n'
-    return stages.withColumn("clf", joined([head, *matrix("channel and exposure scaling", diagonal), *matrix("color matrix", colour), "</ProcessList>\n"]))
+    first = '<?xml version="1.0" encoding="UTF-8"?>\n<ProcessList compCLFversion="3.0"'
+    head: list = [first, ">\n"]
+    if "digest" in stages.columns:
+        camera = F.concat_ws(" ", "make", "model")
+        takes = ["    <InputDescriptor>normalized linear camera RGB, decode contract digest ", contract_digest(), ", camera ", camera, "</InputDescriptor>\n"]
+        head = [first, ' id="profile-', F.left(F.col("digest"), F.lit(12)), '">\n    <Description>profile ', F.col("digest"), "</Description>\n", *takes]
+    head.append("    <OutputDescriptor>linear sRGB D65</OutputDescriptor>\n")
+    return stages.withColumn("clf", joined([*head, *matrix("channel and exposure scaling", diagonal), *matrix("color matrix", colour), "</ProcessList>\n"]))
 
 
 def parsed_clf(df: DataFrame, clf: str = "clf") -> DataFrame:

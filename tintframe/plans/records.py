@@ -11,7 +11,7 @@ from ..operators import batch, calibration, contract, interchange
 from ..operators import records as R
 from ..operators.ordering import with_place
 from ..sources import adapters
-from ..sources.chart import chart_reference
+from ..sources.chart import PATCHES, chart_reference
 from ..sources.shared import small, written
 from . import sql as S
 from .calibration import FIT, GATES, REPORT, VALID, rounded, samples
@@ -179,49 +179,150 @@ def g15_dcp_refusals(spark, sf_dir):
 
 # --- profiles
 
+#: Engines differ in the last bits of a fit; the queries seal numbers rounded to so many places.
+PLACES = 6
 _NUM = lambda v: f"CASE WHEN round({v}, 6) <> 0 AND abs(round({v}, 6)) < 1e-5 THEN CAST(CAST(round(round({v}, 6)*1e6) AS BIGINT) AS VARCHAR) || 'e-6' ELSE regexp_replace(regexp_replace(printf('%.6f', round({v}, 6) + 0e0), '0+$', ''), '[.]$', '.0') END"
-_TXT = lambda v: f"'\"' || replace(replace({v}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
-_CONSTANT = {"schema_version": "'1.0.0'", "make": "'Cam'", "model": "'F' || frame", "decoder": "'decoder'", "decoder_version": "'1'", "revision": "'from'", "patch_count_text": "CAST(patch_count AS VARCHAR)"}
-_CONSTANT |= {"passed_text": "CAST(n_failures = 0 AS VARCHAR)", "overridden_text": "CAST(n_failures > 0 AND (frame % 2 = 0 OR frame % 3 = 0) AS VARCHAR)", "quick_and_dirty_text": "CAST(frame % 3 = 0 AS VARCHAR)"}
 _ITEMS = "CASE WHEN n_failures = 0 THEN '[]' ELSE '[' || chr(10) || items || chr(10) || '    ]' END"
-
-
-def _profile_sql() -> str:
-    layout = R.profile_layout(lambda n: _CONSTANT.get(n, n), _NUM, _TXT, _ITEMS)
-    def sql(parts):
-        return " || ".join("('" + p.replace("'", "''") + "')" if p.startswith(("{", "}", "[", "]", " ", ",", "\n")) else f"({p})" for p in parts)
-
-    parts = R.pretty({**layout, "digest": "digest_text"})
-    item = "'      {' || chr(10) || '        \"patch\": ' || coalesce('\"' || patch_idx || '\"', 'null') || ',' || chr(10) || '        \"reason\": \"' || reason || '\",' || chr(10) || '        \"measured\": \"' || measured || '\"' || chr(10) || '      }'"
+# the text as a reader of profiles finds it; each <name> stands for a value
+_PROFILE_TEXT = """{
+  "schema-version": "1.0",
+  "decode-contract": {
+    "decoder": "decoder",
+    "decoder-version": "1",
+    "output-color": "raw",
+    "output-depth": "u16",
+    "gamma": [
+      1.0,
+      1.0
+    ],
+    "white-balance": {
+      "unity": {
+        "user-mul": [
+          1.0,
+          1.0,
+          1.0,
+          1.0
+        ]
+      }
+    },
+    "no-auto-bright": true,
+    "demosaic": "<demosaic>",
+    "highlight": "clip",
+    "orientation": "as-shot",
+    "no-auto-scale": false
+  },
+  "camera": {
+    "make": "Cam",
+    "model": "F<frame>",
+    "decoder": "decoder",
+    "decoder-version": "1"
+  },
+  "chart-revision": "classic-from-november2014",
+  "dataset-digest": "<dataset>",
+  "reference-digest": "<reference>",
+  "transform": {
+    "exposure-scale": <exposure>,
+    "channel-scale": [
+      <c_r>,
+      <c_g>,
+      <c_b>
+    ],
+    "matrix": [
+      [
+        <m00>,
+        <m01>,
+        <m02>
+      ],
+      [
+        <m10>,
+        <m11>,
+        <m12>
+      ],
+      [
+        <m20>,
+        <m21>,
+        <m22>
+      ]
+    ]
+  },
+  "validation": {
+    "mean-delta-e": <mean_delta_e>,
+    "max-delta-e": <max_delta_e>,
+    "p95-delta-e": <p95_delta_e>,
+    "neutral-max-delta-e": <neutral_max_delta_e>,
+    "skin-max-delta-e": <skin_max_delta_e>,
+    "condition-number": <condition_number>,
+    "patch-count": <patch_count>
+  },
+  "quality": {
+    "passed": <passed>,
+    "overridden": <overridden>,
+    "quick-and-dirty": <quick>,
+    "failures": <failures>
+  },
+  "digest": ""
+}"""
+_CONTRACT_TEXT = '{"decoder":"decoder","decoder-version":"1","output-color":"raw","output-depth":"u16","gamma":[1.0,1.0],"white-balance":{"unity":{"user-mul":[1.0,1.0,1.0,1.0]}},"no-auto-bright":true,"demosaic":"ahd","highlight":"clip","orientation":"as-shot","no-auto-scale":false}'
+_PLAIN_VALUES = {
+    "demosaic": "CASE WHEN frame % 10 IN (3, 8) THEN 'vng' ELSE 'ahd' END",
+    "frame": "frame",
+    "dataset": "sha256('chart')",
+    "reference": "sha256('reference ' || frame)",
+    "patch_count": "patch_count",
+    "passed": "(n_failures = 0)",
+    "overridden": "(n_failures > 0 AND (frame % 2 = 0 OR frame % 3 = 0))",
+    "quick": "(frame % 3 = 0)",
+    "failures": _ITEMS,
+}
+
+
+def _filled(text: str, demosaic: str) -> str:
+    import re
+
+    values = _PLAIN_VALUES | {"demosaic": demosaic}
+    parts = re.split(r"<(\w+)>", text)
+    return " || ".join("'" + p + "'" if i % 2 == 0 else f"CAST({values[p]} AS VARCHAR)" if p in values else f"({_NUM(p)})" for i, p in enumerate(parts) if p)
+
+
+def _profile_sql(demosaic: str = "'ahd'") -> str:
+    item = "'      {' || chr(10) || '        \"patch\": ' || coalesce('\"' || name || '\"', 'null') || ',' || chr(10) || '        \"reason\": \"' || reason || '\",' || chr(10) || '        \"measured\": \"' || measured || '\"' || chr(10) || '      }'"
     flat = REPORT.replace("SELECT CAST(frame AS INT) AS frame,", "SELECT frame,")
     conditioned, report = flat.split("\nSELECT ", 1)
+    names = ", ".join(f"({i}, '{A.patch_name(p)}')" for i, p in enumerate(PATCHES))
     return (
         S.with_(*VALID, conditioned, f"report AS (SELECT {report})")
         .rstrip()
         + ",\n"
         + GATES
         + f""",
-lists AS (SELECT frame, count(*) AS n, string_agg({item}, ',' || chr(10) ORDER BY ord) AS items FROM failures GROUP BY 1),
+patch_names(patch_idx, name) AS (VALUES {names}),
+lists AS (SELECT frame, count(*) AS n, string_agg({item}, ',' || chr(10) ORDER BY ord) AS items FROM failures LEFT JOIN patch_names USING (patch_idx) GROUP BY 1),
 parts AS (SELECT s.*, r.* EXCLUDE (frame), coalesce(n, 0) AS n_failures, items FROM stages s JOIN report r ON r.frame = s.frame LEFT JOIN lists l ON l.frame = s.frame),
-bare AS (SELECT *, {sql(parts).replace('(digest_text)', "('' || chr(34) || chr(34))")} AS text FROM parts),
+bare AS (SELECT *, {_filled(_PROFILE_TEXT, demosaic)} AS text FROM parts),
 sealed AS (SELECT frame, n_failures, sha256(text) AS digest, replace(text, '"digest": ""', '"digest": "' || sha256(text) || '"') AS json FROM bare)"""
     )
 
 
-def profiles(spark, sf_dir):
-    """A profile a frame from its stages, report and gate failures; every second is forced, every third from a rendered image."""
+def profiles(spark, sf_dir, demosaic=None):
+    """A profile a frame from its stages, report and gate failures; every second is forced, every third from a rendered image. The contract is the
+    pinned one but for ``demosaic``."""
     s, ref = samples(spark, sf_dir), chart_reference(spark)
     stages = written(calibration.fit(s, ref), "stages")
     report = calibration.report(calibration.validate(s, ref, stages))
-    item = F.struct("ord", F.col("patch_idx").cast("string").alias("patch"), "reason", "measured")
+    names = F.array(*(F.lit(A.patch_name(p)) for p in PATCHES))
+    item = F.struct("ord", F.get(names, F.col("patch_idx")).alias("patch"), "reason", "measured")
     failures = calibration.gate_failures(s).groupBy("frame").agg(F.array_sort(F.collect_list(item)).alias("failures"))
     rows = stages.join(report, "frame").join(failures, "frame", "left")
     rows = rows.withColumn("failures", F.coalesce("failures", F.array().cast("array<struct<ord:int,patch:string,reason:string,measured:string>>")))
-    forced, quick, n = F.col("frame") % 2 == 0, F.col("frame") % 3 == 0, F.size("failures")
-    fixed = {"schema_version": R.SCHEMA_VERSION, "make": "Cam", "decoder": "decoder", "decoder_version": "1", "revision": "from"}
-    rows = rows.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("model", F.concat(F.lit("F"), F.col("frame").cast("string")))
+    forced, quick, n, frame = F.col("frame") % 2 == 0, F.col("frame") % 3 == 0, F.size("failures"), F.col("frame").cast("string")
+    fixed = {"schema_version": R.SCHEMA_VERSION, "make": "Cam", "decoder": "decoder", "decoder_version": "1", "revision": "classic-from-november2014"}
+    fixed |= {c: v for c, v, _ in A.PINNED}
+    rows = rows.withColumns({k: F.lit(v) for k, v in fixed.items()})
+    rows = rows.withColumns({"model": F.concat(F.lit("F"), frame), "dataset_digest": F.sha2(F.lit("chart"), 256), "reference_digest": F.sha2(F.concat(F.lit("reference "), frame), 256)})
+    if demosaic is not None:
+        rows = rows.withColumn("demosaic", demosaic)
     rows = rows.withColumns(A.provenance(n, forced, quick)).withColumns({"written": A.may_write(n, forced), "n_failures": n})
-    return R.profile_json(rows)
+    return R.profile_json(rows, PLACES)
 
 
 @query(_profile_sql() + "SELECT CAST(frame AS INT) AS frame, n_failures = 0 AS passed, n_failures > 0 AND (frame % 2 = 0 OR frame % 3 = 0) AS overridden, frame % 3 = 0 AS quick_and_dirty, n_failures = 0 OR frame % 2 = 0 AS written, digest, json FROM sealed")
@@ -230,19 +331,18 @@ def k07_profile_json(spark, sf_dir):
     return profiles(spark, sf_dir).select("frame", "passed", "overridden", "quick_and_dirty", "written", "digest", "json")
 
 
-@query(_profile_sql() + """SELECT CAST(frame AS INT) AS frame, CASE frame % 5 WHEN 1 THEN 'unsupported schema version 2.0.0' WHEN 2 THEN 'digest mismatch' WHEN 3 THEN 'demosaic' WHEN 4 THEN 'invalid profile JSON' END AS error FROM sealed""")
+@query(_profile_sql(_PLAIN_VALUES["demosaic"]) + """SELECT CAST(frame AS INT) AS frame, CASE frame % 5 WHEN 1 THEN 'unsupported schema version 2.0, expected 1.0' WHEN 2 THEN 'profile digest mismatch' WHEN 3 THEN 'invalid decode contract: demosaic' WHEN 4 THEN 'invalid profile JSON' END AS error FROM sealed""")
 def s20_profile_verify(spark, sf_dir):
-    """Sealed profiles read back: untouched, of another schema, changed after sealing, with another contract, and cut off."""
+    """Sealed profiles read back: untouched, of another schema, changed after sealing, sealed with another contract inside, and cut off."""
     k = F.col("frame") % 5
     json = (
-        F.when(k == 1, F.replace("json", F.lit('"1.0.0"'), F.lit('"2.0.0"')))
+        F.when(k == 1, F.replace("json", F.lit('"schema-version": "1.0"'), F.lit('"schema-version": "2.0"')))
         .when(k == 2, F.replace("json", F.lit('"make": "Cam"'), F.lit('"make": "Kam"')))
         .when(k == 4, F.substring("json", 1, 200))
         .otherwise(F.col("json"))
     )
-    settings = {c: F.when((k == 3) & (c == "demosaic"), "vng").otherwise(v) for c, v, _ in A.PINNED}
-    sealed = profiles(spark, sf_dir).select("frame", "json").withColumns(settings).withColumn("json", json)
-    return R.verified(sealed, A.contract_error()).select("frame", "error")
+    sealed = profiles(spark, sf_dir, F.when(k == 3, "vng").otherwise("ahd")).select("frame", json.alias("json"))
+    return R.verified(sealed).select("frame", "error")
 
 
 # --- interchange texts
@@ -250,23 +350,28 @@ def s20_profile_verify(spark, sf_dir):
 _PLAIN = lambda v: f"regexp_replace(regexp_replace(printf('%.6f', round({v}, 6) + 0e0), '0+$', ''), '[.]$', '')"
 
 
-def _clf_sql() -> str:
+def _clf_sql(source: str, named: str) -> str:
     row = lambda vs: "'            ' || " + " || ' ' || ".join(vs) + " || chr(10)"
     scale = [f"1/(exposure*{c})" for c in ("c_r", "c_g", "c_b")]
     one = " || ".join(row([_PLAIN(scale[i]) if i == j else "'0'" for j in range(3)]) for i in range(3))
     two = " || ".join(row([_PLAIN(f"m{i}{j}") for j in range(3)]) for i in range(3))
     block = lambda title, rows: f"'    <Matrix inBitDepth=\"32f\" outBitDepth=\"32f\">' || chr(10) || '        <Description>{title}</Description>' || chr(10) || '        <Array dim=\"3 3\">' || chr(10) || {rows} || '        </Array>' || chr(10) || '    </Matrix>' || chr(10)"
-    head = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<ProcessList compCLFversion=\"3.0\">' || chr(10) || '    <OutputDescriptor>linear sRGB D65</OutputDescriptor>' || chr(10)"
-    return f"clf AS (SELECT *, {head} || {block('channel and exposure scaling', one)} || {block('color matrix', two)} || '</ProcessList>' || chr(10) AS clf FROM stages)"
+    head = f"'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<ProcessList compCLFversion=\"3.0\"'{named} || '    <OutputDescriptor>linear sRGB D65</OutputDescriptor>' || chr(10)"
+    return f"clf AS (SELECT *, {head} || {block('channel and exposure scaling', one)} || {block('color matrix', two)} || '</ProcessList>' || chr(10) AS clf FROM {source})"
 
 
 def fitted(spark, sf_dir):
     return calibration.fit(samples(spark, sf_dir), chart_reference(spark))
 
 
-@query(S.with_(*FIT, _clf_sql()) + "SELECT CAST(frame AS INT) AS frame, clf FROM clf")
+_NAMED_CLF = f""" || ' id="profile-' || left(digest, 12) || '">' || chr(10) || '    <Description>profile ' || digest || '</Description>' || chr(10) ||
+  '    <InputDescriptor>normalized linear camera RGB, decode contract digest ' || left(sha256('{_CONTRACT_TEXT}'), 16) || ', camera Cam F' || frame || '</InputDescriptor>' || chr(10)"""
+
+
+@query(_profile_sql() + ",\n" + _clf_sql("(SELECT s.*, digest FROM stages s JOIN sealed USING (frame))", _NAMED_CLF) + "SELECT CAST(frame AS INT) AS frame, clf FROM clf")
 def k08_clf_text(spark, sf_dir):
-    return R.clf_text(fitted(spark, sf_dir)).select("frame", "clf")
+    """Each frame's sealed profile as a process list that names it."""
+    return R.clf_text(profiles(spark, sf_dir), PLACES).select("frame", "clf")
 
 
 _VALUES = " || ' ' || ".join([_PLAIN(f"1/(exposure*c_{c})") if i == j else "'0'" for i, c in enumerate("rgb") for j in range(3)] + [_PLAIN(f"m{i}{j}") for i in range(3) for j in range(3)])
@@ -277,7 +382,7 @@ _VALUES = " || ' ' || ".join([_PLAIN(f"1/(exposure*c_{c})") if i == j else "'0'"
 def s23_clf_parse(spark, sf_dir):
     """CLF texts read back: as written, with an open array, a word that is no number, an array of eight, and a third array."""
     k = F.col("frame") % 5
-    texts = R.clf_text(fitted(spark, sf_dir)).select("frame", "clf")
+    texts = R.clf_text(fitted(spark, sf_dir), PLACES).select("frame", "clf")
     last = F.regexp_replace("clf", r"(?s)</Array>(?!.*</Array>)", "")
     odd = (
         F.when(k == 1, last)
@@ -287,7 +392,7 @@ def s23_clf_parse(spark, sf_dir):
         .otherwise(F.col("clf"))
     )
     parsed = R.parsed_clf(texts.withColumn("clf", odd))
-    return parsed.select("frame", "error", F.array_join(F.transform("values", lambda v: R.text_number(v)), " ").alias("numbers"))
+    return parsed.select("frame", "error", F.array_join(F.transform("values", lambda v: R.text_number(v, PLACES)), " ").alias("numbers"))
 
 
 @query(S.with_(*FIT, _CUBE) + """SELECT CAST(frame AS INT) AS frame, 'LUT_3D_SIZE 9' || chr(10) || 'DOMAIN_MIN 0 0 0' || chr(10) || 'DOMAIN_MAX 1 1 1' || chr(10) ||
