@@ -135,3 +135,23 @@ def test_clf_and_thumbnails(spark):
     px = spark.range(1200).selectExpr("cast(id % 40 as int) as x", "cast(id div 40 as int) as y")
     got = interchange.thumbnail_pixels(px, 40, 30, most=10).collect()
     assert {(r.tx, r.ty, r.x, r.y) for r in got} == {(tx, ty, int((tx + 0.5) * 4), int((ty + 0.5) * 30 / 8)) for tx in range(10) for ty in range(8)}
+
+
+def test_metadata_reports(spark):
+    rows = [("a", 1, "primary", 271, "Make", 10, "ascii", "x\0"), ("a", 2, "gps", 1, "GPSLatitudeRef", 2, "ascii", "N\0"), ("a", 3, "primary", 274, "Orientation", 2, "integer", None)]
+    rows += [("a", 4, "primary", 5, "Odd", 2, "integer", None), ("a", 5, "primary", 272, "Model", 70_000, "ascii", "x\0"), ("a", 6, "primary", 315, "Artist", 10, "ascii", "no end"), ("a", 7, "primary", 271, "Make", 10, "ascii", "y\0"), ("a", 8, "gps", 99, "Odd", 2, "integer", None)]
+    entries = spark.createDataFrame(rows, "file string, ord int, directory string, tag int, name string, size int, kind string, text string").withColumns({"n_values": F.lit(1), "zero_denominator": F.lit(False)})
+    rules = acceptance.tag_rules(spark)
+    shown = lambda strip: [(r.shown, r.copied) for r in acceptance.metadata_report(entries, rules, strip).orderBy("ord").collect()]
+    rest = [("Orientation", False), ("Model (too large for JPEG EXIF)", False), ("Artist (unsupported value)", False), ("Make (duplicate)", False)]
+    assert shown(False) == [("Make", True), ("GPSLatitudeRef", True), *rest, ("Odd", False)]
+    assert shown(True) == [("Make", True), ("GPSLatitudeRef (GPS stripped)", False), *rest, ("Odd (GPS stripped)", False)]
+    assert acceptance.metadata_report(entries.filter("false"), rules).count() == 0
+
+
+def test_altitudes(spark):
+    from tintframe.functions import capture
+
+    cases = [((10, 4, 0), 2.5), ((10, 4, 1), -2.5), ((10, 4, None), 2.5), ((10, 0, 0), None), ((None, 1, 0), None)]
+    df = spark.createDataFrame([c for c, _ in cases], "n int, d int, below int")
+    assert [r.v for r in df.select(capture.altitude(F.col("n"), F.col("d"), F.col("below")).alias("v")).collect()] == [v for _, v in cases]

@@ -30,3 +30,9 @@ def degrees(d: Column, m: Column, s: Column, side: Column, negative: str, limit:
     size = d + m / 60.0 + s / 3600.0
     value = F.when(F.upper(F.substring(side, 1, 1)) == negative, -size).otherwise(size)
     return F.when(side.isNotNull() & (side != "") & (F.abs(value) <= limit), value)
+
+
+def altitude(numerator: Column, denominator: Column, below: Column) -> Column:
+    """Metres above the sea, negative where ``below`` is 1 (any other value, or none, is above); null without a denominator."""
+    metres = numerator / F.nullif(denominator, F.lit(0))
+    return F.when(F.coalesce(below, F.lit(0)) == 1, -metres).otherwise(metres)

@@ -243,3 +243,46 @@ def chart_errors(datasets: DataFrame, patches: DataFrame, expected: DataFrame) -
     facts = [(~F.col(c).eqNullSafe(F.lit(v)), F.concat(F.lit(f"{c} must be {v}, found "), F.coalesce(c, F.lit("none")))) for c, v in CHART_FACTS]
     error = F.coalesce(first_of(*facts, (count != 24, F.concat(F.lit("24 patches expected, found "), count.cast("string")))), F.col("first.wrong"))
     return datasets.join(checked, "dataset", "left").select("dataset", error.alias("error"))
+
+
+# Tags outside the allowed ones whose exclusion is reported, as are all of GPS.
+REVIEWED = (274, 37500, 40961, 41987, 513, 514)
+LARGEST = 65_500
+
+
+def metadata_report(entries: DataFrame, rules: DataFrame, strip_gps: bool = False, budget: int = EXIF_BUDGET) -> DataFrame:
+    """``entries`` (file, ord, directory, tag, name, size, and what ``checked_tags`` takes) that are copied or whose exclusion is reported, with copied and
+    reason; others are left out. In the order of ord: GPS that is to be stripped, tags that are not allowed, values too large at once, values that
+    are not as they should be, those beyond what is left of the budget, and repeats of a tag."""
+    gps = F.col("directory") == "gps"
+    rows = checked_tags(entries, rules)
+    early = F.when(gps & F.lit(strip_gps), "GPS stripped").when(F.col("status") == "not allowed", F.when(gps | F.col("tag").isin(*REVIEWED), "").otherwise("left out"))
+    rows = rows.withColumn("early", early).filter("early is null or early <> 'left out'")
+    item = F.struct("ord", "directory", "tag", "name", "size", "early", (F.col("status") == "bad value").alias("bad"))
+    cost = lambda e: F.greatest(e["size"], F.lit(LEAST_SIZE)).cast("long") + ENTRY_COST
+    key = lambda e: F.concat_ws(":", e["directory"], e["tag"].cast("string"))
+
+    def step(acc, e):
+        large = (e["size"] > acc["left"]) | (e["size"] > LARGEST)
+        reason = (
+            F.when(e["early"].isNotNull(), e["early"])
+            .when(large, "too large for JPEG EXIF")
+            .when(e["bad"], "unsupported value")
+            .when(cost(e) > acc["left"], "too large for JPEG EXIF")
+            .when(F.array_contains(acc["seen"], key(e)), "duplicate")
+        )
+        copied = reason.isNull()
+        return F.struct(
+            F.when(copied, acc["left"] - cost(e)).otherwise(acc["left"]).alias("left"),
+            F.when(copied, F.array_append(acc["seen"], key(e))).otherwise(acc["seen"]).alias("seen"),
+            F.array_append(acc["out"], F.coalesce(reason, F.lit("copied"))).alias("out"),
+        )
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(budget).cast("long").alias("left"), none.alias("seen"), none.alias("out"))
+    folded = rows.groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    folded = folded.withColumn("reason", F.aggregate("rows", start, step, lambda acc: acc["out"]))
+    pairs = folded.select("file", F.explode(F.arrays_zip("rows", "reason")).alias("e"))
+    reason = F.col("e.reason")
+    shown = F.when((reason == "copied") | (reason == ""), F.col("e.rows.name")).otherwise(F.concat("e.rows.name", F.lit(" ("), reason, F.lit(")")))
+    return pairs.select("file", F.col("e.rows.ord").alias("ord"), (reason == "copied").alias("copied"), shown.alias("shown"))

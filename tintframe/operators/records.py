@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .acceptance import contract_error
+from ..sources.shared import written
+from .acceptance import contract_error, dcp_refusal
+from .calibration import STAGES, report, validate
+from .interchange import dcp_matrices, lut_arrays
 
 SCHEMA_VERSION = "1.0"
 DIGEST = r'"digest": "[0-9a-f]*"\n\}$'
@@ -156,6 +159,67 @@ def verified(sealed: DataFrame, major: str = "1") -> DataFrame:
     return sealed.withColumns(inside).withColumn("error", error).drop(*inside)
 
 
+SUMMARY = ("mean_delta_e", "max_delta_e", "p95_delta_e", "neutral_max_delta_e", "skin_max_delta_e", "condition_number")
+
+
+def read_profiles(sealed: DataFrame) -> DataFrame:
+    """``sealed`` (json) with error (``verified``), the fitted stages, dataset_digest, the camera's make and model, the contract's settings and the summary
+    of the fit (baseline_*), as its JSON has them; nulls where there is an error."""
+    rows, known = verified(sealed), F.col("error").isNull()
+    at = lambda k: F.when(known, F.get_json_object("json", f"$.{k}"))
+    number = lambda k: at(k).cast("double")
+    fields = {"exposure": number("transform.exposure-scale")} | {f"c_{c}": number(f"transform.channel-scale[{i}]") for i, c in enumerate("rgb")}
+    fields |= {f"m{i}{j}": number(f"transform.matrix[{i}][{j}]") for i in range(3) for j in range(3)}
+    fields |= {f"baseline_{k}": number("validation." + k.replace("_", "-")) for k in SUMMARY}
+    fields |= {"dataset_digest": at("dataset-digest"), "digest": at("digest"), "make": at("camera.make"), "model": at("camera.model")}
+    fields |= {"decoder": at("decode-contract.decoder"), "decoder_version": at("decode-contract.decoder-version"), "quick_and_dirty": at("quality.quick-and-dirty").cast("boolean")}
+    return rows.withColumns(fields | {k: F.when(known, v) for k, v in contract_of("json").items()})
+
+
+def chart_checks(samples: DataFrame, reference: DataFrame, sealed: DataFrame, dataset_digest: str, failures: DataFrame) -> DataFrame:
+    """One row per frame of ``sealed`` (frame, json): how the profile's own stages do on that frame's chart, beside the summary stored at its fit. Nothing is fitted
+    anew. ``failures`` are the frame's failed gates, which do not block. error: why the profile can't be used, or another chart dataset than the
+    one at hand."""
+    read = read_profiles(sealed)
+    other = F.when(F.col("dataset_digest") != dataset_digest, "profile chart dataset digest does not match the pinned dataset")
+    read = written(read.withColumn("error", F.coalesce("error", other)), "profiles")
+    scored = report(validate(samples, reference, read.filter("error is null").select("frame", *STAGES)))
+    gates = failures.groupBy("frame").agg(F.count("*").alias("gate_failures"))
+    facts = read.select("frame", "error", *(F.when(F.col("error").isNull(), F.col(f"baseline_{k}")).alias(f"baseline_{k}") for k in SUMMARY))
+    out = facts.join(scored, "frame", "left").join(gates, "frame", "left")
+    n = F.when(F.col("error").isNull(), F.coalesce("gate_failures", F.lit(0)))
+    return out.withColumns({"gate_failures": n, "quality_passed": n == 0})
+
+
+def exports(requests: DataFrame, places: int | None = None, cube_size: int = 33) -> DataFrame:
+    """``requests`` (json of a profile, format, camera_name) with content (text of a CLF or a cube; null for a camera profile, whose matrices are columns
+    f00..f22 and k00..k22) and error, the first that holds: a profile that is refused, a camera name that is missing or not asked for, an unknown
+    format, and why no camera profile can be made."""
+    rows = read_profiles(requests.withColumn("_id", F.monotonically_increasing_id()))
+    rows = written(rows, "exports")
+    kind, name = F.col("format"), F.col("camera_name")
+    clf = clf_text(rows, places).select("_id", "clf")
+    luts = lut_arrays(rows.filter((kind == "cube") & F.col("error").isNull()).select(F.col("_id").alias("frame"), *STAGES), cube_size)
+    line = lambda i: F.concat_ws(" ", *(text_number(F.get("lut", i * 3 + k), places) for k in range(3)))
+    lines = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cube_size**3 - 1)), line), "\n")
+    cube = luts.select(F.col("frame").alias("_id"), F.concat(F.lit(f"LUT_3D_SIZE {cube_size}\nDOMAIN_MIN 0 0 0\nDOMAIN_MAX 1 1 1\n"), lines, F.lit("\n")).alias("cube"))
+    dcp = dcp_matrices(rows.withColumn("frame", F.col("_id"))).withColumnRenamed("frame", "_id")
+    white = [F.col(f"f{i}0") + F.col(f"f{i}1") + F.col(f"f{i}2") for i in range(3)]
+    rows = rows.join(clf, "_id").join(cube, "_id", "left").join(dcp, "_id")
+    refusal = dcp_refusal(F.col("quick_and_dirty"), name, [F.col(c) for c in ("exposure", "c_r", "c_g", "c_b")], white)
+    error = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("profile validation failed: "), "error"))
+        .when((kind == "dcp") & name.isNull(), "--camera-name is required for dcp; use the camera name Lightroom shows for your RAW files")
+        .when((kind != "dcp") & name.isNotNull(), "--camera-name only applies to --format dcp")
+        .when(~F.coalesce(kind.isin("clf", "cube", "dcp"), F.lit(False)), "unknown format")
+        .when(kind == "dcp", refusal)
+    )
+    fine = error.isNull()
+    content = F.when(fine & (kind == "clf"), F.col("clf")).when(fine & (kind == "cube"), F.col("cube"))
+    matrices = [F.when(fine & (kind == "dcp"), F.col(c)).alias(c) for c in [f"{p}{i}{j}" for p in "fk" for i in range(3) for j in range(3)]]
+    return rows.select(*requests.columns, content.alias("content"), error.alias("error"), *matrices)
+
+
 def contract_digest(letters: int = 16) -> Column:
     """The first ``letters`` of the SHA-256 of the contract's JSON without white space, from columns as in ``profile_json``."""
     text = joined(pretty(contract_layout(F.col, quoted)))

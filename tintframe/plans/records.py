@@ -303,9 +303,9 @@ sealed AS (SELECT frame, n_failures, sha256(text) AS digest, replace(text, '"dig
     )
 
 
-def profiles(spark, sf_dir, demosaic=None):
+def profiles(spark, sf_dir, demosaic=None, dataset=None):
     """A profile a frame from its stages, report and gate failures; every second is forced, every third from a rendered image. The contract is the
-    pinned one but for ``demosaic``."""
+    pinned one but for ``demosaic``, the chart's dataset 'chart' but for ``dataset``."""
     s, ref = samples(spark, sf_dir), chart_reference(spark)
     stages = written(calibration.fit(s, ref), "stages")
     report = calibration.report(calibration.validate(s, ref, stages))
@@ -318,7 +318,7 @@ def profiles(spark, sf_dir, demosaic=None):
     fixed = {"schema_version": R.SCHEMA_VERSION, "make": "Cam", "decoder": "decoder", "decoder_version": "1", "revision": "classic-from-november2014"}
     fixed |= {c: v for c, v, _ in A.PINNED}
     rows = rows.withColumns({k: F.lit(v) for k, v in fixed.items()})
-    rows = rows.withColumns({"model": F.concat(F.lit("F"), frame), "dataset_digest": F.sha2(F.lit("chart"), 256), "reference_digest": F.sha2(F.concat(F.lit("reference "), frame), 256)})
+    rows = rows.withColumns({"model": F.concat(F.lit("F"), frame), "dataset_digest": F.sha2(F.lit("chart") if dataset is None else dataset, 256), "reference_digest": F.sha2(F.concat(F.lit("reference "), frame), 256)})
     if demosaic is not None:
         rows = rows.withColumn("demosaic", demosaic)
     rows = rows.withColumns(A.provenance(n, forced, quick)).withColumns({"written": A.may_write(n, forced), "n_failures": n})
@@ -345,8 +345,6 @@ def s20_profile_verify(spark, sf_dir):
     return R.verified(sealed).select("frame", "error")
 
 
-# --- interchange texts
-
 _PLAIN = lambda v: f"regexp_replace(regexp_replace(printf('%.6f', round({v}, 6) + 0e0), '0+$', ''), '[.]$', '')"
 
 
@@ -360,14 +358,69 @@ def _clf_sql(source: str, named: str) -> str:
     return f"clf AS (SELECT *, {head} || {block('channel and exposure scaling', one)} || {block('color matrix', two)} || '</ProcessList>' || chr(10) AS clf FROM {source})"
 
 
-def fitted(spark, sf_dir):
-    return calibration.fit(samples(spark, sf_dir), chart_reference(spark))
-
-
 _NAMED_CLF = f""" || ' id="profile-' || left(digest, 12) || '">' || chr(10) || '    <Description>profile ' || digest || '</Description>' || chr(10) ||
   '    <InputDescriptor>normalized linear camera RGB, decode contract digest ' || left(sha256('{_CONTRACT_TEXT}'), 16) || ', camera Cam F' || frame || '</InputDescriptor>' || chr(10)"""
 
 
+_SUMMARY = ("mean_delta_e", "max_delta_e", "p95_delta_e", "neutral_max_delta_e", "skin_max_delta_e", "condition_number")
+_STORED = "against AS (SELECT (p.frame + 9) % 10 AS frame, " + ", ".join(f"round({c}, 6) AS {c}" for c in calibration.STAGES) + " FROM stages p)"
+
+
+@query(
+    _profile_sql().replace("<dataset>", "")
+    + ", checked AS (SELECT * FROM ("
+    + S.with_(*FIT, _STORED, S.validation_ctes(stages="against"))
+    + ", "
+    + REPORT
+    + """))
+SELECT CAST((s.frame + 9) % 10 AS INT) AS frame, CASE WHEN s.frame % 5 = 2 THEN 'profile chart dataset digest does not match the pinned dataset' END AS error, """
+    + ", ".join(f"CASE WHEN s.frame % 5 <> 2 THEN round(c.{k}, 3) END AS {k}, CASE WHEN s.frame % 5 <> 2 THEN round(CAST(json_extract_string(json, '$.validation.{k.replace('_', '-')}') AS DOUBLE), 3) END AS baseline_{k}" for k in _SUMMARY)
+    + """, CASE WHEN s.frame % 5 <> 2 THEN coalesce(l.n, 0) END AS gate_failures, CASE WHEN s.frame % 5 <> 2 THEN coalesce(l.n, 0) = 0 END AS quality_passed
+FROM sealed s JOIN checked c ON c.frame = (s.frame + 9) % 10 LEFT JOIN lists l ON l.frame = (s.frame + 9) % 10"""
+)
+def i04_sealed_chart_check(spark, sf_dir):
+    """Every frame's chart against the sealed profile of the frame after it, with the summary stored there; two profiles are of another dataset."""
+    s = samples(spark, sf_dir)
+    dataset = F.when(F.col("frame") % 5 == 2, "old chart").otherwise("chart")
+    sealed = profiles(spark, sf_dir, dataset=dataset).select(((F.col("frame") + 9) % 10).alias("frame"), "json")
+    pinned = T.file_sha256(F.lit("chart"))
+    digest = spark.range(1).select(pinned.alias("d")).first().d
+    out = R.chart_checks(s, chart_reference(spark), sealed, digest, calibration.gate_failures(s))
+    numbers = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for k in R.SUMMARY for c in (k, f"baseline_{k}")]
+    return rounded(out.select("frame", "error", *numbers, "gate_failures", "quality_passed"), 3)
+
+
+_FORMATS = ["clf", "cube", "dcp", "dcp", "clf", "icc"]
+
+
+@query(
+    _profile_sql(_PLAIN_VALUES["demosaic"])
+    + ",\n"
+    + _clf_sql("(SELECT s.* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in calibration.STAGES) + "), digest FROM stages s JOIN sealed USING (frame))", _NAMED_CLF)
+    + """, asked AS (SELECT c.*, k, (['clf', 'cube', 'dcp', 'dcp', 'clf', 'icc'])[k + 1] AS format, CASE WHEN k IN (2, 4) THEN 'Cam 1' END AS camera_name FROM clf c, range(6) t(k))
+SELECT CAST(frame AS INT) AS frame, CAST(k AS INT) AS request, format, CASE WHEN frame % 5 = 3 THEN 'profile validation failed: invalid decode contract: demosaic'
+  WHEN k = 3 THEN '--camera-name is required for dcp; use the camera name Lightroom shows for your RAW files' WHEN k = 4 THEN '--camera-name only applies to --format dcp'
+  WHEN k = 5 THEN 'unknown format' WHEN k = 2 AND frame % 3 = 0 THEN 'quick-and-dirty profiles are measured from rendered images' END AS error,
+  CASE WHEN frame % 5 <> 3 AND k = 0 THEN sha256(clf) END AS clf_sha256, CASE WHEN frame % 5 <> 3 AND k = 1 THEN 64 END AS cube_lines FROM asked"""
+)
+def i08_exports(spark, sf_dir):
+    """Six exports asked of every profile: formats with and without a camera name, and one that is unknown."""
+    k = F.col("frame") % 5
+    sealed = profiles(spark, sf_dir, F.when(k == 3, "vng").otherwise("ahd")).select("frame", "json")
+    asked = sealed.withColumn("request", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    asked = asked.withColumns({"format": F.get(F.array(*map(F.lit, _FORMATS)), F.col("request")), "camera_name": F.when(F.col("request").isin(2, 4), "Cam 1")})
+    out = R.exports(asked, PLACES, 4)
+    clf = F.when(F.col("format") == "clf", F.sha2("content", 256))
+    lines = F.when(F.col("format") == "cube", F.regexp_count("content", F.lit("\n")) - 3)
+    return out.select("frame", "request", "format", "error", clf.alias("clf_sha256"), lines.alias("cube_lines"))
+
+
+# --- interchange texts
+
+def fitted(spark, sf_dir):
+    return calibration.fit(samples(spark, sf_dir), chart_reference(spark))
+
+
 @query(_profile_sql() + ",\n" + _clf_sql("(SELECT s.*, digest FROM stages s JOIN sealed USING (frame))", _NAMED_CLF) + "SELECT CAST(frame AS INT) AS frame, clf FROM clf")
 def k08_clf_text(spark, sf_dir):
     """Each frame's sealed profile as a process list that names it."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import capture
 from ..functions import text as T
 from ..operators import acceptance as A
 from ..operators import batch, calibration, models, reports, transform
@@ -13,6 +14,8 @@ from ..sources.shared import written
 from . import sql as S
 from .calibration import BASE, GATES, QUAD, VALID, gates_sql, rounded, samples, validated
 
+# texts that may be copied, those whose exclusion is reported, and one of neither kind
+META_TAGS = [("primary", 271), ("primary", 272), ("primary", 274), ("primary", 33432), ("exif", 37500), ("gps", 1), ("gps", 99), ("primary", 5), ("primary", 315)]
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -304,3 +307,51 @@ SELECT item, CASE WHEN abs(value*1000000) <= 2147483647 THEN CAST(round(value*10
 def x08_signed_rational(spark, sf_dir):
     value = (F.col("l_quantity") - 25) * F.when(F.col("l_suppkey") % 3 == 0, 100.0).otherwise(0.25)
     return lineitem(spark, sf_dir).select("item", A.signed_rational(value).alias("numerator"))
+
+
+_META = "meta AS (SELECT l_orderkey AS file, l_linenumber AS ord, (" + str([d for d, _ in META_TAGS]) + ")[l_partkey % 9 + 1] AS directory, (" + str([t for _, t in META_TAGS]) + ")[l_partkey % 9 + 1] AS tag, CAST(l_quantity AS INT)*600 + CASE WHEN l_quantity = 50 THEN 36000 ELSE 0 END AS size, l_suppkey % 5 = 0 AS bad FROM lineitem)"
+
+
+@query(
+    "WITH RECURSIVE " + _META + """,
+seen AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord, directory, tag, size, bad) AS i, CASE WHEN directory = 'gps' AND file % 2 = 0 THEN 'GPS stripped' WHEN tag IN (274, 37500) OR (directory = 'gps' AND tag = 99) THEN '' WHEN tag = 5 THEN 'left out' END AS early FROM meta),
+kept AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k FROM seen WHERE early IS NULL OR early <> 'left out'),
+run AS (
+  SELECT file, 0::BIGINT AS k, 60000::BIGINT AS spare, []::VARCHAR[] AS had, NULL::INT AS ord, NULL::VARCHAR AS name, NULL::VARCHAR AS reason FROM (SELECT DISTINCT file FROM kept)
+  UNION ALL
+  SELECT file, k, CASE WHEN reason = 'copied' THEN spare - greatest(size, 4) - 14 ELSE spare END, CASE WHEN reason = 'copied' THEN list_append(had, name) ELSE had END, ord, name, reason FROM (
+    SELECT n.file, n.k, r.spare, r.had, n.ord, n.size, n.directory || ':' || n.tag AS name, CASE WHEN early IS NOT NULL THEN early WHEN size > spare OR size > 65500 THEN 'too large for JPEG EXIF' WHEN bad THEN 'unsupported value'
+      WHEN greatest(size, 4) + 14 > spare THEN 'too large for JPEG EXIF' WHEN list_contains(had, n.directory || ':' || n.tag) THEN 'duplicate' ELSE 'copied' END AS reason FROM run r JOIN kept n ON n.file = r.file AND n.k = r.k + 1))
+SELECT file, CAST(ord AS INT) AS ord, reason = 'copied' AS copied, CASE WHEN reason IN ('copied', '') THEN name ELSE name || ' (' || reason || ')' END AS shown FROM run WHERE k > 0"""
+)
+def s18_metadata_report(spark, sf_dir):
+    """Orders as files with line items as metadata entries: what is copied and what the report says of the rest; GPS is stripped of every second file."""
+    pick = lambda vs: F.element_at(F.array(*map(F.lit, vs)), (F.col("l_partkey") % 9 + 1).cast("int"))
+    size = F.col("l_quantity").cast("int") * 600 + F.when(F.col("l_quantity") == 50, 36000).otherwise(0)
+    entries = lineitem(spark, sf_dir).select(
+        F.col("l_orderkey").alias("file"),
+        F.col("l_linenumber").cast("int").alias("ord"),
+        pick([d for d, _ in META_TAGS]).alias("directory"),
+        pick([t for _, t in META_TAGS]).alias("tag"),
+        size.alias("size"),
+        F.when(F.col("l_suppkey") % 5 == 0, "byte").otherwise("ascii").alias("kind"),
+        F.lit("one\0").alias("text"),
+        F.lit(1).alias("n_values"),
+        F.lit(False).alias("zero_denominator"),
+    )
+    entries = entries.withColumn("name", F.concat_ws(":", "directory", F.col("tag").cast("string")))
+    rules = A.tag_rules(spark)
+    parts = [A.metadata_report(entries.filter(F.col("file") % 2 == k), rules, strip_gps=k == 0) for k in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT i AS event_id, CASE WHEN i % 10 <> 0 AND v <= 180 THEN round(CASE WHEN i % 2 = 0 THEN -v ELSE v END, 6) + 0e0 END AS longitude,
+  CASE WHEN i % 9 <> 0 THEN round(CASE WHEN i % 4 = 1 THEN -1 ELSE 1 END*(i % 9000)/(i % 9)::DOUBLE, 6) + 0e0 END AS altitude FROM (SELECT event_id AS i, event_id % 200 + (event_id % 60)/60e0 AS v FROM events)""")
+def s17_longitude_altitude(spark, sf_dir):
+    """Events as captures with a position: the west is negative, as is what lies below the sea; 0 is no denominator."""
+    i = F.col("event_id")
+    side = F.when(i % 10 == 0, None).when(i % 2 == 0, "w").otherwise("E")
+    degrees = capture.degrees(i % 200, i % 60, F.lit(0), side, "W", 180.0)
+    metres = capture.altitude(i % 9000, i % 9, F.when(i % 4 != 3, i % 4))
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", degrees.alias("longitude"), metres.alias("altitude"))
+    return rows.select("event_id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("longitude", "altitude")))
