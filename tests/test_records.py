@@ -155,3 +155,24 @@ def test_altitudes(spark):
     cases = [((10, 4, 0), 2.5), ((10, 4, 1), -2.5), ((10, 4, None), 2.5), ((10, 0, 0), None), ((None, 1, 0), None)]
     df = spark.createDataFrame([c for c, _ in cases], "n int, d int, below int")
     assert [r.v for r in df.select(capture.altitude(F.col("n"), F.col("d"), F.col("below")).alias("v")).collect()] == [v for _, v in cases]
+
+
+def test_library_saves(spark):
+    fixed = {"schema_version": "1.0", "make": "A", "model": "B", "decoder": "d", "decoder_version": "1", "revision": "r", "dataset_digest": "aa", "reference_digest": "bb"} | {c: v for c, v, _ in acceptance.PINNED}
+    numbers = ["exposure", "c_r", "c_g", "c_b", *(f"m{i}{j}" for i in range(3) for j in range(3)), "mean_delta_e", "max_delta_e", "p95_delta_e", "neutral_max_delta_e", "skin_max_delta_e", "condition_number"]
+    df = spark.range(1).select(*(F.lit(v).alias(k) for k, v in fixed.items()), *(F.lit(1.5).alias(n) for n in numbers), F.lit(24).alias("patch_count"))
+    none = F.array().cast("array<struct<patch:string,reason:string,measured:string>>")
+    sealed = records.profile_json(df.withColumns({**acceptance.provenance(F.lit(0), F.lit(False), F.lit(False)), "failures": none})).first()
+    asked = [(1, " Zoo ", "bb", sealed.json), (2, "Zoo", "BB", sealed.json), (3, " ", "bb", sealed.json), (4, "Zoo", "cc", sealed.json), (5, "Zoo", "bb", "{}"), (6, "zoo", "bb", sealed.json)]
+    rows = spark.createDataFrame(asked, "place long, label string, reference_digest string, json string")
+    capture = {"make": "line\none", "model": None, "lens": None, "captured_at": None}
+    rows = rows.withColumns({k: F.lit(v).cast("string") for k, v in capture.items()} | {"notes": F.lit(""), "tags": F.array(F.lit("x")), "iso": F.lit(100), "latitude": F.lit(1.0), "longitude": F.lit(-2.5), "altitude": F.lit(None).cast("double"), "include_gps": F.col("place") == 1})
+    stem = "zoo-" + sealed.digest[:8]
+    got = {r.place: r for r in records.library_saves(rows, spark.createDataFrame([(stem + "-2",)], "name string")).collect()}
+    assert [got[i].name for i in range(1, 7)] == [stem, stem + "-3", None, None, None, stem + "-4"]
+    errors = [got[i].error for i in range(1, 7)]
+    assert errors[0] is errors[1] is errors[5] is None and errors[2] == "the library entry needs a label" and errors[4] == "invalid profile JSON"
+    assert errors[3] == "the reference does not belong to this profile: its digest is cc, the profile was derived from bb"
+    entry = json.loads(got[1].entry)
+    assert entry["capture"] == {"make": "line\none", "model": None, "lens": None, "iso": 100, "date-time": None, "gps": {"latitude": 1.0, "longitude": -2.5, "altitude": None}}
+    assert entry["profile-digest"] == sealed.digest and entry["label"] == "Zoo" and json.loads(got[2].entry)["capture"]["gps"] is None

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_tags, slug
 from ..sources.shared import written
 from .acceptance import contract_error, dcp_refusal
+from .batch import free_names
 from .calibration import STAGES, report, validate
 from .interchange import dcp_matrices, lut_arrays
 
@@ -44,8 +46,10 @@ def text_number(value: Column, places: int | None = None) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """A text as a JSON string: quotes, backslashes and the usual control characters are escaped."""
+    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
 def pretty(value, indent: int = 0) -> list:
@@ -347,3 +351,37 @@ def batch_summary_json(counts: DataFrame, settings: dict[str, str | int | None])
     fixed = [F.lit(v).alias(k) for k, v in settings.items()]
     columns = [F.col(c) for c in ("succeeded", "skipped", "failed", "total")]
     return counts.select(F.to_json(F.struct(*fixed, *columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+ENTRY_VERSION, ID_LETTERS = "1.0", 8
+
+
+def library_saves(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """``requests`` (place, label, notes, tags, json of a profile, reference_digest, and the capture's make, model, lens, iso, captured_at, latitude, longitude,
+    altitude, include_gps) with name, entry (the JSON to be stored) and error, as if saved one after another by place into a library with the folders
+    ``existing`` (name). The name is the label's slug and the first letters of the profile's digest, numbered where it is taken; only a
+    request without an error takes one. A label of blanks, a profile that is refused and a reference that is not the profile's are errors."""
+    facts = requests.select("place", "json", F.trim("label").alias("_label"), F.lower("reference_digest").alias("_reference"))
+    facts = verified(facts).withColumns({"_digest": F.get_json_object("json", "$.digest"), "_of": F.lower(F.get_json_object("json", "$.reference-digest"))})
+    wrong = F.concat(F.lit("the reference does not belong to this profile: its digest is "), "_reference", F.lit(", the profile was derived from "), "_of")
+    error = F.when(F.coalesce("_label", F.lit("")) == "", "the library entry needs a label").when(F.col("error").isNotNull(), F.col("error")).when(~F.col("_reference").eqNullSafe(F.col("_of")), wrong)
+    stem = F.concat(slug(F.col("_label")), F.lit("-"), F.left(F.col("_digest"), F.lit(ID_LETTERS)))
+    facts = written(facts.select("place", "_label", "_digest", error.alias("error"), F.when(error.isNull(), stem).alias("stem")), "saves")
+    named = free_names(facts.filter("error is null").select("place", "stem"), existing).select("place", "name")
+    rows = requests.join(facts, "place").join(named, "place", "left")
+    number = lambda c: F.coalesce(json_number(F.col(c)), F.lit("null"))
+    text = lambda c: F.coalesce(quoted(F.col(c)), F.lit("null"))
+    tags = clean_tags(F.col("tags"))
+    listed = F.when(F.size(tags) == 0, "[]").otherwise(F.concat(F.lit("[\n    "), F.array_join(F.transform(tags, quoted), ",\n    "), F.lit("\n  ]")))
+    place = F.concat(F.lit('{\n      "latitude": '), number("latitude"), F.lit(',\n      "longitude": '), number("longitude"), F.lit(',\n      "altitude": '), number("altitude"), F.lit("\n    }"))
+    gps = F.when(F.col("include_gps") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), place).otherwise("null")
+    entry = {
+        "schema-version": F.lit(f'"{ENTRY_VERSION}"'),
+        "label": quoted(F.col("_label")),
+        "notes": text("notes"),
+        "tags": listed,
+        "profile-digest": quoted(F.col("_digest")),
+        "capture": {"make": text("make"), "model": text("model"), "lens": text("lens"), "iso": F.coalesce(F.col("iso").cast("string"), F.lit("null")), "date-time": text("captured_at"), "gps": gps},
+    }
+    error = F.when(F.col("error").isNull() & F.col("name").isNull(), "no free name for this library entry").otherwise(F.col("error"))
+    return rows.select(*requests.columns, "name", F.when(error.isNull(), joined(pretty(entry))).alias("entry"), error.alias("error"))

@@ -626,3 +626,60 @@ def d01_thumbnail(spark, sf_dir):
     li = adapters.table(spark, sf_dir, "lineitem")
     px = li.select(((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 1920).cast("int").alias("x"), ((F.col("l_partkey") * 11 + F.col("l_suppkey")) % 1280).cast("int").alias("y")).distinct()
     return interchange.thumbnail_pixels(px, 1920, 1280).select("tx", "ty", "x", "y")
+
+
+_OPT = lambda v: f"coalesce('\"' || {v} || '\"', 'null')"
+_ENTRY = (
+    """'{' || chr(10) || '  "schema-version": "1.0",' || chr(10) || '  "label": "Portrait ' || k || '",' || chr(10) || '  "notes": "note \\"' || c || '\\"",' || chr(10)
+  || CASE WHEN c % 3 = 0 THEN '  "tags": [],' ELSE '  "tags": [' || chr(10) || '    "t' || c % 5 || '",' || chr(10) || '    "T' || c % 5 || '"' || chr(10) || '  ],' END || chr(10)
+  || '  "profile-digest": "' || digest || '",' || chr(10) || '  "capture": {' || chr(10) || '    "make": "Cam",' || chr(10) || '    "model": ' || """
+    + _OPT("CASE WHEN c % 7 <> 0 THEN 'M' || c % 7 END")
+    + """ || ',' || chr(10) || '    "lens": null,' || chr(10) || '    "iso": ' || coalesce(CAST(CASE WHEN c % 6 <> 0 THEN c % 6*100 END AS VARCHAR), 'null') || ',' || chr(10) || '    "date-time": "2024-01-01 00:00:00",' || chr(10) || '    "gps": '
+  || CASE WHEN c % 2 = 0 THEN '{' || chr(10) || '      "latitude": ' || c % 50 || '.25,' || chr(10) || '      "longitude": -' || c % 50 + 1 || '.5,' || chr(10) || '      "altitude": ' || CASE WHEN c % 4 = 0 THEN 'null' ELSE '12.0' END || chr(10) || '    }' ELSE 'null' END
+  || chr(10) || '  }' || chr(10) || '}'"""
+)
+
+
+@query(
+    _profile_sql().replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""",
+have AS (SELECT 'portrait-' || n_nationkey || '-' || left(digest, 8) || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '-2' END AS name FROM nation, sealed WHERE n_nationkey % 3 <> 0),
+asked AS (SELECT c_custkey AS c, c_custkey % 40 AS k, digest, sha256('reference ' || frame) AS reference, c_custkey % 17 = 0 AS blank, c_custkey % 13 = 0 AS foreign_one FROM customer JOIN sealed ON frame = c_custkey % 10),
+want AS (SELECT *, 'portrait-' || k || '-' || left(digest, 8) AS stem, row_number() OVER (ORDER BY c) AS i FROM asked WHERE NOT blank AND NOT foreign_one),
+serving AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT list(name) FROM have) AS taken, CAST(NULL AS BIGINT) AS who, CAST(NULL AS VARCHAR) AS name
+  UNION ALL
+  SELECT i, list_append(taken, name), c, name FROM (
+    SELECT w.i, s.taken, w.c, list_filter(list_prepend(w.stem, list_transform(range(2, len(list_filter(s.taken, lambda x: starts_with(x, w.stem))) + 3), lambda k: w.stem || '-' || k)), lambda x: NOT list_contains(s.taken, x))[1] AS name
+    FROM serving s JOIN want w ON w.i = s.i + 1))
+SELECT a.c AS customer, name, CASE WHEN NOT blank AND NOT foreign_one THEN {_ENTRY} END AS entry,
+  CASE WHEN blank THEN 'the library entry needs a label' WHEN foreign_one THEN 'the reference does not belong to this profile: its digest is ' || sha256('other') || ', the profile was derived from ' || reference END AS error
+FROM asked a LEFT JOIN (SELECT who, name FROM serving WHERE i > 0) s ON who = a.c"""
+)
+def k16_library_save(spark, sf_dir):
+    """Customers as entries saved one after another, each with the profile of its frame, into a library that has some of the names."""
+    c = F.col("customer")
+    sealed = written(profiles(spark, sf_dir).select("frame", "digest", "json"), "sealed")
+    asked = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), (F.col("c_custkey") % 10).cast("int").alias("frame"))
+    asked = asked.join(F.broadcast(sealed.drop("digest")), "frame")
+    tag = F.concat(F.lit("t"), (c % 5).cast("string"))
+    facts = {
+        "place": c,
+        "label": F.when(c % 17 == 0, "  ").otherwise(F.format_string(" Portrait %d", c % 40)),
+        "notes": F.format_string('note "%d"', c),
+        "tags": F.when(c % 3 == 0, F.array(F.lit(" "))).otherwise(F.array(tag, F.concat(F.lit(" "), tag), F.upper(tag))),
+        "reference_digest": F.when(c % 13 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.upper(F.sha2(F.concat(F.lit("reference "), F.col("frame").cast("string")), 256))),
+        "make": F.lit("Cam"),
+        "model": F.when(c % 7 != 0, F.concat(F.lit("M"), (c % 7).cast("string"))),
+        "lens": F.lit(None).cast("string"),
+        "iso": F.when(c % 6 != 0, (c % 6 * 100).cast("int")),
+        "captured_at": F.lit("2024-01-01 00:00:00"),
+        "latitude": c % 50 + F.lit(0.25),
+        "longitude": -(c % 50 + F.lit(1.5)),
+        "altitude": F.when(c % 4 != 0, 12.0),
+        "include_gps": c % 2 == 0,
+    }
+    n = F.col("n_nationkey")
+    ids = adapters.table(spark, sf_dir, "nation").filter(n % 3 != 0).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(F.broadcast(sealed.select("frame", F.left("digest", F.lit(8)).alias("id"))), "frame")
+    have = ids.select(F.concat(F.format_string("portrait-%d-", n), "id", F.when(n % 2 == 0, "").otherwise("-2")).alias("name"))
+    return R.library_saves(asked.withColumns(facts), have).select("customer", "name", "entry", "error")
