@@ -158,6 +158,7 @@ def test_text_functions(spark):
     assert one(text.slug(F.lit("  Über Käse -- 42! "))) == "ber-k-se-42" and one(text.slug(F.lit("!!"))) == "entry"
     assert len(one(text.slug(F.lit("ab " * 40)))) <= 40
     assert one(text.clean_tags(F.array(*map(F.lit, (" a", "b", "", "a", "A"))))) == ["a", "b", "A"]
+    assert one(text.tags_without_case(F.array(*map(F.lit, (" a", "b", "", "A", "B ", "c"))))) == ["a", "b", "c"]
     assert one(text.escape_html(F.lit("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
     assert one(text.parse_quad(F.lit("1,2,3,4,5,6,7, 8.5"))) == [1, 2, 3, 4, 5, 6, 7, 8.5]
     assert one(text.parse_quad(F.lit("1,2,3"))) is None and one(text.parse_quad(F.lit("1,2,3,4,5,6,7,x"))) is None

@@ -20,6 +20,13 @@ def clean_tags(tags: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))
 
 
+def tags_without_case(tags: Column) -> Column:
+    """Trimmed, without empty ones; of those that differ in case alone the first, in order."""
+    clean = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
+    known = lambda done, t: F.exists(done, lambda d: F.lower(d) == F.lower(t))
+    return F.aggregate(clean, F.array().cast("array<string>"), lambda done, t: F.when(known(done, t), done).otherwise(F.array_append(done, t)))
+
+
 def escape_html(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))

@@ -65,3 +65,30 @@ def svg_overlays(quads: DataFrame) -> DataFrame:
     areas = patch_polygons(quads).groupBy("frame").agg(_ordered(polygon("p", "patch"), F.col("patch_idx")).alias("areas"))
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d">', "width", "height")
     return outline.join(areas, "frame").select("frame", F.concat(head, F.col("outline"), F.col("areas"), F.lit("</svg>")).alias("svg"))
+
+
+def chart_pages(patches: DataFrame, failures: DataFrame, facts: DataFrame) -> DataFrame:
+    """frame, html: a profile's report with all patches in chart order.
+
+    ``patches``: frame, patch_idx, patch, out_*, t_* (linear) and delta_e; ``failures``: frame, ord, reason, measured; ``facts``, one row a frame: digest, make,
+    model, decoder, decoder_version, forced, width, height, x0 to y3, and the fit's mean, median, 95th percentile, largest difference and condition number.
+    Names and reasons are escaped, colours clamped.
+    """
+    byte = lambda c: F.least(F.greatest(F.floor(F.col(c) * 255.0 + 0.5), F.lit(0)), F.lit(255))
+    swatch = lambda p: F.format_string('<td style="background:rgb(%d,%d,%d)"></td>', *(byte(f"{p}_{c}") for c in "rgb"))
+    row = F.concat(F.lit("<tr><td>"), escape_html(F.col("patch")), F.lit("</td>"), swatch("out"), swatch("t"), F.format_string("<td>%.3f</td></tr>", "delta_e"))
+    rows = patches.groupBy("frame").agg(_ordered(row, F.col("patch_idx")).alias("rows"))
+    item = F.concat(F.lit("<li>"), escape_html(F.col("reason")), F.lit(": "), escape_html(F.col("measured")), F.lit("</li>"))
+    listed = failures.groupBy("frame").agg(_ordered(item, F.col("ord")).alias("items"))
+    status = F.when(F.col("items").isNull(), "<p>Reference quality: pass</p>").otherwise(
+        F.concat(F.when(F.col("forced"), "<p>Reference quality: overridden</p>").otherwise("<p>Reference quality: failed</p>"), F.lit("<ul>"), F.col("items"), F.lit("</ul>"))
+    )
+    camera = escape_html(F.concat(F.concat_ws(" ", "make", "model"), F.lit(" (decoder: "), F.concat_ws(" ", "decoder", "decoder_version"), F.lit(")")))
+    metrics = F.format_string(
+        "<p>mean %.3f, median %.3f, 95th percentile %.3f, max %.3f, condition number %.2f</p>", "mean_delta_e", "median_delta_e", "p95_delta_e", "max_delta_e", "condition_number"
+    )
+    quad = F.concat_ws(" ", *(F.format_string("%.1f,%.1f", F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)))
+    overlay = F.concat(F.format_string('<svg viewBox="0 0 %d %d"><polygon points="', "width", "height"), quad, F.lit('"/></svg>'))
+    head = F.concat(F.lit('<!doctype html><meta charset="utf-8"><h1>Calibration</h1><p>profile '), F.col("digest"), F.lit("</p><p>camera "), camera, F.lit("</p>"))
+    table = F.concat(F.lit("<table><tr><th>patch</th><th>corrected</th><th>target</th><th>difference</th></tr>"), F.col("rows"), F.lit("</table>"))
+    return facts.join(rows, "frame").join(listed, "frame", "left").select("frame", F.concat(head, status, metrics, overlay, table).alias("html"))

@@ -153,6 +153,15 @@ bits AS (SELECT *, CASE WHEN raw >= 14700 THEN CASE WHEN y % 2 = 0 AND x % 2 = 0
 down AS (SELECT *, bit_or(b) OVER (PARTITION BY frame, x ORDER BY y RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS d FROM bits)"""
 
 
+@query(r"""WITH w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[\s.]+'), lambda t: trim(t)), lambda t: t <> '') AS words FROM conversations),
+k AS (SELECT conv_id, turn, words, list_transform(words, lambda t: lower(t)) AS keys FROM w)
+SELECT conv_id, turn, array_to_string([words[i] for i in range(1, len(words) + 1) if list_position(keys, keys[i]) = i], '|') AS tags FROM k""")
+def a16_tags_without_case(spark, sf_dir):
+    """The words of turns as tags, of which case alone makes no other."""
+    words = F.split("text", r"[\s.]+")
+    return adapters.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.tags_without_case(words), "|").alias("tags"))
+
+
 @query(S.with_(SITES) + "SELECT CAST(frame AS INT) AS frame, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(bit_or(d) OVER (PARTITION BY frame, y ORDER BY x RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS INT) AS spread FROM down")
 def a14_clip_spread(spark, sf_dir):
     return stencil.clip_spread(adapters.mosaic(spark, sf_dir)).select("frame", "y", "x", "spread")

@@ -9,12 +9,13 @@ from ..functions.colour import col3, lab_to_xyz_d65
 from ..operators import acceptance as A
 from ..operators import batch, calibration, contract, interchange
 from ..operators import records as R
+from ..operators import reports
 from ..operators.ordering import with_place
 from ..sources import adapters
 from ..sources.chart import PATCHES, chart_reference
 from ..sources.shared import small, written
 from . import sql as S
-from .calibration import FIT, GATES, REPORT, VALID, rounded, samples
+from .calibration import FIT, GATES, QUAD, REPORT, VALID, rounded, samples
 from .files import ACTIVE, CAP, _CUBE, captures_of
 
 QUERIES: dict = {}
@@ -683,3 +684,30 @@ def k16_library_save(spark, sf_dir):
     ids = adapters.table(spark, sf_dir, "nation").filter(n % 3 != 0).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(F.broadcast(sealed.select("frame", F.left("digest", F.lit(8)).alias("id"))), "frame")
     have = ids.select(F.concat(F.format_string("portrait-%d-", n), "id", F.when(n % 2 == 0, "").otherwise("-2")).alias("name"))
     return R.library_saves(asked.withColumns(facts), have).select("customer", "name", "entry", "error")
+
+
+_BYTE = lambda c: f"CAST(least(greatest(floor({c}*255 + 0.5), 0), 255) AS INT)"
+_SWATCH = lambda p: "'<td style=\"background:rgb(' || " + " || ',' || ".join(_BYTE(f"{p}_{c}") for c in "rgb") + " || ')\"></td>'"
+_POINTS = " || ' ' || ".join(f"printf('%.1f,%.1f', {QUAD[f'x{i}']}, {QUAD[f'y{i}']} + frame)" for i in range(4))
+_SAFE = lambda v: f"replace(replace(replace({v}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    _profile_sql()
+    + f""",
+patch_rows AS (SELECT frame, string_agg('<tr><td>' || name || '</td>' || {_SWATCH('out')} || {_SWATCH('t')} || printf('<td>%.3f</td></tr>', delta_e), '' ORDER BY patch_idx) AS patch_rows FROM scored JOIN patch_names USING (patch_idx) GROUP BY 1),
+bad AS (SELECT frame, string_agg('<li>' || {_SAFE('reason')} || ': ' || {_SAFE('measured')} || '</li>', '' ORDER BY ord) AS bad FROM failures GROUP BY 1)
+SELECT CAST(s.frame AS INT) AS frame, '<!doctype html><meta charset="utf-8"><h1>Calibration</h1><p>profile ' || digest || '</p><p>camera Cam F' || s.frame || ' (decoder: decoder 1)</p>'
+  || CASE WHEN bad IS NULL THEN '<p>Reference quality: pass</p>' ELSE CASE WHEN s.frame % 2 = 0 THEN '<p>Reference quality: overridden</p>' ELSE '<p>Reference quality: failed</p>' END || '<ul>' || bad || '</ul>' END
+  || printf('<p>mean %.3f, median %.3f, 95th percentile %.3f, max %.3f, condition number %.2f</p>', mean_delta_e, median_delta_e, p95_delta_e, max_delta_e, condition_number)
+  || '<svg viewBox="0 0 480 320"><polygon points="' || {_POINTS.replace('frame', 's.frame')} || '"/></svg><table><tr><th>patch</th><th>corrected</th><th>target</th><th>difference</th></tr>' || patch_rows || '</table>' AS html
+FROM sealed s JOIN report r ON r.frame = s.frame JOIN patch_rows p ON p.frame = s.frame LEFT JOIN bad b ON b.frame = s.frame"""
+)
+def k11_chart_page(spark, sf_dir):
+    """Every frame's profile as a page with all patches in chart order."""
+    s, ref = samples(spark, sf_dir), chart_reference(spark)
+    facts = written(profiles(spark, sf_dir), "facts").withColumns({k: F.lit(v) if k[0] == "x" else v + F.col("frame") for k, v in QUAD.items()})
+    facts = facts.withColumns({"width": F.lit(480), "height": F.lit(320), "forced": F.col("frame") % 2 == 0})
+    names = F.array(*(F.lit(A.patch_name(p)) for p in PATCHES))
+    scored = calibration.validate(s, ref, calibration.fit(s, ref)).withColumn("patch", F.get(names, F.col("patch_idx")))
+    return reports.chart_pages(scored, calibration.gate_failures(s), facts)
