@@ -220,3 +220,48 @@ def test_words_that_polynomial_hashes_confuse(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.component_id for r in jaccard.jaccard_groups(df).collect()) == list(range(6))
     assert jaccard.drop_near_copies(df).count() == 6
+
+
+def test_op8_by_plain_steps(spark, documents):
+    """Every prediction and score, from trigrams counted in dictionaries and vectors multiplied one by one."""
+    from tintframe.llm import langid
+
+    letters, known = langid.letter_vectors().astype(np.int64), {}
+
+    def kind(ch):
+        if not ch.isalpha():
+            return 0
+        low = ord(ch.lower()[0])
+        return low - 0x40 if low < 0x250 else 528 + (low * 2654435761 >> 7) % (langid.CLASSES - 528)
+
+    def grams(text):
+        codes = [0]
+        for ch in text or "":
+            k = kind(ch)
+            if k or codes[-1]:
+                codes.append(k)
+        codes += [0] if codes[-1] else []
+        return Counter(g for g in zip(codes, codes[1:], codes[2:]) if g[1] or (g[0] and g[2]))
+
+    def vector(counts):
+        out = np.zeros(letters.shape[1])
+        for g, n in counts.items():
+            if g not in known:
+                known[g] = np.roll(letters[g[0]], 2) * np.roll(letters[g[1]], 1) * letters[g[2]]
+            out += np.sqrt(n) * known[g]
+        return out
+
+    counts = {i: grams(r["text"]) for i, r in documents.items()}
+    totals = {}
+    for i, r in documents.items():
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            totals.setdefault(r["lang"], Counter()).update(counts[i])
+    prototypes = {lang: vector(c) for lang, c in sorted(totals.items())}
+    for r in rows(spark, "op8_language_id").itertuples():
+        own = vector(counts[r.doc_id])
+        if not counts[r.doc_id]:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cos = {lang: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for lang, v in prototypes.items()}
+        best = max(cos.values())
+        assert abs(r.score - min(max(best, 0), 1)) < 1e-4 and cos[r.lang_pred] > best - 1e-6
