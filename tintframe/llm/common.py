@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import threading
@@ -61,6 +62,9 @@ def settled(spark: SparkSession, make, name: str) -> DataFrame:
         for step in calls.pop():
             at = hadoop(step)
             at.getFileSystem(configuration).delete(at, True)
+        # Spark deletes the shuffle files of finished steps once the driver's handles on them are collected
+        gc.collect()
+        spark._jvm.System.gc()
     for paths in calls[-1:]:
         paths.append(path)
     return out
