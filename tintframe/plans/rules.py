@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import acceptance as A
 from ..operators import batch, calibration, models, reports, transform
 from ..sources import adapters
-from ..sources.chart import FROM, PATCHES, XYY, chart_reference, chart_xyy
+from ..sources.chart import FROM, PATCHES, chart_reference, chart_xyy
 from ..sources.shared import written
 from . import sql as S
 from .calibration import BASE, GATES, QUAD, VALID, gates_sql, rounded, samples, validated
