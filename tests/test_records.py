@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tintframe.functions import text
 from tintframe.operators import acceptance, batch, interchange, ordering, records
 
 
@@ -14,6 +15,15 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
+@pytest.mark.parametrize("places", [1, 2, 3, 6])
+def test_numbers_of_fixed_places(spark, places):
+    rng = np.random.default_rng(places)
+    ties = [k / 10 ** (places + 1) for k in (5, 15, 25, 1235, 16645, 8325, 5305, 10625)] + [0.0, 0.125, -0.375, 2.5, 1e15, 0.25, 0.75]
+    values = [*ties, *(-v for v in ties), *(rng.integers(0, 10**7, 500) * 10 + 5.0) / 10 ** (places + 1), *rng.normal(0, 50, 200)]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", text.fixed(F.col("v"), places).alias("t"))
+    assert [(r.v, r.t) for r in rows.collect() if r.t != f"{r.v:.{places}f}"] == []
+
+
 def test_places(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k")).repartition(7)
     got = {r.k: r.place for r in ordering.with_place(df, ["k"]).collect()}

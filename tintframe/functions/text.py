@@ -33,6 +33,19 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double with ``places`` decimals, rounded by its exact value, a tie to the even digit. ``format_string`` rounds the shortest decimal that reads back as
+    the double, half up: where that ends in a five just beyond ``places``, and the double is no larger, the next smaller one is formatted."""
+    size, scale = F.abs(value), 10.0 ** (places + 1)
+    # Dekker's split: the upper half times the scale is exact, and so is its distance from the nearest whole number
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    near = F.rint(size * scale)
+    beyond = (high * scale - near) + (size - high) * scale
+    even = F.floor(near / 10) % 2 == 0
+    down = (size * scale < 2.0**52) & (near % 10 == 5) & ((beyond < 0) | ((beyond == 0) & even))
+    return F.format_string(f"%.{places}f", F.when(down, value * (1 - 2.0**-52)).otherwise(value))
+
+
 def file_sha256(content: Column) -> Column:
     """The digest of a text with LF line ends, in lower-case hexadecimal."""
     return F.sha2(F.replace(content, F.lit("\r\n"), F.lit("\n")), 256)

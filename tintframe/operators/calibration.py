@@ -20,6 +20,7 @@ from ..functions.colour import (
     xyz_d65_to_lab,
 )
 from ..functions.linear import eliminated
+from ..functions.text import fixed
 
 MEAN = ("mean_r", "mean_g", "mean_b")
 VARIANCE = ("var_r", "var_g", "var_b")
@@ -58,7 +59,7 @@ def gate_failures(samples: DataFrame, config: GateConfig = GateConfig()) -> Data
     ]
     for k, (m, v) in enumerate(zip(MEAN, VARIANCE, strict=True)):
         cv = F.sqrt(v) / F.greatest(F.col(m), F.lit(cfg.cv_mean_floor))
-        checks.append((2 + k, ~F.isnan(cv) & (cv > cfg.max_cv), F.lit(f"channel {k} coefficient of variation"), F.format_string("cv=%.6f", cv)))
+        checks.append((2 + k, ~F.isnan(cv) & (cv > cfg.max_cv), F.lit(f"channel {k} coefficient of variation"), F.concat(F.lit("cv="), fixed(cv, 6))))
     found = F.array(*(F.when(bad, F.struct(F.lit(o).alias("ord"), r.alias("reason"), m.alias("measured"))) for o, bad, r, m in checks))
     patches = whole.select("frame", "patch_idx", F.explode(F.array_compact(found)).alias("f")).select(
         "frame", (F.col("patch_idx") * 8 + F.col("f.ord")).alias("ord"), "patch_idx", "f.reason", "f.measured"
@@ -87,7 +88,7 @@ def gate_failures(samples: DataFrame, config: GateConfig = GateConfig()) -> Data
                 F.lit(1001).alias("ord"),
                 none,
                 F.lit("last row is not the neutral row; check corner order").alias("reason"),
-                F.format_string("last-row-chroma=%.6f, preceding-chroma=%.6f", "last", "first").alias("measured"),
+                F.concat(F.lit("last-row-chroma="), fixed(F.col("last"), 6), F.lit(", preceding-chroma="), fixed(F.col("first"), 6)).alias("measured"),
             )
         )
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_tags, slug
+from ..functions.text import clean_tags, fixed, slug
 from ..sources.shared import written
 from .acceptance import contract_error, dcp_refusal
 from .batch import free_names
@@ -314,7 +314,7 @@ def badges() -> Column:
 
 def card() -> dict[str, Column]:
     """What a library card shows."""
-    number = lambda c: F.format_string("%.2f", F.col(c))
+    number = lambda c: fixed(F.col(c), 2)
     return {
         "title": F.col("label"),
         "camera": F.trim(F.concat_ws(" ", "make", "model")),
