@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.chart import COLUMNS, ROWS
 
 TILE = 32
+#: The corners of a patch within its cell: the central 60 %.
+PATCH_ENDS = ((0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8))
 
 
 def bilinear(corners: list[tuple[Column, Column]], u: Column, v: Column) -> tuple[Column, Column]:
@@ -23,9 +25,8 @@ def patch_polygons(quads: DataFrame) -> DataFrame:
     corners = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
     column, row = F.col("patch_idx") % COLUMNS, F.expr(f"patch_idx div {COLUMNS}")
     at = lambda cell, share, n: (cell + share) / float(n)
-    ends = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
     out = cells
-    for i, (du, dv) in enumerate(ends):
+    for i, (du, dv) in enumerate(PATCH_ENDS):
         x, y = bilinear(corners, at(column, du, COLUMNS), at(row, dv, ROWS))
         out = out.withColumns({f"px{i}": x, f"py{i}": y})
     for axis in "xy":
