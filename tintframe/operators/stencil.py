@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 RADIUS = 5
 
 
@@ -39,16 +41,22 @@ def normalised(sites: DataFrame, black: list[int], white: list[int]) -> DataFram
 
 
 TILE = 256
+#: Rows of tiles in a task, on average: their windows sort them again and again with all columns found so far.
+TASK_ROWS = 100_000
 
 
 def with_halo(sites: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """``sites`` (frame, y, x) dealt to square tiles, with tile_y, tile_x and home: a tile also gets the ``radius`` rows and columns around it, each
-    once, as rows that are not at home there. One exchange serves all windows by tile that follow."""
+    once, as rows that are not at home there. One exchange serves all windows by tile that follow; its tasks follow the rows, not the bytes, which are few here
+    and many once the windows have added their columns."""
+    sites = written(sites, "sites")
     for axis in ("y", "x"):
         first = F.greatest(F.floor((F.col(axis) - radius) / tile), F.lit(0))
         sites = sites.withColumn(f"tile_{axis}", F.explode(F.sequence(first, F.floor((F.col(axis) + radius) / tile))))
     home = (F.floor(F.col("y") / tile) == F.col("tile_y")) & (F.floor(F.col("x") / tile) == F.col("tile_x"))
-    return sites.withColumn("home", home).repartition("frame", "tile_y", "tile_x")
+    sites = sites.withColumn("home", home)
+    tasks = max(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sites.count() // TASK_ROWS))
+    return sites.repartition(tasks, "frame", "tile_y", "tile_x")
 
 
 def _line(axis: str) -> Window:
