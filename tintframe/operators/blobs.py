@@ -1,9 +1,8 @@
-"""Bright patches of an image and the lattice they lie on: runs, components, proximity groups and fits, over all frames at once."""
+"""Bright patches of an image and the lattice they lie on: components by tiles, proximity groups and fits, over all frames at once."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,66 +16,118 @@ MAX_BLOBS, MIN_SIDE, MAX_SHARE, ASPECT, FILL = 1500, 5, 0.2, (0.6, 1.6), 0.4
 SIZE_RATIO, REACH, GROUP = (0.7, 1.43), 1.6, (14, 24)
 COHERENCE, MIN_SPAN, SHAPE, PIVOT = 0.75, 48.0, (1.15, 2.20), 1e-9
 COLUMNS, ROWS = 6, 4
-#: Size classes of blobs: each spans more than the largest ratio of like sizes, so these are of one class or of neighbouring ones.
-CLASS = 1.45
 
 
-def bright_runs(light: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """frame, level, y, x0, x1: the stretches of each row of ``light`` (frame, y, x, light) above each level. Places less their rank are equal
-    within a stretch."""
-    over = light.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda t: t < F.col("light"))))
-    rank = F.row_number().over(Window.partitionBy("frame", "level", "y").orderBy("x"))
-    return over.withColumn("at", F.col("x") - rank).groupBy("frame", "level", "y", "at").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("at")
+#: Side of the square tiles in which patches are first looked for.
+TILE = 256
+
+
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each of ``n`` nodes' components under the edges u, v: larger roots go to smaller ones until none is left."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v = u[apart], v[apart]
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def tile_parts(light: DataFrame, levels: tuple[float, ...] = LEVELS, tile: int = TILE) -> DataFrame:
+    """frame, level, y, x, x0, x1, y0, y1, area, rim: the components of the pixels of ``light`` (frame, y, x, light) above each level within square tiles,
+    named by their first pixel; rim are the pixels on a tile's border, which may go on in the next one. A task holds one tile."""
+    steps = sorted(set(levels))
+
+    def parts(pdf):
+        import pandas as pd
 
+        pdf = pdf.sort_values(["y", "x"])
+        py, px, above = pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["light"].to_numpy()
+        level, at = np.nonzero((above > np.array(steps)[:, None]) | np.isnan(above))  # a NaN is above all in Spark
+        y, x = py[at], px[at]
+        first = np.ones(len(y), dtype=bool)
+        first[1:] = (level[1:] != level[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+        run = np.cumsum(first) - 1
+        dense = np.full((len(steps), py.max() - py.min() + 2, px.max() - px.min() + 1), -1)
+        top, left = y - py.min(), x - px.min()
+        dense[level, top, left] = run
+        below = dense[level, top + 1, left]
+        name = _joined(int(first.sum()), run[below >= 0], below[below >= 0])
+        heads, part = np.unique(name[run], return_inverse=True)
+        head = np.flatnonzero(first)[heads]
+        out = {"frame": pdf["frame"].iloc[0], "level": np.array(steps)[level[head]], "y": y[head], "x": x[head]}
+        for c, v in (("x", x), ("y", y)):
+            out[f"{c}0"], out[f"{c}1"] = np.full(len(head), v.max(initial=0)), np.full(len(head), v.min(initial=0))
+            np.minimum.at(out[f"{c}0"], part, v)
+            np.maximum.at(out[f"{c}1"], part, v)
+        out["area"] = np.bincount(part, minlength=len(head))
+        rims = [[] for _ in head]
+        border = ((x % tile == 0) & (x > 0)) | (x % tile == tile - 1) | ((y % tile == 0) & (y > 0)) | (y % tile == tile - 1)
+        for i in np.flatnonzero(border):
+            rims[part[i]].append({"y": int(y[i]), "x": int(x[i])})
+        return pd.DataFrame(out | {"rim": rims})
 
-def blobs(light: DataFrame, sizes: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    kind = light.schema["frame"].dataType.simpleString()
+    bright = light.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("light").cast("double").alias("light")).filter(F.col("light") > steps[0])
+    tiles = bright.groupBy("frame", F.expr(f"y div {tile}").alias("ty"), F.expr(f"x div {tile}").alias("tx"))
+    return tiles.applyInPandas(parts, f"frame {kind}, level double, y long, x long, x0 long, x1 long, y0 long, y1 long, area long, rim array<struct<y:long,x:long>>")
+
+
+def blobs(light: DataFrame, sizes: DataFrame, levels: tuple[float, ...] = LEVELS, tile: int = TILE) -> DataFrame:
     """frame, level, blob, cx, cy, size: the components of each level that may be one patch. ``sizes`` (frame, width, height) are the images'. A
-    frame with more than ``MAX_BLOBS`` at a level has none there."""
-    runs = written(bright_runs(light, levels).withColumn("run", F.struct("frame", "level", "y", "x0")), "runs")
-    below = runs.select("frame", "level", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("v"))
-    edges = runs.join(below, ["frame", "level", "y"]).filter("x0 <= b1 and b0 <= x1").select(F.col("run").alias("u"), "v")
-    named = runs.join(connected_components(edges).withColumnRenamed("node", "run"), "run", "left").withColumn("blob", F.coalesce("component", "run"))
-    boxes = named.groupBy("frame", "level", "blob").agg(
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area")
-    )
+    frame with more than ``MAX_BLOBS`` at a level has none there. Parts of tiles that go on beyond them are joined by connected components."""
+    parts = written(tile_parts(light, levels, tile), "parts")
+    boxes = parts.drop("rim").withColumn("blob", F.struct("y", "x")).drop("y", "x")
+    node = F.struct("frame", "level", "y", "x")
+    rims = parts.filter(F.size("rim") > 0).select("frame", "level", node.alias("part"), F.explode("rim").alias("at")).select("frame", "level", "part", "at.y", "at.x")
+    if not rims.isEmpty():
+        ahead = F.explode(F.array(F.struct("y", (F.col("x") + 1).alias("x")), F.struct((F.col("y") + 1).alias("y"), "x"))).alias("to")
+        edges = rims.select("frame", "level", F.col("part").alias("u"), ahead).select("frame", "level", "u", "to.y", "to.x")
+        edges = edges.join(rims.withColumnRenamed("part", "v"), ["frame", "level", "y", "x"]).select("u", "v").filter("u <> v")
+        named = parts.drop("rim").withColumn("node", node).join(connected_components(edges), "node", "left").withColumn("whole", F.coalesce("component", "node"))
+        low, high = (F.min(c).alias(c) for c in ("x0", "y0")), (F.max(c).alias(c) for c in ("x1", "y1"))
+        boxes = named.groupBy("frame", "level", F.struct("whole.y", "whole.x").alias("blob")).agg(*low, *high, F.sum("area").alias("area"))
     w, h, area = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1, F.col("area")
     inside = (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") + 1 < F.col("width")) & (F.col("y1") + 1 < F.col("height"))
     fair = (F.least(w, h) >= MIN_SIDE) & (F.greatest(w, h) <= MAX_SHARE * F.greatest("width", "height")) & (w / h).between(*ASPECT) & (area >= FILL * w * h)
     kept = boxes.join(sizes, "frame").filter(inside & fair)
-    few = kept.groupBy("frame", "level").agg(F.count("*").alias("n")).filter(F.col("n") <= MAX_BLOBS).select("frame", "level")
+    n = F.count("*").over(Window.partitionBy("frame", "level"))
     centre = {"cx": (F.col("x0") + F.col("x1") + 1) * 0.5, "cy": (F.col("y0") + F.col("y1") + 1) * 0.5, "size": F.sqrt(area.cast("double"))}
-    return kept.join(few, ["frame", "level"]).withColumns(centre).select("frame", "level", F.struct("blob.y", "blob.x0").alias("blob"), "cx", "cy", "size")
-
-
-def touching(blobs: DataFrame) -> DataFrame:
-    """frame, level, a, b: pairs of blobs of like size that touch as neighbours of a lattice do. Grids by size class, whose cells are as wide as
-    the class's reach, let each blob meet those of its own and the next class in nine cells only."""
-    rank = F.floor(F.log("size") / F.lit(math.log(CLASS))).cast("int")
-    rows = blobs.withColumn("own", rank)
-    cell = lambda c: F.floor(F.col(c) / (REACH * F.pow(F.lit(CLASS), F.col("grid") + 1)))
-    classes = rows.withColumn("grid", F.explode(F.array("own", F.col("own") + 1))).withColumns({"gx": cell("cx"), "gy": cell("cy")})
-    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("blob", "cx", "cy", "size", "own")]
-    near = classes
-    for c in ("gx", "gy"):
-        near = near.withColumn(c, F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1)))))
-    key = ["frame", "level", "grid", "gx", "gy"]
-    pairs = classes.select(*key, *side("a")).join(near.select(*key, *side("b")), key)
-    # each pair once: in the grid of the larger class
-    pairs = pairs.filter((F.col("a_blob") < F.col("b_blob")) & (F.greatest("a_own", "b_own") == F.col("grid")))
-    ratio = F.col("a_size") / F.col("b_size")
-    apart = F.sqrt(F.pow(F.col("a_cx") - F.col("b_cx"), 2) + F.pow(F.col("a_cy") - F.col("b_cy"), 2))
-    close = ratio.between(*SIZE_RATIO) & (apart <= REACH * F.greatest("a_size", "b_size"))
-    return pairs.filter(close).select("frame", "level", F.col("a_blob").alias("a"), F.col("b_blob").alias("b"))
+    kept = kept.withColumn("n", n).filter(F.col("n") <= MAX_BLOBS).withColumns(centre)
+    return kept.select("frame", "level", F.struct(F.col("blob.y").cast("int").alias("y"), F.col("blob.x").cast("int").alias("x0")).alias("blob"), "cx", "cy", "size")
 
 
 def groups(blobs: DataFrame) -> DataFrame:
-    """``blobs`` with group, those of proximity groups of as many blobs as a chart may show."""
-    name = lambda c: F.struct("frame", "level", F.col(c).alias("blob"))
-    near = touching(blobs).select(name("a").alias("u"), name("b").alias("v"))
-    found = connected_components(near).select(F.col("node").alias("id"), F.col("component.blob").alias("group"))
-    rows = blobs.withColumn("id", name("blob")).join(found, "id", "left").withColumn("group", F.coalesce("group", "blob")).drop("id")
-    n = F.count("*").over(Window.partitionBy("frame", "level", "group"))
-    return rows.withColumn("n", n).filter(F.col("n").between(*GROUP)).drop("n")
+    """``blobs`` with group, those of proximity groups of as many blobs as a chart may show: blobs of like size that touch as neighbours of a lattice do.
+    A frame's level has at most ``MAX_BLOBS`` blobs, so all its pairs are bounded; a task holds one frame."""
+
+    def grouped(pdf):
+        import pandas as pd
+
+        out = []
+        for _, rows in pdf.groupby("level"):
+            rows = rows.sort_values(["y", "x"])
+            cx, cy, size = (rows[c].to_numpy() for c in ("cx", "cy", "size"))
+            us, vs = [], []
+            for i in range(len(rows) - 1):
+                ratio, dx, dy = size[i] / size[i + 1 :], cx[i] - cx[i + 1 :], cy[i] - cy[i + 1 :]
+                near = (ratio >= SIZE_RATIO[0]) & (ratio <= SIZE_RATIO[1]) & (np.sqrt(dx * dx + dy * dy) <= REACH * np.maximum(size[i], size[i + 1 :]))
+                met = np.flatnonzero(near) + i + 1
+                us.append(np.full(len(met), i))
+                vs.append(met)
+            name = _joined(len(rows), np.concatenate(us), np.concatenate(vs)) if us else np.zeros(1, np.int64)
+            n = np.bincount(name, minlength=len(rows))[name]
+            rows = rows.assign(gy=rows["y"].to_numpy()[name], gx=rows["x"].to_numpy()[name])
+            out.append(rows[(n >= GROUP[0]) & (n <= GROUP[1])])
+        return pd.concat(out)
+
+    kind = blobs.schema["frame"].dataType.simpleString()
+    flat = blobs.select("frame", "level", "blob.y", F.col("blob.x0").alias("x"), "cx", "cy", "size")
+    found = flat.groupBy("frame").applyInPandas(grouped, f"frame {kind}, level double, y int, x int, cx double, cy double, size double, gy int, gx int")
+    at = lambda y, x: F.struct(F.col(y).alias("y"), F.col(x).alias("x0"))
+    return found.select("frame", "level", at("y", "x").alias("blob"), "cx", "cy", "size", at("gy", "gx").alias("group"))
 
 
 def lattices(members: DataFrame) -> DataFrame:
@@ -84,6 +135,7 @@ def lattices(members: DataFrame) -> DataFrame:
     four, by a bilinear fit to the cells its blobs fall in; groups that do not are left out. Theta is the circular mean of the quadrupled
     angles to nearest neighbours, so a quarter turn makes no difference."""
     key = ["frame", "level", "group"]
+    members = written(members, "members")  # met twice below
     other = members.select(*key, F.col("blob").alias("to"), F.col("cx").alias("tx"), F.col("cy").alias("ty"))
     # no more than 24 a group, so these pairs are few
     pairs = members.join(other, key).filter("blob != to").withColumns({"dx": F.col("tx") - F.col("cx"), "dy": F.col("ty") - F.col("cy")})
@@ -95,9 +147,10 @@ def lattices(members: DataFrame) -> DataFrame:
     axes = sums.select(*key, "n", F.hypot("s", "c").alias("h"), middle.alias("pitch"), (F.atan2("s", "c") / 4).alias("theta")).withColumn("coherence", F.col("h") / F.col("n"))
     axes = axes.filter(F.col("coherence") >= COHERENCE).drop("h")
     rows = members.join(axes, key).withColumns({"p": F.col("cx") * F.cos("theta") + F.col("cy") * F.sin("theta"), "q": F.col("cy") * F.cos("theta") - F.col("cx") * F.sin("theta")})
-    span = rows.groupBy(*key).agg(*(f(c).alias(f"{n}_{c}") for c in "pq" for n, f in (("low", F.min), ("high", F.max))))
+    whole = Window.partitionBy(*key)
+    rows = rows.withColumns({f"{n}_{c}": f(c).over(whole) for c in "pq" for n, f in (("low", F.min), ("high", F.max))})
     flat = (F.col("high_p") - F.col("low_p")) < (F.col("high_q") - F.col("low_q"))
-    rows = rows.join(span.withColumn("turned", flat), key)
+    rows = rows.withColumn("turned", flat)
     # the longer extent is u; a turn by a right angle makes the other axis negative
     u = F.when(F.col("turned"), F.col("q") - F.col("low_q")).otherwise(F.col("p") - F.col("low_p"))
     v = F.when(F.col("turned"), F.col("high_p") - F.col("p")).otherwise(F.col("q") - F.col("low_q"))

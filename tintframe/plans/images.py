@@ -136,7 +136,7 @@ def _recursive(*ctes: str) -> str:
 
 def _blobs(spark, sf_dir):
     light = adapters.scenes(spark, sf_dir)
-    sizes = light.select("frame").distinct().withColumns({"width": F.lit(_W), "height": F.lit(_H)})
+    sizes = adapters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame")).distinct().withColumns({"width": F.lit(_W), "height": F.lit(_H)})
     return B.blobs(light, sizes)
 
 
