@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_tags, fixed, slug
-from ..sources.shared import written
+from ..sources.shared import small, written
 from .acceptance import contract_error, dcp_refusal
 from .batch import free_names
 from .calibration import STAGES, report, validate
@@ -361,8 +361,13 @@ def library_saves(requests: DataFrame, existing: DataFrame) -> DataFrame:
     altitude, include_gps) with name, entry (the JSON to be stored) and error, as if saved one after another by place into a library with the folders
     ``existing`` (name). The name is the label's slug and the first letters of the profile's digest, numbered where it is taken; only a
     request without an error takes one. A label of blanks, a profile that is refused and a reference that is not the profile's are errors."""
-    facts = requests.select("place", "json", F.trim("label").alias("_label"), F.lower("reference_digest").alias("_reference"))
-    facts = verified(facts).withColumns({"_digest": F.get_json_object("json", "$.digest"), "_of": F.lower(F.get_json_object("json", "$.reference-digest"))})
+    key = F.sha2("json", 256)
+    facts = requests.select("place", key.alias("_key"), F.trim("label").alias("_label"), F.lower("reference_digest").alias("_reference"))
+    # many requests share a profile, which is long: each is verified once
+    profiles = requests.groupBy(key.alias("_key")).agg(F.any_value("json").alias("json"))
+    profiles = verified(profiles).select("_key", "error", F.get_json_object("json", "$.digest").alias("_digest"), F.lower(F.get_json_object("json", "$.reference-digest")).alias("_of"))
+    profiles = small(written(profiles, "profiles"))
+    facts = facts.withColumn("_key", F.coalesce("_key", F.lit(""))).join(profiles.withColumn("_key", F.coalesce("_key", F.lit(""))), "_key")
     wrong = F.concat(F.lit("the reference does not belong to this profile: its digest is "), "_reference", F.lit(", the profile was derived from "), "_of")
     error = F.when(F.coalesce("_label", F.lit("")) == "", "the library entry needs a label").when(F.col("error").isNotNull(), F.col("error")).when(~F.col("_reference").eqNullSafe(F.col("_of")), wrong)
     stem = F.concat(slug(F.col("_label")), F.lit("-"), F.left(F.col("_digest"), F.lit(ID_LETTERS)))
