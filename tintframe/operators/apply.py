@@ -65,7 +65,8 @@ def apply_batch(
     met = pixels.join(small(ready), "path")
     bad = F.isnan("r") | F.isnan("g") | F.isnan("b") | F.col("r").isNull() | F.col("g").isNull() | F.col("b").isNull()
     done = clip_flags(corrected(met.withColumns({c: F.lit(v) for c, v in stages.items()}), ("r", "g", "b")))
-    coded = encode_srgb(done, places).withColumn("_bad", bad).drop(*stages, *OUT)
+    # written: facts and codes both read it
+    coded = written(encode_srgb(done, places).withColumn("_bad", bad).drop(*stages, *OUT, "r", "g", "b"), "coded")
     facts = written(coded.groupBy("path").agg(F.count("*").alias("pixels"), F.count_if(F.col("flags") != 0).alias("clipped"), F.bool_or("_bad").alias("_bad")), "facts")
     results = plan.join(small(facts), "path", "left")
     broken = F.when(F.col("pixels").isNull(), "export failed: no pixels").when(F.col("_bad"), "export failed: a pixel is not a number")
@@ -74,7 +75,7 @@ def apply_batch(
     ok = F.col("status") == "written"
     results = results.select("path", "output", "status", "error", F.when(ok, F.col("warning")).alias("warning"), *(F.when(ok, F.col(c)).alias(c) for c in ("pixels", "clipped")))
     broken_paths = small(facts.filter("_bad").select("path"))
-    return coded.join(broken_paths, "path", "left_anti").drop("_bad", "path", "r", "g", "b"), results
+    return coded.join(broken_paths, "path", "left_anti").drop("_bad", "path"), results
 
 
 def publish(codes: DataFrame, results: DataFrame, folder: str) -> None:
