@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -51,6 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished steps, which it does once the driver's handles on them are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(spark: SparkSession, make, name: str) -> DataFrame:
     """The result of ``make()``, written; what it wrote on the way there in this thread is deleted, also where it raises."""
     calls = _CALLS.__dict__.setdefault("open", [])
@@ -62,14 +69,22 @@ def settled(spark: SparkSession, make, name: str) -> DataFrame:
         for step in calls.pop():
             at = hadoop(step)
             at.getFileSystem(configuration).delete(at, True)
-        # Spark deletes the shuffle files of finished steps once the driver's handles on them are collected
-        gc.collect()
-        spark._jvm.System.gc()
+        let_go(spark)
     for paths in calls[-1:]:
         paths.append(path)
     return out
 
 
+def give_back() -> None:
+    """Hands memory of freed arrays back to the system; a worker that Spark reuses keeps it else, from one step to the next."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -93,13 +108,36 @@ def own_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
 
 #: Lists of ids up to this many rows are broadcast, longer ones are shuffled.
 BROADCAST_IDS = 500_000
+#: Bits of a sieve for each id, and at most (32 MB); more ids than that let more rows through, and never fewer.
+SIEVE_BITS, SIEVE_MOST = 32, 1 << 28
+#: Bits of one binary that ``bitmap_construct_agg`` makes.
+BITMAP = 1 << 15
+
+
+def sieved(df: DataFrame, id_col: str, ids: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: whether a row's id may be among the ``n`` of ``ids`` (one column, of the same type). False is sure:
+    the id's bit is in none of the broadcast bitmaps; true is to be looked up."""
+    bits = min(SIEVE_MOST, max(BITMAP, 1 << (SIEVE_BITS * n).bit_length()))
+    at, part, bitmap = (free_name(df, c) for c in ("__at", "__part", "__bitmap"))
+    marks = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits)).alias(at)).groupBy(F.expr(f"{at} div {BITMAP}").alias(part))
+    marks = marks.agg(F.bitmap_construct_agg(F.expr(f"{at} % {BITMAP}")).alias(bitmap))
+    placed = df.withColumn(at, F.pmod(F.xxhash64(id_col), F.lit(bits))).withColumn(part, F.expr(f"{at} div {BITMAP}"))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.expr(f"int({at} % {BITMAP} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.expr(f"int({at} % 8)")) == 1
+    return placed.join(F.broadcast(marks), part, "left").select(*df.columns, F.coalesce(bit, F.lit(False)).alias(name))
 
 
 def without_ids(df: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``df`` whose id is not in ``dropped`` (one column); rows with a null id stay."""
     dropped = written(dropped.toDF(id_col).dropna().distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(*df.columns)
+    n = dropped.count()
+    if n <= BROADCAST_IDS:
+        return df.join(F.broadcast(dropped), id_col, "left_anti").select(*df.columns)
+    # only rows whose id may be dropped are shuffled
+    name = free_name(df, "__maybe")
+    rows = sieved(df, id_col, dropped, n, name)
+    stay, maybe = rows.filter(f"not {name}").select(*df.columns), rows.filter(name).select(*df.columns)
+    return stay.unionByName(maybe.join(dropped, id_col, "left_anti").select(*df.columns))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

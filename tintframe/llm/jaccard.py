@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, keyed_groups, mix, own_key, slices, without_ids, written
+from .common import U64, give_back, keyed_groups, let_go, mix, own_key, sieved, slices, without_ids, written
 from .components import connected_components
 from .words import shingle_sets
 
@@ -28,10 +28,19 @@ CHARS_AT_ONCE = 1 << 18
 #: Sets and shingles of a block; a cluster beyond either is compared in pairs of blocks, whose rows are alike in number.
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 300_000
-#: Cluster tables up to this many rows (of at most 100 bytes) are broadcast, larger ones are shuffled.
+#: Cluster tables up to this many rows (of at most 100 bytes) are broadcast, larger ones are shuffled, with the texts that they may name.
 BROADCAST_ROWS = 200_000
 #: Sets that a task remembers to route copies once.
 REMEMBERED = 200_000
+#: Routing keys that a task of the routing holds before it deals them out, and those of a bucket, on average at most.
+HELD_KEYS = 1 << 18
+BUCKET_KEYS = 1 << 20
+#: Buckets of routing keys, at most: their number and 48 bits of the key tell keys apart.
+BUCKETS = 1 << 16
+#: The need of an entry whose row is known; larger needs are lowered below it, which routes more pairs and loses none.
+MET = 0xFFFF
+#: Known rows that go along at once.
+KNOWN_ROWS = 2048
 #: Candidates of a search that are probed one by one.
 PROBED = 4
 #: Sets in one Spark task of the search, on average.
@@ -158,52 +167,164 @@ def t_occurrence_links(offsets: np.ndarray, hashes: np.ndarray, side: np.ndarray
     return links
 
 
-def _set_rows(df: DataFrame, id_col: str, text_col: str, width: int, bands: Bands, keyed: bool) -> DataFrame:
-    """For each text its set: doc_id, n_shingles, set_a, set_b; or (``keyed``) rows node, key, need: the set's hash with each of its routing
-    keys. A task gives the keys of a set that it meets again once, as far as ``REMEMBERED`` reaches."""
+def _set_rows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """For each text its set: doc_id, n_shingles, set_a, set_b."""
 
     def sets(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        seen: set[int] = set()
-        for b in batches:
-            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
-            for i, j in slices(lengths, lambda n: n + 64, CHARS_AT_ONCE):
-                offsets, hashes = shingle_sets(b.column(1).slice(i, j - i), width)
-                size = np.diff(offsets)
-                edge = np.concatenate([[U64(0)], np.cumsum(hashes)])
-                set_a = (edge[offsets[1:]] - edge[offsets[:-1]]).astype(np.int64)
-                if keyed:
-                    new = np.zeros(len(size), dtype=bool)
-                    for k, h in enumerate(set_a.tolist()):
-                        new[k] = size[k] and h not in seen
-                        seen.add(h)
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    owner, keys, need = segment_keys(np.concatenate([[0], np.cumsum(size[new])]), hashes[np.repeat(new, size)], bands)
-                    columns = [pa.array(set_a[new][owner]), pa.array(keys.astype(np.int64)), pa.array(need.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "key", "need"])
-                    continue
-                edge = np.concatenate([[U64(0)], np.cumsum(mix(hashes ^ U64(0xA0761D6478BD642F)))])
-                set_b = (edge[offsets[1:]] - edge[offsets[:-1]]).astype(np.int64)
-                columns = [b.column(0).slice(i, j - i), pa.array(size), pa.array(set_a), pa.array(set_b)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b"])
+        for ids, offsets, hashes in _shingled(batches, width):
+            edge = np.concatenate([[U64(0)], np.cumsum(mix(hashes ^ U64(0xA0761D6478BD642F)))])
+            set_b = (edge[offsets[1:]] - edge[offsets[:-1]]).astype(np.int64)
+            columns = [ids, pa.array(np.diff(offsets)), pa.array(_set_a(offsets, hashes).astype(np.int64)), pa.array(set_b)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = "node long, key long, need int" if keyed else f"doc_id {kind}, n_shingles long, set_a long, set_b long"
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sets, schema)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(sets, f"doc_id {kind}, n_shingles long, set_a long, set_b long")
+
+
+def _shingled(batches, width: int):
+    """(first column, offsets, hashes) of slices of Arrow batches whose last column is a text."""
+    import pyarrow.compute as pc
+
+    give_back()
+    for b in batches:
+        texts = b.column(b.num_columns - 1)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for i, j in slices(lengths, lambda n: n + 64, CHARS_AT_ONCE):
+            yield b.column(0).slice(i, j - i), *shingle_sets(texts.slice(i, j - i), width)
+    give_back()
+
+
+def _set_a(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    edge = np.concatenate([[U64(0)], np.cumsum(hashes)])
+    return edge[offsets[1:]] - edge[offsets[:-1]]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return first, np.diff(np.append(first, len(values)))
+
+
+def _packed(nodes: np.ndarray, keys: np.ndarray, needs: np.ndarray) -> bytes:
+    """Entries column by column: 8 bytes of the node, the low 6 of the key (those above are the bucket's), 2 of the need."""
+    low = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return nodes.astype("<u8").tobytes() + low.tobytes() + needs.astype("<u2").tobytes()
+
+
+def _unpacked(entries: bytes, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(entries) // 16
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(entries, np.uint8, 6 * n, 8 * n).reshape(n, 6)
+    keys = keys.view("<u8").ravel() | U64(bucket << 48)
+    return np.frombuffer(entries, "<u8", n), keys, np.frombuffer(entries, "<u2", n, 14 * n)
 
 
-def _routed(rows: DataFrame) -> DataFrame:
+def _shared_keys(df: DataFrame, text_col: str, width: int, bands: Bands, buckets: int) -> DataFrame:
+    """(node, key, need), some of them twice: the sets' hashes with those of their routing keys that another set has too.
+
+    Keys cross one exchange, once, as packed entries of a bucket, ``buckets`` at most ``BUCKETS``. Of a key that several sets of a task
+    have, one entry goes, marked as ``MET``: their rows are known and go along in any bucket, so a hot key is a few entries a task.
+    """
+
+    def dealt(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        at = (TaskContext.get().partitionId() * 977) % buckets  # the next bucket for rows that are known
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def batch():
+            nonlocal at
+            nodes, keys, needs = map(np.concatenate, zip(*held))
+            bucket = ((keys >> U64(32)) * U64(buckets)) >> U64(32)
+            keys = (bucket << U64(48)) | (keys & U64((1 << 48) - 1))
+            order = np.argsort(keys, kind="stable")
+            nodes, keys, needs = nodes[order], keys[order], np.minimum(needs[order], MET - 3 + needs[order] % 2)
+            first, size = _runs(keys)
+            met = np.minimum.reduceat(nodes, first) < np.maximum.reduceat(nodes, first)
+            several = np.repeat(met, size)
+            rows = [], [], []
+            known = nodes[several], keys[several], needs[several].astype("<u2")
+            for i in range(0, len(known[0]), KNOWN_ROWS):
+                for column, value in zip(rows, (at, True, b"".join(x[i : i + KNOWN_ROWS].tobytes() for x in known))):
+                    column.append(value)
+                at = (at + 1) % buckets
+            nodes, keys, needs = nodes[first], keys[first], np.where(met, MET, needs[first])
+            begin, size = _runs(keys >> U64(48))
+            for i, n in zip(begin.tolist(), size.tolist()):
+                part = slice(i, i + n)
+                for column, value in zip(rows, (int(keys[i]) >> 48, False, _packed(nodes[part], keys[part], needs[part]))):
+                    column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "known", "entries"])
+
+        for _, offsets, hashes in _shingled(batches, width):
+            size, nodes = np.diff(offsets), _set_a(offsets, hashes)
+            new = np.zeros(len(size), dtype=bool)
+            for k, h in enumerate(nodes.tolist()):
+                new[k] = size[k] and h not in seen
+                seen.add(h)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            owner, keys, needs = segment_keys(np.concatenate([[0], np.cumsum(size[new])]), hashes[np.repeat(new, size)], bands)
+            if len(keys):
+                held.append((nodes[new][owner], keys, needs))
+                count += len(keys)
+            if count >= HELD_KEYS:
+                yield batch()
+                held.clear()
+                count = 0
+        if held:
+            yield batch()
+
+    def meet(batches):
+        import pyarrow as pa
+
+        def rows(nodes, keys, needs):
+            for i in range(0, len(nodes), 100_000):
+                columns = [pa.array(x[i : i + 100_000].astype(kind)) for x, kind in ((nodes, np.int64), (keys, np.int64), (needs, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "key", "need"])
+
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for bucket, known, entries in zip(*(c.to_pylist() for c in b.columns)):
+                if known:
+                    n = len(entries) // 18
+                    yield from rows(np.frombuffer(entries, "<u8", n), np.frombuffer(entries, "<u8", n, 8 * n), np.frombuffer(entries, "<u2", n, 16 * n))
+                else:
+                    held.append(_unpacked(entries, bucket))
+        if held:
+            nodes, keys, needs = map(np.concatenate, zip(*held))
+            held.clear()
+            order = np.argsort(keys, kind="stable")
+            nodes, keys, needs = nodes[order], keys[order], needs[order]
+            first, size = _runs(keys)
+            met = np.minimum.reduceat(nodes, first) < np.maximum.reduceat(nodes, first)
+            met |= np.maximum.reduceat(needs, first) == MET
+            keep = np.repeat(met, size) & (needs != MET)
+            yield from rows(nodes[keep], keys[keep], needs[keep])
+        give_back()
+
+    texts = df.select(F.col(text_col).cast("string").alias("t"))
+    packed = texts.mapInArrow(dealt, "bucket int, known boolean, entries binary")
+    return packed.repartitionById(buckets, "bucket").mapInArrow(meet, "node long, key long, need int")
+
+
+def _routed(shared: DataFrame) -> DataFrame:
     """(node, component_id): sets that share a routing key, directly or through others."""
-    shared = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    # written: a join of two plain exchanges is one that adaptive execution can split at a hot key
-    shared = written(shared.select("key", "hub"), "shared")
     # a set that shares fewer keys than a link takes has none: a common passage alone seldom gives enough
     agreed = F.count("*").over(Window.partitionBy("node", "need"))
-    met = rows.join(shared, "key").withColumn("agreed", agreed).filter(F.col("agreed") >= F.expr("need div 2"))
-    return connected_components(met.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    met = shared.repartition("node", "need").distinct().withColumn("agreed", agreed).filter(F.col("agreed") >= F.expr("need div 2"))
+    met = written(met.select("node", "key"), "met")
+    let_go(met.sparkSession)
+    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
+    # written: a join of two plain exchanges is one that adaptive execution can split at a hot key
+    hubs = written(hubs.select("key", "hub"), "hubs")
+    return connected_components(met.join(hubs, "key").filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
 def _tasks(clusters: DataFrame, num: int, den: int) -> DataFrame:
@@ -251,19 +372,25 @@ def jaccard_groups(
     takes its class's component and is never a component's name. Other columns are not looked at.
     """
     bands = Bands(num, den)
-    sets = written(_set_rows(df, id_col, text_col, width, bands, False), "sets")
+    sets = written(_set_rows(df, id_col, text_col, width), "sets")
     same = ["n_shingles", "set_a", "set_b"]
     # written: a join of two plain exchanges is one that adaptive execution splits where a class has many copies
     named = written(sets.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "named")
     members = written(sets.join(named, same, "left").select("doc_id", "n_shingles", "class_id"), "members")
     # a set is named by one of its hashes here; sets that share it are in one cluster, and told apart by the search
-    routed = _routed(_set_rows(df, id_col, text_col, width, bands, True))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0  # keys are seldom more
+    routed = _routed(_shared_keys(df, text_col, width, bands, min(BUCKETS, max(parts, math.ceil(shingles / BUCKET_KEYS)))))
     routed = routed.select(F.col("node").alias("set_a"), F.col("component_id").alias("cluster"))
     clusters = named.join(routed, "set_a").groupBy("class_id", "cluster").agg(F.max("n_shingles").alias("n_shingles"))
     tasks = written(_tasks(clusters, num, den), "tasks")
     n_tasks = tasks.count()
     texts = df.select(F.col(id_col).alias("class_id"), F.col(text_col).cast("string").alias("text"))
-    work = texts.join(F.broadcast(tasks) if n_tasks <= BROADCAST_ROWS else tasks, "class_id")
+    if n_tasks <= BROADCAST_ROWS:
+        work = texts.join(F.broadcast(tasks), "class_id")
+    else:  # texts of no task stay where they are
+        texts = sieved(texts, "class_id", tasks.select("class_id"), n_tasks, "maybe").filter("maybe").drop("maybe")
+        work = texts.join(tasks, "class_id")
     key = ["cluster", "a", "i", "b", "j"]
 
     def search(batches):
@@ -287,9 +414,10 @@ def jaccard_groups(
                     out.append((ids[i + q], ids[i + s]))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
-    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_tasks / TASK_ROWS))
+    n_parts = max(parts, math.ceil(n_tasks / TASK_ROWS))
     dealt = work.repartition(n_parts, *key).sortWithinPartitions(*key)
     links = dealt.mapInPandas(search, f"u {kind}, v {kind}")
     groups = connected_components(links).withColumnRenamed("node", "class_id")
